@@ -49,35 +49,29 @@ def is_blank(c: Column, dtype: T.DataType = T.StringType()) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _fold_rules() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+def _fold_rules() -> tuple[str, str, dict[str, str]]:
     """Where case folding differs from lower-casing, derived from Unicode data."""
-    one_from, one_to, many = [], [], []
+    single, several = {}, {}
     for code in range(0x80, 0x110000):
         ch = chr(code)
         folded, lowered = ch.casefold(), ch.lower()
-        if folded == lowered or len(lowered) != 1:
-            continue
-        if len(folded) == 1:
-            one_from.append(lowered)
-            one_to.append(folded)
-        else:
-            many.append((lowered, folded))
-    return "".join(one_from), "".join(one_to), tuple(sorted(set(many)))
+        if folded != lowered and len(lowered) == 1:
+            (single if len(folded) == 1 else several)[lowered] = folded
+    return "".join(single), "".join(single.values()), several
 
 
 def casefold(c: Column) -> Column:
-    """Full Unicode case folding; pure ASCII text takes the ``lower`` path."""
+    """Full Unicode case folding; most text only needs ``lower``."""
     low = F.lower(c)
-    one_from, one_to, many = _fold_rules()
-    folded = F.translate(low, one_from, one_to)
-    expanded = folded
-    for source, target in many:
-        expanded = F.replace(expanded, F.lit(source), F.lit(target))
-    multi = "[" + "".join(source for source, _ in many) + "]"
+    one_from, one_to, several = _fold_rules()
+    rare = "".join(ch for ch in several if ch != "\xdf")
+    folded = F.replace(F.translate(low, one_from, one_to), F.lit("\xdf"), F.lit("ss"))
+    table = F.str_to_map(F.lit(",".join(f"{k}={v}" for k, v in several.items())), F.lit(","), F.lit("="))
+    spelled = F.array_join(F.transform(F.split(folded, ""), lambda ch: F.coalesce(table[ch], ch)), "")
     return (
-        F.when(~low.rlike(r"[^\x00-\x7F]"), low)
-        .when(low.rlike(multi), expanded)
-        .otherwise(folded)
+        F.when(~low.rlike(f"[\xdf{one_from}{rare}]"), low)
+        .when(~low.rlike(f"[{rare}]"), folded)
+        .otherwise(spelled)
     )
 
 
