@@ -60,8 +60,23 @@ def _fold_rules() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), several
 
 
+def _ranges(characters: str, gap: int) -> str:
+    """A character class over the given characters, closing small gaps."""
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if spans and code - spans[-1][1] <= gap:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in spans) + "]"
+
+
 def casefold(c: Column) -> Column:
-    """Full Unicode case folding; most text only needs ``lower``."""
+    """Full Unicode case folding; most text only needs ``lower``.
+
+    The guards may cover more characters than have a rule: they only decide
+    which of three equivalent ways is taken.
+    """
     low = F.lower(c)
     one_from, one_to, several = _fold_rules()
     rare = "".join(ch for ch in several if ch != "\xdf")
@@ -69,8 +84,8 @@ def casefold(c: Column) -> Column:
     table = F.str_to_map(F.lit(",".join(f"{k}={v}" for k, v in several.items())), F.lit(","), F.lit("="))
     spelled = F.array_join(F.transform(F.split(folded, ""), lambda ch: F.coalesce(table[ch], ch)), "")
     return (
-        F.when(~low.rlike(f"[\xdf{one_from}{rare}]"), low)
-        .when(~low.rlike(f"[{rare}]"), folded)
+        F.when(~low.rlike(_ranges(f"\xdf{one_from}{rare}", 48)), low)
+        .when(~low.rlike(_ranges(rare, 8)), folded)
         .otherwise(spelled)
     )
 

@@ -17,7 +17,7 @@ from .base import Outcome, Step, col, column_types, user_columns
 
 @dataclass
 class ExactPairs:
-    """Lazy (kept, matched) pairs of equal keys."""
+    """(kept, matched) pairs of equal keys."""
 
     pairs: DataFrame
 
@@ -33,12 +33,13 @@ class ExactPairs:
 def exact_pairs(df: DataFrame, columns=()) -> ExactPairs:
     """Every later row of a key with the first row of that key.
 
-    Only ids and 32-byte digests are shuffled.  The first row and size per key
-    are combined map-side; a key holding much of the table is matched by a
-    bounded broadcast instead of meeting in one task.
+    Ids and 32-byte digests are written once and only they are shuffled.  The
+    first row and size per key are combined map-side; a key holding much of the
+    table is matched by a bounded broadcast instead of meeting in one task.
     """
     types = column_types(df, columns or user_columns(df))
     keys = df.select(F.col(ROW_ID).alias("row_id"), key_digest([(col(c), t) for c, t in types.items()]).alias("key"))
+    keys = freeze(keys, "keys")
     firsts = keys.groupBy("key").agg(F.min("row_id").alias("kept_row"), F.count(F.lit(1)).alias("n")).where("n > 1")
     matched = attach_groups(keys, firsts, "key", "n").where("row_id <> kept_row")
     return ExactPairs(

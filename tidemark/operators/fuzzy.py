@@ -31,7 +31,7 @@ class FuzzyText:
         keyed = df.select(F.col(ROW_ID).alias("row_id"), text.alias("text")).select(
             "row_id", "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key")
         )
-        self.rows = keyed.select("row_id", "key")
+        self.rows = freeze(keyed.select("row_id", "key"), "text-keys")
         counted = keyed.groupBy("key", "text").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("n"))
         self.texts = freeze(counted, "texts")
 

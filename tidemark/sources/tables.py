@@ -96,7 +96,10 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "e
     kind = detect_format(path, fmt, WRITE_FORMATS)
     writer = df.write.mode(mode)
     if kind == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        # the writer trims cells unless told otherwise
+        writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False
+        ).csv(path)
     elif kind == "json":
         writer.option("ignoreNullFields", False).json(path)
     else:
