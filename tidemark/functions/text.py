@@ -22,9 +22,8 @@ WHITESPACE = "".join(map(chr, _WHITESPACE_POINTS))
 # The same set as the inside of a regex character class.
 WS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
-# Matches only where collapsing has something to do: a run of two or more
-# whitespace characters, or a single one that is not an ordinary blank.
-_RUN = rf"[{WS}]{{2,}}|[{WS}&&[^ ]]"
+# A run of them; the Unicode flag makes \s cover all but the four separators.
+_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
 
@@ -79,22 +78,34 @@ def casefold(c: Column) -> Column:
     """
     low = F.lower(c)
     one_from, one_to, several = _fold_rules()
+    sharp_s = F.replace(low, F.lit("\xdf"), F.lit("ss"))
     rare = "".join(ch for ch in several if ch != "\xdf")
-    folded = F.replace(F.translate(low, one_from, one_to), F.lit("\xdf"), F.lit("ss"))
+    folded = F.translate(sharp_s, one_from, one_to)
     table = F.str_to_map(F.lit(",".join(f"{k}={v}" for k, v in several.items())), F.lit(","), F.lit("="))
     spelled = F.array_join(F.transform(F.split(folded, ""), lambda ch: F.coalesce(table[ch], ch)), "")
+    # most Western text has nothing outside the first class, which is quick to test
+    plain = ~low.rlike(r"[^\x00-\xb4\xb6-\x{148}]") | ~low.rlike(_ranges(one_from + rare, 48))
     return (
-        F.when(~low.rlike(_ranges(f"\xdf{one_from}{rare}", 48)), low)
+        F.when(plain, sharp_s)
         .when(~low.rlike(_ranges(rare, 8)), folded)
         .otherwise(spelled)
     )
 
 
 def title_case(c: Column) -> Column:
-    """Capitalise the first letter of every run of cased letters (``O'Neil-X``)."""
+    """Capitalise the first letter of every run of cased letters (``O'Neil-X``).
+
+    ``initcap`` only starts words at blanks, so a marked blank is set in front
+    of every other run and taken out again.
+    """
+    mark = "\x00 "
+    marked = F.regexp_replace(c, rf"[^ {_CASED}](?=[{_CASED}])", "$0" + mark)
     runs = F.regexp_extract_all(c, F.lit(rf"[{_CASED}]+|[^{_CASED}]+"), F.lit(0))
-    general = F.array_join(F.transform(runs, lambda run: F.initcap(run)), "")
-    return F.when(c.rlike(r"\A[A-Za-z ]*\z"), F.initcap(c)).otherwise(general)
+    return (
+        F.when(c.contains(mark[0]), F.array_join(F.transform(runs, lambda run: F.initcap(run)), ""))
+        .when(c.rlike(r"\A[A-Za-z ]*\z"), F.initcap(c))
+        .otherwise(F.replace(F.initcap(marked), F.lit(mark), F.lit("")))
+    )
 
 
 def render(c: Column, dtype: T.DataType) -> Column:
