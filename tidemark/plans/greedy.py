@@ -125,7 +125,7 @@ def greedy_leaders(texts: DataFrame, threshold: float, first_batch: int = FIRST_
         assigned.append(_earliest(from_kept))
         remaining = None
         if rest is not None:
-            leaders = batch.join(gone, "id", "left_anti")
+            leaders = freeze(batch.join(gone, "id", "left_anti"), "kept")
             absorbed = freeze(_earliest(similar_between(leaders, rest, threshold)), "absorbed")
             assigned.append(absorbed)
             remaining = freeze(rest.join(absorbed.select("id"), "id", "left_anti"), "remaining")

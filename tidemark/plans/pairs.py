@@ -24,14 +24,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import common_length, ratio_from_common
+from ..sources.scratch import spread
 
 # Size of the hashed gram-count table; the driver and every task hold this many bytes.
 BUCKETS = 1 << 16
 
-# A gram counted more often than this is spread over several join keys.
-HOT_GRAMS = 1_000_000
+# A gram counted this often, and this many times the average, is spread over
+# several join keys, one more doubling per doubling of its count.
+HOT_GRAMS = 2_000
+HOT_RATIO = 32
 _MAX_SALT_BITS = 10
 
+# Texts up to this length travel with their grams, so that most candidates are
+# rejected where they meet; longer ones are looked up for distinct candidates.
+CARRIED = 128
+
 _EPS = 1e-9
 
 
@@ -64,7 +71,7 @@ class Scheme:
         """
         shortest = F.pow(F.lit(self.stretch), length_class)
         edits = F.lit(2 * self.loss) * shortest
-        return F.greatest(F.lit(1), F.floor(shortest / (edits + 1 + F.ceil(edits / 4)))).cast("int")
+        return F.greatest(F.lit(1), F.floor(shortest / ((edits + 1) * 1.25 + 0.5))).cast("int")
 
     def edits(self, a: Column, b: Column) -> Column:
         """Most edits a qualifying pair of these lengths can have."""
@@ -89,6 +96,7 @@ class GramCounts:
     """Hashed chunk counts on a log scale, one byte per bucket."""
 
     levels: bytes
+    hot: int
 
     @classmethod
     def of(cls, texts: DataFrame, scheme: Scheme) -> GramCounts:
@@ -98,21 +106,22 @@ class GramCounts:
         levels = bytearray(BUCKETS)
         for row in counted:
             levels[row["b"]] = min(255, math.ceil(8 * math.log2(row["n"] + 1)))
-        return cls(bytes(levels))
+        mean = sum(row["n"] for row in counted) / max(1, len(counted))
+        return cls(bytes(levels), math.ceil(8 * math.log2(max(HOT_GRAMS, HOT_RATIO * mean))))
 
     def level(self, gram: Column) -> Column:
         return F.substring(F.lit(self.levels), _bucket(gram) + 1, F.lit(1))
 
     def salts(self, gram: Column) -> Column | None:
         """Number of join keys a gram is spread over; None when no gram needs it."""
-        first = math.ceil(8 * math.log2(HOT_GRAMS))
         top = max(self.levels)
-        if top < first:
+        if top < self.hot:
             return None
         level = self.level(gram)
         out = F.lit(1)
-        for bits in range(1, min(_MAX_SALT_BITS, (top - first) // 8 + 1) + 1):
-            out = F.when(level >= F.lit(bytes([min(255, first + 8 * (bits - 1))])), F.lit(1 << bits)).otherwise(out)
+        for bits in range(1, min(_MAX_SALT_BITS, (top - self.hot) // 8 + 2) + 1):
+            floor = min(255, self.hot + 8 * (bits - 1))
+            out = F.when(level >= F.lit(bytes([floor])), F.lit(1 << bits)).otherwise(out)
         return out
 
 
@@ -125,6 +134,10 @@ def _with_class(texts: DataFrame, scheme: Scheme) -> DataFrame:
     return classed.withColumn("q", scheme.chunk(F.col("cls")))
 
 
+def _carried(length: Column) -> Column:
+    return F.when(length <= CARRIED, F.col("text"))
+
+
 def _chunk_grams() -> Column:
     starts = F.sequence(F.lit(0), F.floor(F.col("len") / F.col("q")).cast("int") - 1)
     return F.transform(starts, lambda i: F.substring(F.col("text"), i * F.col("q") + 1, F.col("q")))
@@ -142,9 +155,10 @@ def _index(texts: DataFrame, scheme: Scheme, counts: GramCounts) -> DataFrame:
             lambda gram, i: F.struct(counts.level(gram).alias("level"), i.alias("i"), gram.alias("gram")),
         )
     )
-    rows = classed.select("id", "len", "cls", "q", F.posexplode(F.slice(ranked, F.lit(1), F.col("need"))).alias("rank", "c"))
+    short = _carried(F.col("len")).alias("x_text")
+    rows = classed.select("id", "len", "cls", "q", short, F.posexplode(F.slice(ranked, F.lit(1), F.col("need"))).alias("rank", "c"))
     rows = rows.select(
-        F.col("id").alias("x"), F.col("len").alias("a"), "cls", "q", "rank",
+        F.col("id").alias("x"), F.col("len").alias("a"), "x_text", "cls", "q", "rank",
         (F.col("c.i") * F.col("q")).alias("at"), F.col("c.gram").alias("gram"),
     )
     salts = counts.salts(F.col("gram"))
@@ -164,7 +178,7 @@ def _probe(texts: DataFrame, scheme: Scheme, counts: GramCounts) -> DataFrame:
     starts = F.sequence(F.lit(1), F.col("b") - F.col("q") + 1)
     rows = classed.select("id", "text", "b", "cls", "q", F.explode(starts).alias("s")).select(
         F.col("id").alias("y"), "b", "cls", (F.col("s") - 1).alias("found"),
-        F.substring("text", F.col("s"), F.col("q")).alias("gram"),
+        F.substring("text", F.col("s"), F.col("q")).alias("gram"), _carried(F.col("b")).alias("y_text"),
     )
     salts = counts.salts(F.col("gram"))
     salt = F.lit(0) if salts is None else F.pmod(F.xxhash64("y", "found"), salts).cast("int")
@@ -187,7 +201,9 @@ def candidate_ids(indexed: DataFrame, probing: DataFrame, scheme: Scheme, counts
     deletions = (edits + a - b) / 2
     insertions = (edits - a + b) / 2
     spoiled = F.when(F.col("q") == 1, deletions).otherwise(edits)
-    joined = _index(indexed, scheme, counts).join(_probe(probing, scheme, counts), ["cls", "gram", "salt"])
+    # probing is the costly side: a small table of texts must not sit in one task
+    probes = _probe(spread(probing, "id"), scheme, counts)
+    joined = _index(indexed, scheme, counts).join(probes, ["cls", "gram", "salt"])
     fits = (
         (F.col("x") != F.col("y"))
         & ((a > b) | ((a == b) & (F.col("x") < F.col("y"))))
@@ -196,7 +212,8 @@ def candidate_ids(indexed: DataFrame, probing: DataFrame, scheme: Scheme, counts
         & (F.col("found") >= F.col("at") - deletions)
         & (F.col("found") <= F.col("at") + insertions)
     )
-    return joined.where(fits).select("x", "y").distinct()
+    rejected = F.call_function("levenshtein", F.col("x_text"), F.col("y_text"), edits) < 0
+    return joined.where(fits & ~F.coalesce(rejected, F.lit(False))).select("x", "y").distinct()
 
 
 def verified(candidates: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
@@ -220,7 +237,7 @@ def verified(candidates: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFra
 
 
 def similar_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """All pairs ``a < b`` of distinct texts (``id, text``) with their score."""
+    """All pairs ``a < b`` of distinct texts (frozen ``id, text``) with their score."""
     scheme = Scheme(threshold)
     if scheme.loss == 0:
         return texts.sparkSession.createDataFrame([], "a bigint, b bigint, score double")
@@ -229,7 +246,7 @@ def similar_pairs(texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_between(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with one text from each of two disjoint sets of texts."""
+    """Pairs with one text from each of two disjoint sets of frozen texts."""
     scheme = Scheme(threshold)
     if scheme.loss == 0:
         return left.sparkSession.createDataFrame([], "a bigint, b bigint, score double")

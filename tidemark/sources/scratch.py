@@ -37,3 +37,13 @@ def freeze(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a scanned table that has fewer scan units than cores.
+
+    Worth its small shuffle before costly row-wise work; a table of many scan
+    units is returned as it is.  ``scan`` must be a plain read, not a query.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)

@@ -107,16 +107,6 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "e
     return path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table stored in fewer scan units than cores.
-
-    Worth its small shuffle for costly row-wise work on one-file inputs; a table
-    of many row groups is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def convert(spark: SparkSession, source: str, target: str, **read_options) -> str:
     """Change the format of a table without cleaning it."""
     return write_table(read_table(spark, source, **read_options), target)

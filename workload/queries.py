@@ -18,7 +18,7 @@ from tidemark.functions import (
 )
 from tidemark.operators.fuzzy import FuzzyText
 from tidemark.sources.rowid import ROW_ID
-from tidemark.sources.scratch import scratch_path
+from tidemark.sources.scratch import scratch_path, spread
 from tidemark.streaming import clean_stream, dedup_stream, issue_rates
 
 from .dirty import DIRTY_SQL, SCORES_SQL
@@ -50,6 +50,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Long texts, stored in few row groups, spread over the cores."""
+    return spread(load(spark, folder, "documents"), "doc_id").withColumnRenamed("doc_id", ROW_ID)
+
+
 def dirty(spark: SparkSession, folder: str) -> DataFrame:
     text = DIRTY_SQL.replace("from customer", "from {customer}")
     return spark.sql(text, customer=load(spark, folder, "customer")).withColumnRenamed("row_id", ROW_ID)
@@ -102,11 +107,11 @@ def _text_query(name: str, case: str) -> None:
     def run(spark, folder):
         return shown(data(dirty(spark, folder), NormalizeText(["name"], case)), "name")
 
-    def documents(spark, folder):
-        return shown(data(keyed(spark, folder, "documents", "doc_id"), NormalizeText(["text"], case)), "text")
+    def run_documents(spark, folder):
+        return shown(data(documents(spark, folder), NormalizeText(["text"], case)), "text")
 
     QUERIES[name] = run
-    QUERIES[f"{name}_documents"] = documents
+    QUERIES[f"{name}_documents"] = run_documents
 
 
 _text_query("nrm_ws", "keep")
@@ -156,7 +161,7 @@ def chg_phone(spark, folder):
 
 @query
 def chg_documents(spark, folder):
-    run = Cleaner([NormalizeText(["text", "source"])]).run(keyed(spark, folder, "documents", "doc_id"))
+    run = Cleaner([NormalizeText(["text", "source"])]).run(documents(spark, folder))
     return run.changes.select("row_id", "column", F.md5("before").alias("before"), F.md5("after").alias("after"))
 
 
@@ -341,7 +346,7 @@ def dup_exact_all_columns(spark, folder):
 
 @query
 def dup_exact_documents(spark, folder):
-    return shown(data(keyed(spark, folder, "documents", "doc_id"), ExactDedup(["text"])), "lang", "n_chars")
+    return shown(data(documents(spark, folder), ExactDedup(["text"])), "lang", "n_chars")
 
 
 @query
