@@ -28,7 +28,7 @@ def cells(spark):
     """Build a table of text columns with ``_row_id`` from rows of tuples."""
 
     def build(columns, rows):
-        schema = ", ".join(f"`{c}` {'string' if ' ' not in c else ''}" for c in columns)
+        schema = ", ".join(f"`{c}` string" for c in columns)
         data = [(i, *row) for i, row in enumerate(rows)]
         return spark.createDataFrame(data, f"_row_id bigint, {schema}")
 

@@ -42,7 +42,9 @@ def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "report": spark.read.schema(REPORT).parquet(f"{path}/report"),
     }
     for kind, schema in LEDGERS.items():
-        out[kind] = spark.read.schema(schema).parquet(f"{path}/{kind}")
+        names = [field.split()[0] for field in schema.split(", ")]
+        # the partition column comes back last
+        out[kind] = spark.read.schema(schema).parquet(f"{path}/{kind}").select(*names)
     return out
 
 
