@@ -8,12 +8,13 @@ from .operators import (
 from .plans.cleaning import Cleaner, CleanRun
 from .plans.options import columns_by_name, steps_from_options
 from .sources.reports import manifest, read_report, report_lines, write_report
+from .sources.scratch import drop_scratch
 from .sources.tables import convert, read_table, write_table
 
 __all__ = [
     "AllowedValues", "CleanRun", "Cleaner", "ExactDedup", "FillBlanks", "FuzzyDedup", "InRange", "InferTypes",
     "MissingValues", "NormalizeDate", "NormalizeEmail", "NormalizePhone", "NormalizeText", "Outcome",
     "ParseableDate", "Positive", "Required", "RowStep", "Step", "ValidEmail", "columns_by_name", "convert",
-    "manifest", "read_report", "read_table", "report_lines", "shape", "steps_from_options", "write_report",
+    "drop_scratch",    "manifest", "read_report", "read_table", "report_lines", "shape", "steps_from_options", "write_report",
     "write_table",
 ]

@@ -18,7 +18,7 @@ _MONTHS = (
     "January February March April May June July August September October November December"
 ).split()
 
-# What each input code accepts, and how each code is printed.
+# What each input code accepts.
 _ACCEPTS = {
     "Y": r"[0-9]{4}",
     "y": r"[0-9]{2}",
@@ -30,11 +30,6 @@ _ACCEPTS = {
     "b": "(?i:" + "|".join(name[:3] for name in _MONTHS) + ")",
     "B": "(?i:" + "|".join(_MONTHS) + ")",
 }
-_PRINTS = {
-    "Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "b": "MMM", "B": "MMMM",
-}
-
-
 def _codes(fmt: str):
     """Yield ('code', letter) and ('text', characters) pieces of a format."""
     for piece in re.findall(r"%.|%|[^%]+", fmt, flags=re.S):
@@ -93,11 +88,22 @@ def parse_date(c: Column, formats: tuple[str, ...]) -> Column:
     return F.coalesce(*[_parse_one(c, fmt) for fmt in formats])
 
 
+def _padded(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 2, "0")
+
+
 def format_date(moment: Column, fmt: str) -> Column:
-    pattern = []
-    for kind, value in _codes(fmt):
-        if kind == "code":
-            pattern.append(_PRINTS[value])
-        else:
-            pattern.append("'" + value.replace("'", "''") + "'")
-    return F.date_format(moment, "".join(pattern))
+    """Text of a TIMESTAMP_NTZ, independent of the session time zone."""
+    day = moment.cast("date")
+    prints = {
+        "Y": lambda: F.year(moment).cast("string"),
+        "y": lambda: _padded(F.pmod(F.year(moment), F.lit(100))),
+        "m": lambda: _padded(F.month(moment)),
+        "d": lambda: _padded(F.day(moment)),
+        "H": lambda: _padded(F.hour(moment)),
+        "M": lambda: _padded(F.minute(moment)),
+        "S": lambda: _padded(F.second(moment)),
+        "b": lambda: F.date_format(day, "MMM"),
+        "B": lambda: F.date_format(day, "MMMM"),
+    }
+    return F.concat(*[prints[value]() if kind == "code" else F.lit(value) for kind, value in _codes(fmt)])

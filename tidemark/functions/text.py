@@ -96,16 +96,13 @@ def title_case(c: Column) -> Column:
     """Capitalise the first letter of every run of cased letters (``O'Neil-X``).
 
     ``initcap`` only starts words at blanks, so a marked blank is set in front
-    of every other run and taken out again.
+    of every other run and taken out again.  A NUL in the text is spelled
+    differently meanwhile, so the mark cannot be mistaken for text.
     """
-    mark = "\x00 "
-    marked = F.regexp_replace(c, rf"[^ {_CASED}](?=[{_CASED}])", "$0" + mark)
-    runs = F.regexp_extract_all(c, F.lit(rf"[{_CASED}]+|[^{_CASED}]+"), F.lit(0))
-    return (
-        F.when(c.contains(mark[0]), F.array_join(F.transform(runs, lambda run: F.initcap(run)), ""))
-        .when(c.rlike(r"\A[A-Za-z ]*\z"), F.initcap(c))
-        .otherwise(F.replace(F.initcap(marked), F.lit(mark), F.lit("")))
-    )
+    nul, spelled, mark = F.lit("\x00"), F.lit("\x00\x02"), "\x00\x01 "
+    marked = F.regexp_replace(F.replace(c, nul, spelled), rf"[^ {_CASED}](?=[{_CASED}])", "$0" + mark)
+    general = F.replace(F.replace(F.initcap(marked), F.lit(mark), F.lit("")), spelled, nul)
+    return F.when(c.rlike(r"\A[A-Za-z ]*\z"), F.initcap(c)).otherwise(general)
 
 
 def render(c: Column, dtype: T.DataType) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import WS, casefold, trim_ws
+from .text import WS, trim_ws
 
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 _DECIMAL = rf"\A[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
@@ -45,7 +45,8 @@ def is_boolean(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     if isinstance(dtype, T.BooleanType):
         return c.isNotNull()
     if isinstance(dtype, T.StringType):
-        return F.coalesce(casefold(trim_ws(c)).isin(*BOOLEAN_WORDS), F.lit(False))
+        # the long s is the only other letter that folds into one of these words
+        return F.coalesce(F.translate(F.lower(trim_ws(c)), "\u017f", "s").isin(*BOOLEAN_WORDS), F.lit(False))
     return F.lit(False)
 
 
@@ -107,18 +108,28 @@ _EXTENSION = r"(?i)[ \t]*(?:;ext=|ext(?:ension|n)?\.?|x|#)[ \t]*[0-9]{1,7}\z"
 _VIABLE = r"\A[+\x{ff0b}]?[0-9(\[][0-9 ()\[\].\-/\x{a0}\x{2010}-\x{2015}\x{2212}~]*\z"
 
 
+def phone_parts(c: Column) -> Column:
+    """A trimmed phone number without extension, and its digits."""
+    bare = F.regexp_replace(c, _EXTENSION, "")
+    return F.struct(bare.alias("bare"), F.regexp_replace(bare, "[^0-9]", "").alias("digits"))
+
+
 def normal_phone(c: Column, default_region: str) -> Column:
     """E.164 text of a trimmed phone number, null where it is not valid.
 
     Validity is structural: the pattern of the number's own plan must match.
     """
+    return phone_of_parts(phone_parts(c), default_region)
+
+
+def phone_of_parts(parts: Column, default_region: str) -> Column:
+    """The same from ``phone_parts``, for callers that compute those once."""
     region = default_region.strip().upper()
     if region not in PHONE_REGIONS:
         raise ValueError(f"Unknown phone region: {default_region}")
     code, trunk, pattern = PHONE_REGIONS[region]
 
-    bare = F.regexp_replace(c, _EXTENSION, "")
-    digits = F.regexp_replace(bare, "[^0-9]", "")
+    bare, digits = parts["bare"], parts["digits"]
     abroad = F.regexp_replace(digits, rf"\A{_EXIT_CODES.get(region, '00')}", "")
     has_plus = bare.rlike(r"\A[+\x{ff0b}]")
 

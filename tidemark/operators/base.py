@@ -108,6 +108,7 @@ class Cell:
     column: str
     before: Column
     dtype: T.DataType
+    prepared: Column | None = None
     work: Column | None = None
     after: Column | None = None
 
@@ -120,6 +121,10 @@ class RowStep(Step):
     rewrites = False
     needs_text = False
 
+    def prepare(self, cell: Cell) -> Column | None:
+        """A value that ``work`` uses several times, computed once."""
+        return None
+
     def work(self, cell: Cell) -> Column | None:
         """A value that ``after`` and ``message`` both need, computed once."""
         return None
@@ -175,11 +180,12 @@ class RowSegment:
                     current[name] = cell.after
                 fresh.append(cell)
             views = [Cell(c.column, col(c.before), c.dtype) for c in fresh]
-            shared = [op.work(view) for view in views]
-            if any(w is not None for w in shared):
-                df = df.select("*", *[w.alias(f"_work_{step}_{i}") for i, w in enumerate(shared)])
-                for i, view in enumerate(views):
-                    view.work = col(f"_work_{step}_{i}")
+            for stage, make in (("prepared", op.prepare), ("work", op.work)):
+                shared = [make(view) for view in views]
+                if any(value is not None for value in shared):
+                    df = df.select("*", *[value.alias(f"_{stage}_{step}_{i}") for i, value in enumerate(shared)])
+                    for i, view in enumerate(views):
+                        setattr(view, stage, col(f"_{stage}_{step}_{i}"))
             if op.rewrites:
                 df = df.select("*", *[op.after(view).alias(c.after) for c, view in zip(fresh, views)])
             extra = []

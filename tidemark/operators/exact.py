@@ -41,6 +41,7 @@ def exact_pairs(df: DataFrame, columns=()) -> ExactPairs:
     keys = df.select(F.col(ROW_ID).alias("row_id"), key_digest([(col(c), t) for c, t in types.items()]).alias("key"))
     keys = freeze(keys, "keys")
     firsts = keys.groupBy("key").agg(F.min("row_id").alias("kept_row"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = freeze(firsts, "first-rows")
     matched = attach_groups(keys, firsts, "key", "n").where("row_id <> kept_row")
     return ExactPairs(
         matched.select(

@@ -70,28 +70,29 @@ class FuzzyText:
     def removals(self, threshold: float) -> DataFrame:
         """Every removed row with the kept row that removed it."""
         leaders = greedy_leaders(self.texts.select("id", "text"), threshold)
-        fates = (
+        fates = freeze(
             self.texts.select("key", "id", "n")
             .join(leaders, "id", "left")
             .select(
                 "key", "n", F.col("leader").isNotNull().alias("gone"),
                 F.coalesce("leader", "id").alias("kept_row"), F.coalesce("score", F.lit(100.0)).alias("score"),
             )
-            .where("gone or n > 1")
+            .where("gone or n > 1"),
+            "fates",
         )
         sizes = fates.groupBy("kept_row").agg(
             (F.sum(F.when(F.col("gone"), F.col("n")).otherwise(F.col("n") - 1))).alias("size"),
             F.min("score").alias("group_score"),
             F.count(F.lit(1)).alias("members"),
         )
-        sized = attach_groups(fates, sizes, "kept_row", "members").select("key", "n", "kept_row", "score", "size", "group_score")
-        matched = attach_groups(self.rows, freeze(sized, "fates"), "key", "n").where("row_id <> kept_row")
+        sized = attach_groups(fates, freeze(sizes, "sizes"), "kept_row", "members").select("key", "n", "kept_row", "score", "size", "group_score")
+        matched = attach_groups(self.rows, freeze(sized, "sized-fates"), "key", "n").where("row_id <> kept_row")
         return matched.select("kept_row", F.col("row_id").alias("matched_row"), "score", "size", "group_score")
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
     sizes = pairs.groupBy("kept_row").agg(F.count(F.lit(1)).alias("size"), F.min("score").alias("group_score"))
-    return attach_groups(pairs, sizes, "kept_row", "size")
+    return attach_groups(pairs, freeze(sizes, "sizes"), "kept_row", "size")
 
 
 class FuzzyDedup(Step):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import is_blank, render
+from ..functions.text import is_blank
 from ..functions.values import parse_number
 from ..plans.stats import exact_median
 from ..sources.rowid import ROW_ID
@@ -121,12 +121,11 @@ class MissingValues(Step):
         for name, dtype in column_types(df, self.columns).items():
             counted = (
                 df.where(~is_blank(col(name), dtype))
-                .select(render(col(name), dtype).alias("text"), col(name).alias("value"), ROW_ID)
-                .groupBy("text")
-                .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(ROW_ID, "value")).alias("first"))
+                .groupBy(col(name).alias("value"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first"))
             )
-            best = F.max_by("first", F.struct(F.col("n"), -F.col(f"first.{ROW_ID}")))
-            row = counted.agg(best.alias("best")).first()["best"]
-            if row is not None:
-                values[name] = row["value"]
+            best = F.max_by("value", F.struct(F.col("n"), -F.col("first")))
+            row = counted.agg(best.alias("best")).first()
+            if row["best"] is not None:
+                values[name] = row["best"]
         return values

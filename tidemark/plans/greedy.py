@@ -29,7 +29,7 @@ from ..sources.scratch import freeze
 from .pairs import GramCounts, Scheme, candidate_load, similar_between, similar_pairs
 
 FIRST_BATCH = 16_384
-GROWTH = 8
+GROWTH = 16
 LOAD_PER_TEXT = 20_000
 EDGES_PER_TASK = 1_000_000
 

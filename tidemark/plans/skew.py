@@ -19,7 +19,8 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Da
     """Inner join of ``rows`` with one row per group, safe for heavy groups.
 
     Light groups take an ordinary shuffle join.  The few heavy ones are matched
-    against a bounded broadcast, so their rows never meet in one task.
+    against a bounded broadcast, so their rows never meet in one task.  Both
+    inputs are read more than once and should be scans or frozen tables.
     """
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n"))
     limit = F.greatest(F.col("n") / HEAVY_SHARE, F.lit(HEAVY_FLOOR))

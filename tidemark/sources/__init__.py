@@ -1,4 +1,4 @@
 from .rowid import ROW_ID, with_row_id
-from .scratch import freeze, scratch_root, spread
+from .scratch import drop_scratch, freeze, scratch_root, spread
 
-__all__ = ["ROW_ID", "freeze", "scratch_root", "spread", "with_row_id"]
+__all__ = ["ROW_ID", "drop_scratch", "freeze", "scratch_root", "spread", "with_row_id"]

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators.base import COUNTS, LEDGERS, union_all
 from ..plans.cleaning import CleanRun
-from ..plans.skew import PART_ROWS
 
 REPORT = (
     "rows_before bigint, rows_after bigint, rows_removed bigint, cells_changed bigint, "
     "validation_issue_count bigint, duplicate_group_count bigint"
 )
+# Rows of the table whose details share one JSON line.
+LINE_ROWS = 4_096
+
 MANIFEST = "label string, location string, kind string"
 
 
@@ -63,21 +65,29 @@ def report_lines(run: CleanRun) -> DataFrame:
         F.to_json(F.struct(F.col("operation").alias("name"), "rows_removed", "cells_changed", "validation_issues",
                            "duplicate_groups")).alias("json"),
     )
+    explicit = {"ignoreNullFields": "false"}
     sections = []
     for section, ledger, order, fields in (
         ("type_suggestions", run.suggestions, F.lit(0), ("column", "suggested_type", "confidence", "reason")),
         ("cell_changes", run.changes, F.col("row_id"), ("row_id", "column", "before", "after", "reason")),
         ("issues", run.issues, F.col("row_id"), ("row_id", "column", "rule", "value", "message")),
-        ("duplicates", run.duplicates, F.col("kept_row"), ("kept_row", "part", "matched_rows", "score", "reason")),
     ):
         entry = F.struct(order.alias("_order"), F.struct(*[F.col(f) for f in fields]).alias("e"))
-        parts = ledger.groupBy("step", F.floor(order / (PART_ROWS / 16)).cast("long").alias("_part")).agg(
+        parts = ledger.groupBy("step", F.floor(order / LINE_ROWS).cast("long").alias("part")).agg(
             F.sort_array(F.collect_list(entry)).alias("entries")
         )
         sections.append(
             parts.select(
-                "step", F.lit(section).alias("section"), F.col("_part").alias("part"),
-                F.to_json(F.transform("entries", lambda x: x["e"]), {"ignoreNullFields": "false"}).alias("json"),
+                "step", F.lit(section).alias("section"), "part",
+                F.to_json(F.transform("entries", lambda x: x["e"]), explicit).alias("json"),
             )
         )
+    # a duplicate entry can already be long, so each is a line of its own
+    group = F.struct("kept_row", "part", "matched_rows", "score", "reason")
+    sections.append(
+        run.duplicates.select(
+            "step", F.lit("duplicates").alias("section"), F.col("kept_row").alias("part"),
+            F.to_json(F.array(group), explicit).alias("json"),
+        )
+    )
     return union_all([totals, operations, *sections], "", run.source)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .scratch import freeze
 
 ROW_ID = "_row_id"
-BROADCAST_UNITS = 2_000_000
+# Scan units whose starts are broadcast: about 150 bytes each.
+BROADCAST_UNITS = 500_000
 
 
 def _named(df: DataFrame) -> list:
