@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark import (
     AllowedValues, Cleaner, ExactDedup, FillBlanks, InferTypes, InRange, MissingValues, NormalizeDate, NormalizeEmail,
     NormalizePhone, NormalizeText, Outcome, ParseableDate, Positive, Required, Step, ValidEmail, shape,
-    steps_from_options, columns_by_name,
+    clean, columns_by_name, steps_from_options,
 )
 from tidemark.plans import skew
 from tidemark.plans.stats import exact_median
@@ -210,6 +210,15 @@ def test_custom_step_and_preview(spark, cells):
             run.preview(limit)
 
 
+def test_cleaning_by_options(spark, cells):
+    table = cells(["a"], [(" x ",), ("y",)])
+    run = clean(table, normalize="text", text_columns="a")
+    assert rows(run, "a") == [("x",), ("y",)]
+    nothing = clean(table)
+    assert tuple(nothing.report.first()) == (2, 2, 0, 0, 0, 0)
+    assert nothing.summary.count() == 0 and rows(nothing, "a") == [(" x ",), ("y",)]
+
+
 def test_bad_plans(spark, cells):
     table = cells(["a b", "c.d"], [("x", "y")])
     with pytest.raises(ValueError):

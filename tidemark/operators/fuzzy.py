@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import comparable_text, token_sort
 from ..plans.greedy import greedy_leaders
 from ..plans.groups import grouped
-from ..plans.pairs import similar_pairs
+from ..plans.pairs import Matcher
 from ..plans.skew import attach_groups
 from ..sources.rowid import ROW_ID
 from ..sources.scratch import freeze
@@ -35,9 +35,9 @@ class FuzzyText:
         counted = keyed.groupBy("key", "text").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("n"))
         self.texts = freeze(counted, "texts")
 
-    def pairs(self, threshold: float) -> DataFrame:
+    def pairs(self, matcher: Matcher) -> DataFrame:
         """Similar distinct texts: first row of each, and their score."""
-        return similar_pairs(self.texts.select("id", "text"), threshold)
+        return matcher.pairs(self.texts.select("id", "text"))
 
     def copies(self) -> DataFrame:
         """Later rows with the same text as an earlier one."""
@@ -46,15 +46,15 @@ class FuzzyText:
             F.col("id").alias("kept_row"), F.col("row_id").alias("matched_row"), F.lit(100.0).alias("score")
         )
 
-    def suggested(self, threshold: float) -> DataFrame:
+    def suggested(self, matcher: Matcher) -> DataFrame:
         """Pairs between first rows of texts, plus every copy of a text."""
-        similar = self.pairs(threshold).select(F.col("a").alias("kept_row"), F.col("b").alias("matched_row"), "score")
+        similar = self.pairs(matcher).select(F.col("a").alias("kept_row"), F.col("b").alias("matched_row"), "score")
         return _sized(freeze(similar.unionByName(self.copies()), "suggested"))
 
-    def suggested_rows(self, threshold: float) -> DataFrame:
+    def suggested_rows(self, matcher: Matcher) -> DataFrame:
         """Every later match of every row.  As large as its output: a text with
         ``n`` copies alone makes ``n(n-1)/2`` of these pairs."""
-        one_way = freeze(self.pairs(threshold), "pairs")
+        one_way = freeze(self.pairs(matcher), "pairs")
         links = (
             one_way.select("a", "b", "score")
             .union(one_way.select("b", "a", "score"))
@@ -67,9 +67,9 @@ class FuzzyText:
         found = left.join(links, "id").join(right, "other").where("matched_row > kept_row")
         return _sized(freeze(found.select("kept_row", "matched_row", "score"), "suggested"))
 
-    def removals(self, threshold: float) -> DataFrame:
+    def removals(self, matcher: Matcher) -> DataFrame:
         """Every removed row with the kept row that removed it."""
-        leaders = greedy_leaders(self.texts.select("id", "text"), threshold)
+        leaders = greedy_leaders(self.texts.select("id", "text"), matcher)
         fates = freeze(
             self.texts.select("key", "id", "n")
             .join(leaders, "id", "left")
@@ -100,27 +100,27 @@ class FuzzyDedup(Step):
 
     ``suggest`` reports one group per distinct text that has later matches: its
     later copies and the first row of every later similar text.  With
-    ``expand=True`` every row gets its own full group.
+    ``expand=True`` every row gets its own full group.  ``similarity`` and
+    ``candidates_at`` plug in a score of your own, see ``Matcher``.
     """
 
-    def __init__(self, columns, threshold: float, mode: str = "suggest", expand: bool = False,
-                 name: str = "fuzzy-deduplication") -> None:
+    def __init__(self, columns, threshold: float, mode: str = "suggest", expand: bool = False, similarity=None,
+                 candidates_at: float | None = None, name: str = "fuzzy-deduplication") -> None:
         self.columns = require_columns(columns, "Fuzzy deduplication requires at least one column")
-        if not 0 <= threshold <= 100:
-            raise ValueError("Fuzzy deduplication threshold must be between 0 and 100")
+        self.matcher = Matcher(threshold, similarity, candidates_at)
         if mode not in MODES:
             raise ValueError(f"Unknown fuzzy deduplication mode: {mode}")
-        self.threshold, self.mode, self.expand, self.name = threshold, mode, expand, name
+        self.mode, self.expand, self.name = mode, expand, name
 
     @property
     def reason(self) -> str:
-        return f"fuzzy duplicate above threshold {self.threshold:g}"
+        return f"fuzzy duplicate above threshold {self.matcher.threshold:g}"
 
     def apply(self, df: DataFrame, step: int) -> Outcome:
         text = FuzzyText(df, self.columns)
         if self.mode == "suggest":
-            pairs = text.suggested_rows(self.threshold) if self.expand else text.suggested(self.threshold)
+            pairs = text.suggested_rows(self.matcher) if self.expand else text.suggested(self.matcher)
             return Outcome(data=df, duplicates=grouped(pairs, self.reason))
-        pairs = freeze(text.removals(self.threshold), "removals")
+        pairs = freeze(text.removals(self.matcher), "removals")
         removed = pairs.select(F.col("matched_row").alias(ROW_ID))
         return Outcome(data=survivors(df, removed), duplicates=grouped(pairs, self.reason), removed=removed)

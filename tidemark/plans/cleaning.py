@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.base import COUNTS, LEDGERS, Outcome, RowSegment, RowStep, Step, union_all
 from ..operators.missing import MissingValues
 from ..sources.rowid import ROW_ID, with_row_id
-from ..sources.scratch import freeze
+from .options import steps_from_options
 
 PREVIEW_ROWS = 20
 PREVIEW_MAX = 100
@@ -157,3 +157,11 @@ def _count(run: CleanRun, label: tuple[int, str], found: dict[str, DataFrame], r
         rows(found.get("issues")).alias("validation_issues"),
         rows(found.get("duplicates"), F.count_distinct("kept_row")).alias("duplicate_groups"),
     )
+
+
+def clean(df: DataFrame, options: dict | None = None, key: str | None = None, staged: bool = False, **more) -> CleanRun:
+    """Clean by flat options; without any operation the run reports zero steps."""
+    steps = steps_from_options(options, **more)
+    if not steps:
+        return CleanRun(source=df, numbered=with_row_id(df, key), steps=[])
+    return Cleaner(steps).run(df, key, staged)

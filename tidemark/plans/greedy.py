@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio_sorted
 from ..sources.scratch import freeze
-from .pairs import GramCounts, Scheme, candidate_load, similar_between, similar_pairs
+from .pairs import GramCounts, Matcher, Scheme, candidate_load
 
 FIRST_BATCH = 16_384
 GROWTH = 16
@@ -103,30 +103,30 @@ def _next_batch(remaining: DataFrame, n: int, size: int, scheme: Scheme) -> tupl
         size = max(FIRST_BATCH, size // GROWTH)
 
 
-def greedy_leaders(texts: DataFrame, threshold: float, first_batch: int = FIRST_BATCH) -> DataFrame:
+def greedy_leaders(texts: DataFrame, matcher: Matcher, first_batch: int = FIRST_BATCH) -> DataFrame:
     """``id, leader, score`` for every removed text of frozen ``id, text``.
 
     ``leader`` is the earliest kept text it is similar to.
     """
-    if threshold == 0:  # everything matches the first text
+    if matcher.threshold == 0 and matcher.similarity is None:  # everything matches the first text
         head = texts.orderBy("id").first()
         if head is None:
             return texts.sparkSession.createDataFrame([], _ASSIGNED)
         score = ratio_sorted(F.lit(head["text"]), F.col("text"))
         return texts.where(F.col("id") != head["id"]).select("id", F.lit(head["id"]).alias("leader"), score.alias("score"))
 
-    scheme, size, assigned = Scheme(threshold), first_batch, []
+    scheme, size, assigned = matcher.scheme, first_batch, []
     remaining: DataFrame | None = texts.select("id", "text")
     while remaining is not None and (n := remaining.count()) > 0:
         batch, rest = _next_batch(remaining, n, size, scheme)
-        edges = freeze(similar_pairs(batch, threshold), "edges")
+        edges = freeze(matcher.pairs(batch), "edges")
         gone = settle(edges)
         from_kept = edges.join(gone.select(F.col("id").alias("a")), "a", "left_anti")
         assigned.append(_earliest(from_kept))
         remaining = None
         if rest is not None:
             leaders = freeze(batch.join(gone, "id", "left_anti"), "kept")
-            absorbed = freeze(_earliest(similar_between(leaders, rest, threshold)), "absorbed")
+            absorbed = freeze(_earliest(matcher.between(leaders, rest)), "absorbed")
             assigned.append(absorbed)
             remaining = freeze(rest.join(absorbed.select("id"), "id", "left_anti"), "remaining")
         size *= GROWTH

@@ -18,6 +18,7 @@ only affects cost, so rarity comes from a bounded table of hashed counts.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -216,40 +217,69 @@ def candidate_ids(indexed: DataFrame, probing: DataFrame, scheme: Scheme, counts
     return joined.where(fits & ~F.coalesce(rejected, F.lit(False))).select("x", "y").distinct()
 
 
-def verified(candidates: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """Candidates that reach the threshold, as ``a < b, score``.
+@dataclass(frozen=True)
+class Matcher:
+    """What counts as similar: a threshold, on the built-in score or on your own.
 
-    A banded Levenshtein test, which never exceeds the number of insertions and
-    deletions, rejects most candidates inside the JVM; the rest get the exact
-    common length.
+    A scorer of your own (two text columns, earlier row first, to a score from
+    0 to 100) judges the pairs whose built-in score reaches ``candidates_at``.
     """
-    left = texts.select(F.col("id").alias("x"), F.col("text").alias("x_text"))
-    right = texts.select(F.col("id").alias("y"), F.col("text").alias("y_text"))
-    both = candidates.join(left, "x").join(right, "y")
-    a, b = F.length("x_text"), F.length("y_text")
-    close = both.where(F.call_function("levenshtein", F.col("x_text"), F.col("y_text"), scheme.edits(a, b)) >= 0)
-    scored = close.select("x", "y", a.alias("la"), b.alias("lb"), common_length("y_text", "x_text").alias("common"))
-    scored = scored.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-        ratio_from_common(F.col("common"), F.col("la"), F.col("lb")).alias("score"),
-    )
-    return scored.where(F.col("score") >= F.lit(float(scheme.threshold)))
-
-
-def similar_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """All pairs ``a < b`` of distinct texts (frozen ``id, text``) with their score."""
-    scheme = Scheme(threshold)
-    if scheme.loss == 0:
-        return texts.sparkSession.createDataFrame([], "a bigint, b bigint, score double")
-    counts = GramCounts.of(texts, scheme)
-    return verified(candidate_ids(texts, texts, scheme, counts), texts, scheme)
-
-
-def similar_between(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with one text from each of two disjoint sets of frozen texts."""
-    scheme = Scheme(threshold)
-    if scheme.loss == 0:
-        return left.sparkSession.createDataFrame([], "a bigint, b bigint, score double")
-    counts = GramCounts.of(right, scheme)
-    both = candidate_ids(left, right, scheme, counts).union(candidate_ids(right, left, scheme, counts))
-    return verified(both, left.unionByName(right), scheme)
+
+    threshold: float
+    similarity: Callable[[Column, Column], Column] | None = None
+    candidates_at: float | None = None
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.threshold <= 100:
+            raise ValueError("Fuzzy deduplication threshold must be between 0 and 100")
+        if (self.similarity is None) != (self.candidates_at is None):
+            raise ValueError("A similarity of your own needs candidates_at, and only then")
+
+    @property
+    def scheme(self) -> Scheme:
+        return Scheme(self.threshold if self.candidates_at is None else self.candidates_at)
+
+    def pairs(self, texts: DataFrame) -> DataFrame:
+        """All pairs ``a < b`` of distinct texts (frozen ``id, text``) with their score."""
+        scheme = self.scheme
+        if scheme.loss == 0:
+            return _no_pairs(texts)
+        counts = GramCounts.of(texts, scheme)
+        return self.verified(candidate_ids(texts, texts, scheme, counts), texts)
+
+    def between(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs with one text from each of two disjoint sets of frozen texts."""
+        scheme = self.scheme
+        if scheme.loss == 0:
+            return _no_pairs(left)
+        counts = GramCounts.of(right, scheme)
+        both = candidate_ids(left, right, scheme, counts).union(candidate_ids(right, left, scheme, counts))
+        return self.verified(both, left.unionByName(right))
+
+    def verified(self, candidates: DataFrame, texts: DataFrame) -> DataFrame:
+        """Candidates that reach the threshold, as ``a < b, score``.
+
+        A banded Levenshtein test, which never exceeds the number of insertions
+        and deletions, rejects most candidates inside the JVM; the rest get the
+        exact common length.
+        """
+        scheme = self.scheme
+        ordered = candidates.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        both = ordered.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
+            texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b"
+        )
+        left, right = F.col("left"), F.col("right")
+        edits = scheme.edits(F.length(left), F.length(right))
+        close = both.where(F.call_function("levenshtein", left, right, edits) >= 0)
+        # the mask of the first argument is reused while it stays the same
+        counted = close.withColumn("common", common_length(right, left))
+        scored = counted.withColumn("score", ratio_from_common(F.col("common"), F.length(left), F.length(right)))
+        scored = scored.where(F.col("score") >= F.lit(float(scheme.threshold)))
+        if self.similarity is not None:
+            own = self.similarity(left, right).cast("double")
+            scored = scored.withColumn("score", own).where(F.col("score") >= F.lit(float(self.threshold)))
+        return scored.select("a", "b", "score")
+
+
+def _no_pairs(like: DataFrame) -> DataFrame:
+    return like.sparkSession.createDataFrame([], "a bigint, b bigint, score double")

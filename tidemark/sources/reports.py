@@ -28,12 +28,14 @@ def manifest(spark: SparkSession, out: str, report_path: str) -> DataFrame:
     return spark.createDataFrame(rows, MANIFEST)
 
 
-def write_report(run: CleanRun, path: str, mode: str = "errorifexists") -> str:
-    """Write summary, totals and every ledger under ``path``."""
+def write_report(run: CleanRun, path: str, mode: str = "errorifexists", lines: bool = False) -> str:
+    """Write summary, totals and every ledger under ``path``; with ``lines`` the JSON form as well."""
     run.summary.coalesce(1).write.mode(mode).parquet(f"{path}/summary")
     run.report.write.mode(mode).parquet(f"{path}/report")
     for kind in LEDGERS:
         run.ledger(kind).write.mode(mode).partitionBy("operation").parquet(f"{path}/{kind}")
+    if lines:
+        report_lines(run).write.mode(mode).json(f"{path}/lines")
     return path
 
 

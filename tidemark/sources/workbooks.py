@@ -75,10 +75,11 @@ def read_workbooks(spark: SparkSession, path: str, columns: list[str] | None = N
     """All workbooks under ``path``; ``columns`` skips reading a header first."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     if columns is None:
-        first = files.orderBy("path").limit(1).select("content").mapInPandas(_first_header, "names array<string>").first()
-        if first is None:
+        named = files.agg(F.min("path").alias("path")).first()  # lists files without opening them
+        if named["path"] is None:
             raise ValueError(f"No workbook found: {path}")
-        columns = list(first["names"])
+        one = spark.read.format("binaryFile").load(named["path"]).select("content")
+        columns = list(one.mapInPandas(_first_header, "names array<string>").first()["names"])
     width = len(columns)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

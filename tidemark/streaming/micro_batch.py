@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.text import key_digest
-from ..operators.base import LEDGERS, RowStep, col, column_types, user_columns
+from ..operators.base import LEDGERS, RowSegment, RowStep, col, column_types, user_columns
 from ..operators.missing import MissingValues
 from ..plans.cleaning import Cleaner
 from ..sources.rowid import with_row_id
@@ -48,8 +48,6 @@ def dedup_stream(stream: DataFrame, columns, time_column: str, delay: str) -> Da
 def issue_rates(table: DataFrame, rules: list[RowStep], time_column: str, key: str, width: str = "1 hour",
                 slide: str | None = None) -> DataFrame:
     """Issues per rule and time window, on a batch table or a stream."""
-    from ..operators.base import RowSegment
-
     numbered = with_row_id(table, key)
     segment = RowSegment(list(enumerate(rules)))
     layered, _ = segment.layer(numbered)

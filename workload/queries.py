@@ -17,6 +17,7 @@ from tidemark.functions import (
     token_sort_ratio,
 )
 from tidemark.operators.fuzzy import FuzzyText
+from tidemark.plans.pairs import Matcher
 from tidemark.sources.rowid import ROW_ID
 from tidemark.sources.scratch import scratch_path, spread
 from tidemark.streaming import clean_stream, dedup_stream, issue_rates
@@ -361,7 +362,7 @@ def _parts(spark, folder):
 
 @query
 def dup_pairs(spark, folder):
-    found = FuzzyText(_parts(spark, folder), ["p_name"]).pairs(PART_THRESHOLD)
+    found = FuzzyText(_parts(spark, folder), ["p_name"]).pairs(Matcher(PART_THRESHOLD))
     return found.select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -386,7 +387,7 @@ def dup_strict_groups(spark, folder):
 
 @query
 def dup_pairs_customers(spark, folder):
-    found = FuzzyText(dirty(spark, folder), ["name", "email"]).pairs(CUSTOMER_THRESHOLD)
+    found = FuzzyText(dirty(spark, folder), ["name", "email"]).pairs(Matcher(CUSTOMER_THRESHOLD))
     return found.select("a", "b", F.round("score", 6).alias("score"))
 
 
