@@ -28,9 +28,10 @@ from ..functions.similarity import ratio_sorted
 from ..sources.scratch import freeze
 from .pairs import GramCounts, Matcher, Scheme, candidate_load
 
-FIRST_BATCH = 16_384
-GROWTH = 16
-LOAD_PER_TEXT = 20_000
+# Batches start small, so that a crowded cluster meets its leaders early.
+FIRST_BATCH = 2_048
+GROWTH = 8
+SHRINK = 4
 EDGES_PER_TASK = 1_000_000
 
 _ASSIGNED = "id bigint, leader bigint, score double"
@@ -87,20 +88,22 @@ def _earliest(edges: DataFrame) -> DataFrame:
     )
 
 
-def _next_batch(remaining: DataFrame, n: int, size: int, scheme: Scheme) -> tuple[DataFrame, DataFrame | None]:
-    """The earliest texts, about ``size`` of them and fewer if they are crowded."""
+def _next_batch(remaining: DataFrame, n: int, size: int, scheme: Scheme) -> tuple[DataFrame, DataFrame | None, int]:
+    """The earliest texts, about ``size`` of them and fewer if they are crowded.
+
+    Crowded means more candidates per text than unrelated texts would make.
+    """
     while True:
         if n <= size * 2:
-            batch, rest = remaining, None
+            batch, rest, size = remaining, None, n
         else:
             cut = remaining.agg(F.percentile_approx("id", size / n, 100_000).alias("cut")).first()["cut"]
             batch, rest = remaining.where(F.col("id") <= cut), remaining.where(F.col("id") > cut)
-        if size <= FIRST_BATCH or scheme.loss == 0:
-            return batch, rest
-        load = candidate_load(batch, scheme, GramCounts.of(batch, scheme))
-        if load <= LOAD_PER_TEXT * min(n, size * 2):
-            return batch, rest
-        size = max(FIRST_BATCH, size // GROWTH)
+        if size <= FIRST_BATCH * 2 or scheme.loss == 0:
+            return batch, rest, size
+        if candidate_load(batch, scheme, GramCounts.of(batch, scheme)) <= (2_000 + size // 10_000) * size:
+            return batch, rest, size
+        size = max(FIRST_BATCH, size // SHRINK)
 
 
 def greedy_leaders(texts: DataFrame, matcher: Matcher, first_batch: int = FIRST_BATCH) -> DataFrame:
@@ -118,7 +121,7 @@ def greedy_leaders(texts: DataFrame, matcher: Matcher, first_batch: int = FIRST_
     scheme, size, assigned = matcher.scheme, first_batch, []
     remaining: DataFrame | None = texts.select("id", "text")
     while remaining is not None and (n := remaining.count()) > 0:
-        batch, rest = _next_batch(remaining, n, size, scheme)
+        batch, rest, size = _next_batch(remaining, n, size, scheme)
         edges = freeze(matcher.pairs(batch), "edges")
         gone = settle(edges)
         from_kept = edges.join(gone.select(F.col("id").alias("a")), "a", "left_anti")
