@@ -28,8 +28,10 @@ from ..functions.similarity import ratio_sorted
 from ..sources.scratch import freeze
 from .pairs import GramCounts, Matcher, Scheme, candidate_load
 
-# Batches start small, so that a crowded cluster meets its leaders early.
-FIRST_BATCH = 2_048
+# Texts per batch: the first, and the least a crowded one is cut down to, so that
+# a cluster of near copies meets its leaders early.
+FIRST_BATCH = 16_384
+LEAST_BATCH = 2_048
 GROWTH = 8
 SHRINK = 4
 EDGES_PER_TASK = 1_000_000
@@ -99,11 +101,11 @@ def _next_batch(remaining: DataFrame, n: int, size: int, scheme: Scheme) -> tupl
         else:
             cut = remaining.agg(F.percentile_approx("id", size / n, 100_000).alias("cut")).first()["cut"]
             batch, rest = remaining.where(F.col("id") <= cut), remaining.where(F.col("id") > cut)
-        if size <= FIRST_BATCH * 2 or scheme.loss == 0:
+        if size <= LEAST_BATCH * 2 or scheme.loss == 0:
             return batch, rest, size
         if candidate_load(batch, scheme, GramCounts.of(batch, scheme)) <= (2_000 + size // 10_000) * size:
             return batch, rest, size
-        size = max(FIRST_BATCH, size // SHRINK)
+        size = max(LEAST_BATCH, size // SHRINK)
 
 
 def greedy_leaders(texts: DataFrame, matcher: Matcher, first_batch: int = FIRST_BATCH) -> DataFrame:
