@@ -41,11 +41,11 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def freeze(df: DataFrame, label: str) -> DataFrame:
+def freeze(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Compute ``df`` once and cut its lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
