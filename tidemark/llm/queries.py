@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_copies import exact_copies
+from tidemark.llm.leaks import leaks
+from tidemark.llm.near_copies import near_copies
 from tidemark.llm.packing import pack
 from tidemark.llm.token_files import read_documents, write_token_files
 
@@ -56,3 +58,58 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents"), keep="max")
+
+
+@query(
+    "op9_near_dedup",
+    r"""
+    with recursive d as (
+      select doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda x: x <> '') as w
+      from documents),
+    s as (
+      select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s
+      from d),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    p as (
+      select x.doc_id as a, y.doc_id as b, count(*) as inter
+      from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+    l as (
+      select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b
+      where 100 * inter >= 85 * (x.n + y.n - inter)),
+    e as (select a, b from l union all select b, a from l),
+    r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on r.b = e.a),
+    c as (select a as doc_id, min(b) as component_id from r group by a)
+    select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+    from documents join c using (doc_id) left join n using (doc_id)
+    """,
+)
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+LEAKS_SQL = r"""
+    with i as (
+      select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w
+      from benchmark),
+    wanted as (
+      select distinct item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) as s
+      from (select *, least(5, len(w)) as k from i where len(w) > 0)),
+    sizes as (select item_id, count(*) as n_shingles from wanted group by item_id),
+    d as (
+      select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w
+      from documents),
+    own as (
+      select distinct doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) as s
+      from d, (select distinct k from wanted) where len(w) >= k)
+    select doc_id, item_id, n_shingles, count(*) as n_found
+    from own join wanted using (s) join sizes using (item_id)
+    group by doc_id, item_id, n_shingles having count(*) * 100 >= n_shingles * 80
+    """
+
+
+@query("op7_benchmark_leaks", LEAKS_SQL)
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
