@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.exact_copies import exact_copies
 from tidemark.llm.leaks import leaks
+from tidemark.llm.licenses import license_scan
 from tidemark.llm.near_copies import near_copies
 from tidemark.llm.packing import pack
 from tidemark.llm.token_files import read_documents, write_token_files
@@ -113,3 +114,8 @@ LEAKS_SQL = r"""
 @query("op7_benchmark_leaks", LEAKS_SQL)
 def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_license_scan")
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
