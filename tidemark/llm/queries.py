@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_copies import exact_copies
+from tidemark.llm.languages import identify, learn_languages, learnable
 from tidemark.llm.leaks import leaks
 from tidemark.llm.licenses import license_scan
 from tidemark.llm.near_copies import near_copies
 from tidemark.llm.packing import pack
 from tidemark.llm.token_files import read_documents, write_token_files
+from tidemark.sources.scratch import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +121,12 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_license_scan")
 def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op6_language_id")
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_languages(docs.where(learnable(docs)))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    found = identify(spread(docs.select("doc_id", "text")), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
