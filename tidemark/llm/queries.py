@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_copies import exact_copies
+from tidemark.llm.fuzzy_lines import fuzzy_lines
 from tidemark.llm.languages import identify, learn_languages, learnable
 from tidemark.llm.leaks import leaks
 from tidemark.llm.licenses import license_scan
@@ -130,3 +131,8 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     found = identify(spread(docs.select("doc_id", "text")), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op3_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines(table(spark, sf_dir, "documents"))
