@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.chat import repair_roles
 from tidemark.llm.exact_copies import exact_copies
 from tidemark.llm.fuzzy_lines import fuzzy_lines
 from tidemark.llm.languages import identify, learn_languages, learnable
@@ -136,3 +137,8 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op2_chat_repair")
+def chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_roles(table(spark, sf_dir, "conversations"))
