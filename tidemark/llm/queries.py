@@ -16,6 +16,7 @@ from tidemark.llm.leaks import leaks
 from tidemark.llm.licenses import license_scan
 from tidemark.llm.near_copies import near_copies
 from tidemark.llm.packing import pack
+from tidemark.llm.passages import repeated_passages
 from tidemark.llm.token_files import read_documents, write_token_files
 from tidemark.sources.scratch import spread
 
@@ -142,3 +143,8 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_chat_repair")
 def chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_roles(table(spark, sf_dir, "conversations"))
+
+
+@query("op5_repeated_passages")
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
