@@ -18,6 +18,10 @@ from tidemark.sources.scratch import freeze, spread
 
 ROWS = 5
 UNIVERSE = 1 << 20
+# blocks of candidate sets that are compared with each other: nodes, shingles, and columns at a time
+_BLOCK_NODES = 200
+_BLOCK_SHINGLES = 500_000
+_BLOCK_COLUMNS = 8192
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
@@ -138,6 +142,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set on the left shares with each on the right."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(common), _BLOCK_COLUMNS):
+        some = common[at : at + _BLOCK_COLUMNS]
+        sides = []
+        for block in (left, right):
+            has = np.zeros((len(block), len(some)), np.float32)
+            for i, own in enumerate(block):
+                place = np.minimum(np.searchsorted(some, own), len(some) - 1)
+                has[i, place[some[place] == own]] = 1
+            sides.append(has)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes around one component (``main``) that are not connected yet.
+
+    Nodes outside the component are compared with all others around it, block by
+    block: a row is a pair of blocks of bounded size, and only links come out.
+    """
+    entry = F.struct("node", "component", "shingles")
+    block = members.groupBy("main", "lot").agg(F.collect_list(entry).alias("theirs"))
+    apart = members.where("component <> main").groupBy("main", "lot").agg(F.collect_list(entry).alias("ours"))
+    pairs = apart.select("main", "ours").join(block.select("main", "theirs"), "main").select("ours", "theirs")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = []
+                for name in ("ours", "theirs"):
+                    rows = batch[name].slice(i, 1).flatten()
+                    nodes, labels, lists = (rows.field(k) for k in range(3))
+                    at = lists.offsets.to_numpy()
+                    values = lists.values.to_numpy()
+                    sets = [np.sort(values[x:y]) for x, y in zip(at, at[1:], strict=False)]
+                    sides.append((nodes.to_numpy(), labels.to_numpy(), sets, np.diff(at).astype(np.int64)))
+                (n1, c1, s1, k1), (n2, c2, s2, k2) = sides
+                both = _overlaps(s1, s2) * (100 + percent) >= (k1[:, None] + k2) * percent
+                a, b = np.nonzero(both & (c1[:, None] != c2))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n1[a], n2[b])), pa.array(np.maximum(n1[a], n2[b]))], names=["a", "b"])
+
+    return pairs.mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_copies(
     docs: DataFrame,
     *,
@@ -157,9 +209,9 @@ def near_copies(
     that share a band are candidates.  A node too many of whose shingles occur
     in no other candidate cannot reach the threshold and leaves.  Then, in every
     bucket, all members are compared with one member (the one closest to what the
-    others share); members that it does not connect are compared with everything
-    of another component that the same bound leaves possible.  So no bucket is
-    expanded into all its pairs, yet each candidate pair is either compared on the
+    others share).  Members that it does not connect are compared with everything
+    around its component, in pairs of blocks of bounded size.  So no bucket is
+    expanded into its pairs, yet each candidate pair is either compared on the
     full sets or already connected.  A pair at the threshold shares no band with
     probability 1e-7 (independent coordinates assumed); higher similarities less.
 
@@ -193,11 +245,11 @@ def near_copies(
         .agg(F.min("node").alias("node"), F.max("node").alias("other"))
         .where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     )
-    sizes = sets.groupBy("node").agg(F.min(F.size("shingles")).alias("least"), F.max(F.size("shingles")).alias("n"))
+    sizes = sets.groupBy("node").agg(F.min(F.size("shingles")).alias("least"), F.max(F.size("shingles")).alias("n"), F.count(F.lit(1)).alias("sets"))
     # a document given by several rows keeps the loosest bound of them
     known = sizes.join(alone, "node", "left").select(
         "node", F.col("least").cast("bigint").alias("n"),
-        (F.col("n") - F.when(F.col("least") == F.col("n"), F.coalesce("alone", F.lit(0))).otherwise(0)).alias("shared"),
+        (F.col("n") - F.when(F.col("sets") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("shared"),
     )
     known = known.where(F.col("shared") * 100 >= F.col("n") * percent)
     members = freeze(members.join(known, "node"), "possible-members")
@@ -210,21 +262,18 @@ def near_copies(
     labels = freeze(components(links), "first-components")
 
     marked = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_buckets = marked.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    marked = freeze(marked.join(open_buckets.select("bucket"), "bucket", "left_semi"), "open-members")
-    core = core.join(labels, "node", "left").select("bucket", F.coalesce("component", "node").alias("main"))
-    marked = marked.join(core, "bucket").withColumn("apart", F.expr("component <> main"))
-    rest = marked.where("apart").alias("m").join(
-        marked.alias("c"),
-        F.expr("m.bucket = c.bucket and m.component <> c.component and (not c.apart or m.node < c.node)") & _reach("m", "c", percent),
-    )
-    second = rest.select(F.least("m.node", "c.node").alias("a"), F.greatest("m.node", "c.node").alias("b")).distinct()
-    more = _verified(second.join(first, ["a", "b"], "left_anti"), sets, percent)
-    links = freeze(links.unionByName(more), "all-links")
-    labels = components(links)
-
-    placed = features.select("doc_id", "n", "set_key").join(nodes, "set_key", "left").join(labels, "node", "left")
+    main = core.join(labels, "node", "left").select("bucket", F.coalesce("component", "node").alias("main"))
+    marked = freeze(marked.join(main, "bucket").select("main", "node", "component", "n").distinct(), "around-components")
+    sizes = marked.groupBy("main").agg(
+        F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"), F.count_if(F.expr("component <> main")).alias("apart")
+    ).where("apart > 0")
+    lots = F.ceil(F.greatest(F.col("nodes") / _BLOCK_NODES, F.col("shingles") / _BLOCK_SHINGLES)).cast("int")
+    marked = marked.join(sizes.select("main", lots.alias("lots")), "main").withColumn("lot", F.pmod(F.xxhash64("node"), "lots"))
+    more = _across(marked.join(sets, "node"), percent)
+    placed = freeze(features.select("doc_id", "n", "set_key").join(nodes, "set_key", "left").drop("set_key"), "placed")
+    given_twice = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
+    labels = components(links.unionByName(more).unionByName(given_twice))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return placed.select(
+    return placed.join(labels, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
