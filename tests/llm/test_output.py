@@ -71,10 +71,11 @@ def library_ids(name, text, end):
 def test_remembered_words_give_the_library_ids(name):
     encoder, plain = Encoder(public_tokenizers.path(name), remember=40), Tokenizer.from_file(public_tokenizers.path(name))
     rng = random.Random(5)
-    parts = ["word", "don't", "Éa\n", "12", "x.\n\ny", " ", "", "\t", " ", "é", "ΑΣ", "--", "日本", "　", "'s", "<|endoftext|>", "\x1c", "́z"]
-    for _ in range(800):
-        text = rng.choice([" ", "  ", ""]).join(rng.choices(parts, k=rng.randint(0, 9)))
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    parts = ["word", "don't", "word,", "Été...", "l'", "x<|", "ÆØ!?", "Éa\n", "12", "x.\n\ny", " ", "", "\t", " ", "é", "ΑΣ", "--", "日本", "　", "'s", "<|endoftext|>", "\x1c", "́z"]
+    for _ in range(80):
+        texts = [rng.choice([" ", "  ", ""]).join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(10)]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 @pytest.mark.parametrize("length, rows", [(8, 2), (64, 3), (2048, 64)])

@@ -4,52 +4,128 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-# A text is cut before a single space between two visible characters.  Both
-# vocabularies below end a token there, so the parts can be encoded by
-# themselves and repeated parts only once.
-_UNSAFE = re.compile(r"\s |(?: \s)|^\s|\s$|<\|")
+# A plain word, with or without punctuation behind it, never has a token over the place between the two.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+# Texts are taken together up to this many characters, so that unknown words go to the library in one call.
+TOGETHER = 4_000_000
 
 
 class Encoder:
     """Encodes texts with a ``tokenizers`` file and remembers the ids of repeated words.
 
-    For vocabularies whose pre-tokenizer never lets a token run over the space
-    before a word (byte-level and white-space-dropping BPE).  Texts with runs of
-    spaces or text that looks like a special token are encoded in one piece.
-    The memory is emptied when it holds ``remember`` words.
+    A text is cut before every single space between two visible characters.  With
+    vocabularies whose pre-tokenizer never lets a token run over that place
+    (byte-level and white-space-dropping BPE) the parts can be encoded by
+    themselves, and repeated parts only once; so can a plain word and the
+    punctuation behind it.  A text with other white space beside a space, or with
+    what looks like a special token, is encoded whole.  Memory of parts and of
+    words is emptied when it holds ``remember`` of them (about 200 bytes each).
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", remember: int = 300_000):
+    def __init__(self, path: str, dtype: str = "<u4", remember: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.remember = remember
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        # ids of parts that follow a space, and of parts that begin a text; None: the text is not cut
+        self.later: dict[str, bytes | None] = {}
+        self.first: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        # the ids that begin a word after a space, or end one: each plain word has exactly one of them
+        self.begins, self.ends = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"Ids of {path} do not fit {dtype}")
 
-    def _packed(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in found]
-
-    def encode(self, text: str) -> bytes:
-        """The ids as packed integers of ``dtype``."""
-        if _UNSAFE.search(text) or " " not in text:
-            return self._packed([text])[0] if text else b""
-        head, *rest = text.split(" ")
-        if len(self.later) + len(self.first) > self.remember:
-            self.first.clear()
-            self.later.clear()
-        later = self.later
-        new = [w for w in set(rest) if w not in later]
-        if new:
-            later.update(zip(new, self._packed([f" {w}" for w in new]), strict=True))
-        if head not in self.first:
-            self.first[head] = self._packed([head])[0]
-        return self.first[head] + b"".join([later[w] for w in rest])
+    def _ids(self, parts: list[str]) -> Iterator[bytes]:
+        for found in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False):
+            yield array(self.code, found.ids).tobytes()
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of plain words after a space; many are encoded as one text, which the library does faster."""
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            text = "".join([f" {w}" for w in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1 if self.ends.any() else np.append(np.flatnonzero(self.begins[ids])[1:], len(ids))
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                packed = ids.tobytes()
+                places = [0, *(cuts * self.dtype.itemsize).tolist()]
+                yield from (packed[a:b] for a, b in zip(places, places[1:], strict=False))
+            else:
+                yield from self._ids([f" {w}" for w in some])
+
+    def _learn(self, known: dict[str, bytes | None], new: set[str], before: str) -> None:
+        whole, words, plain = [], set(), []
+        for part in new:
+            word = part.rstrip(string.punctuation)
+            if "<|" in part or not part or part[0].isspace() or part[-1].isspace():
+                known[part] = None
+            elif before and _PLAIN.fullmatch(word):
+                plain.append((part, word, part[len(word) :]))
+                if word not in self.words:
+                    words.add(word)
+            else:
+                whole.append(part)
+        known.update(zip(whole, self._ids([before + p for p in whole]), strict=True))
+        words = list(words)
+        self.words.update(zip(words, self._words(words), strict=True))
+        tails = list({t for _, _, t in plain} - self.tails.keys())
+        self.tails.update(zip(tails, self._ids(tails), strict=True))
+        for part, word, tail in plain:
+            known[part] = self.words[word] + self.tails[tail]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as packed integers of ``dtype``."""
+        for memory in (self.later, self.first, self.words):
+            if len(memory) > self.remember:
+                memory.clear()
+        cut = [t.split(" ") for t in texts]
+        self._learn(self.first, {c[0] for c in cut} - self.first.keys(), "")
+        heads = [c.pop(0) for c in cut]
+        self._learn(self.later, set().union(*cut) - self.later.keys(), " ")
+        ids_after = self.later.__getitem__
+        out = []
+        for text, head, rest in zip(texts, heads, cut, strict=True):
+            try:
+                out.append(b"".join([self.first[head], *map(ids_after, rest)]))
+            except TypeError:
+                out.append(next(self._ids([text])))
+        return out
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def shared_encoder(path: str, dtype: str = "<u4") -> Encoder:
+    """One encoder per Python worker, which keeps its memory from task to task."""
+    if (path, dtype) not in _ENCODERS:
+        _ENCODERS[path, dtype] = Encoder(path, dtype)
+    return _ENCODERS[path, dtype]
+
+
+def portions(rows: Iterable[tuple[int | None, str]]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts in lists of a bounded number of characters (one text may be longer)."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in rows:
+        ids.append(doc_id)
+        texts.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.encoding import Encoder
+from tidemark.llm.encoding import portions, shared_encoder
 from tidemark.llm.tables import texts
 from tidemark.sources.scratch import freeze, spread
 
@@ -123,7 +123,7 @@ def pack(
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = None, np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         seen = np.zeros(window + 1, np.int64)
         part = TaskContext.get().partitionId()
         rows: list[tuple] = []
@@ -136,16 +136,17 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = encoder.encode(text.as_py()) + end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    piece = ids[4 * start : 4 * (start + window)]
-                    length = len(piece) // 4
-                    rows.append((doc_id, start, length, total, piece, part, int(seen[length])))
-                    seen[length] += 1
-                    held += len(piece)
+            texts_of = zip(batch["doc_id"].to_pylist(), (t.as_py() for t in batch["text"]), strict=True)
+            for doc_ids, some in portions(texts_of):
+                for doc_id, packed in zip(doc_ids, encoder.encode(some), strict=True):
+                    ids = packed + end
+                    total = len(ids) // 4
+                    for start in range(0, total, window):
+                        piece = ids[4 * start : 4 * (start + window)]
+                        length = len(piece) // 4
+                        rows.append((doc_id, start, length, total, piece, part, int(seen[length])))
+                        seen[length] += 1
+                        held += len(piece)
                 if held > 8_000_000:
                     yield flush()
                     rows, held = [], 0

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.encoding import Encoder
+from tidemark.llm.encoding import portions, shared_encoder
 from tidemark.llm.tables import texts
 from tidemark.sources.scratch import scratch_path
 
@@ -141,18 +141,20 @@ def write_token_files(
         n_docs = n_tokens = 0
         for batch in batches:
             if batch.num_rows and out is None:
-                encoder, end = Encoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
+                encoder, end = shared_encoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
                 system, inner = _open(folder)
                 system.create_dir(inner, recursive=True)
                 shard = TaskContext.get().partitionId()
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.arrow"
                 sink = system.open_output_stream(posixpath.join(inner, name))
                 out = _Writer(sink, schema, length, rows_per_batch)
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = np.frombuffer(encoder.encode(text.as_py()) + end, dtype)
-                out.add(doc_id, ids)
-                n_docs += 1
-                n_tokens += len(ids)
+            rows = zip(batch["doc_id"].to_pylist(), (t.as_py() for t in batch["text"]), strict=True)
+            for doc_ids, some in portions(rows):
+                for doc_id, packed in zip(doc_ids, encoder.encode(some), strict=True):
+                    ids = np.frombuffer(packed + end, dtype)
+                    out.add(doc_id, ids)
+                    n_docs += 1
+                    n_tokens += len(ids)
         if out is not None:
             out.close()
             sink.close()
