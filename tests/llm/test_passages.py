@@ -40,7 +40,7 @@ def test_best_chain_equals_quadratic_search(seed):
 def test_shared_runs_share_a_seed():
     rng = np.random.default_rng(2)
     for _ in range(50):
-        run = rng.integers(0, 2**63, 12).astype(np.uint64)
+        run = rng.integers(0, 2**63, 14).astype(np.uint64)
         a = np.concatenate([rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64), run, rng.integers(0, 2**63, 9).astype(np.uint64)])
         b = np.concatenate([rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64), run])
         assert set(minimizers(a)[0].tolist()) & set(minimizers(b)[0].tolist())

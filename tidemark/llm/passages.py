@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import small_enough, texts
+from tidemark.llm.tables import texts
 from tidemark.sources.scratch import freeze, spread
 
 SEED = 5
-WINDOW = 8
+WINDOW = 10
 LEAST = 2
 GAP_COST = 0.1
 MAX_GAP = 40
@@ -220,15 +220,15 @@ def repeated_passages(
     ``ref_doc_ids`` all documents that pieces of it were found in.  The first
     document that has a passage is named by the others and has no row for it.
 
-    Seeds (minimizers of five-word runs, two in nine words) are joined with
+    Seeds (minimizers of five-word runs, two in eleven words) are joined with
     their first occurrence in the table, never with each other, so a passage in a
     third of all documents gives one match per occurrence.  Matches of a document
     with one other are chained, chains are aligned word by word on both texts and extended, and
     pieces of ``min_piece`` words or more are merged per document: a passage
     whose parts were first seen in different documents is found as a whole.
-    Only documents with chains are read again, and of the texts only windows around chains travel.
+    Documents with chains are read again, and 32-bit word hashes of the windows around chains are aligned.
 
-    A passage shows if two seeds of it in reach of each other survive its edits; 21 words
+    A passage shows if two seeds of it in reach of each other survive its edits; 25 words
     without an edit always hold two.
 
     Defined cases: null, empty and short texts have no passages; rows with a null
@@ -250,12 +250,10 @@ def repeated_passages(
                 )
 
     seeds = freeze(rows.mapInArrow(sow, "doc_id long, seed long, pos int"), "seeds")
-    shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("ref_id"), F.max("doc_id").alias("other")).where("ref_id < other")
-    shared = freeze(shared.select("seed", "ref_id"), "shared-seeds")
-    hint = F.broadcast if small_enough(shared) else (lambda df: df)
-    known = freeze(seeds.join(hint(shared), "seed"), "known-seeds")
-    refs = known.where("doc_id = ref_id").groupBy("seed").agg(F.min("pos").alias("ref_pos"))
-    matches = known.where("doc_id > ref_id").join(refs, "seed").select("doc_id", "ref_id", "pos", "ref_pos")
+    shared = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("ref"), F.max("doc_id").alias("other"))
+    shared = shared.where("ref.doc_id < other").select("seed", F.col("ref.doc_id").alias("ref_id"), F.col("ref.pos").alias("ref_pos"))
+    # both sides come from tables, so a popular seed's partition can be split
+    matches = seeds.join(freeze(shared, "shared-seeds"), "seed").where("doc_id > ref_id").drop("seed")
     matches = matches.repartition("doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id", "pos", "ref_pos")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,21 +280,20 @@ def repeated_passages(
     )
     asked = freeze(sides.distinct().withColumn("lot", F.pmod(F.xxhash64("lo", "hi"), F.lit(64))).groupBy("doc_id", "lot")
                    .agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")), "asked-windows")
-    hint = F.broadcast if small_enough(asked, 50_000) else (lambda df: df)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             words = Words()
             for batch in batches:
                 for doc_id, text, cuts in zip(batch["doc_id"].to_pylist(), batch["text"], batch["cuts"].to_pylist(), strict=True):
-                    own = words.of(text.as_py())
+                    own = words.of(text.as_py()).astype(np.uint32)
                     for c in cuts:
                         yield doc_id, c["lo"], c["hi"], own[c["lo"] * MARGIN : c["hi"] * MARGIN].tobytes()
 
         return _batches(found(), ["doc_id", "lo", "hi", "words"], [_INT] * 3 + [pa.binary()], 500)
 
-    pieces = rows.join(hint(asked), "doc_id").mapInArrow(cut, "doc_id long, lo long, hi long, words binary")
-    pieces = freeze(pieces.distinct(), "windows", compression="zstd")
+    pieces = rows.join(asked, "doc_id").mapInArrow(cut, "doc_id long, lo long, hi long, words binary")
+    pieces = freeze(pieces, "windows", compression="zstd")
     of_doc = pieces.select("doc_id", F.col("lo").alias("d_from"), F.col("hi").alias("d_to"), F.col("words").alias("d_words"))
     of_ref = pieces.select(F.col("doc_id").alias("ref_id"), F.col("lo").alias("r_from"), F.col("hi").alias("r_to"), F.col("words").alias("r_words"))
     both = linked.join(of_doc, ["doc_id", "d_from", "d_to"]).join(of_ref, ["ref_id", "r_from", "r_to"])
@@ -306,7 +303,7 @@ def repeated_passages(
             for batch in batches:
                 for r in batch.to_pylist():
                     d, e = r["d_from"] * MARGIN, r["r_from"] * MARGIN
-                    a, b = np.frombuffer(r["d_words"], np.uint64), np.frombuffer(r["r_words"], np.uint64)
+                    a, b = np.frombuffer(r["d_words"], np.uint32), np.frombuffer(r["r_words"], np.uint32)
                     spans = align(a, b, np.array(r["left"]) - d, np.array(r["right"]) - e)
                     if spans:
                         x, x_end, y, y_end, edits = spans
