@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rowid import number_files
+from .rowid import ROW_ID, number_files, with_row_id
 from .workbooks import read_workbooks
 
 READ_FORMATS = ("csv", "json", "xlsx", "parquet", "orc")
@@ -28,7 +28,7 @@ def detect_format(path: str, fmt: str | None = None, allowed=READ_FORMATS) -> st
     name = path.rstrip("/").rsplit("/", 1)[-1]
     found = (fmt or (name.rsplit(".", 1)[1] if "." in name else "")).strip().lower()
     if found not in allowed:
-        raise UnsupportedFormat(f"Unsupported dataset format: {found or name}")
+        raise UnsupportedFormat(f"No reader or writer for {found or name!r}")
     return found
 
 
@@ -36,11 +36,11 @@ def clean_header(df: DataFrame) -> DataFrame:
     """Strip header names; empty or repeated ones are errors."""
     stripped = [c.strip() for c in df.columns]
     if not all(stripped):
-        raise ValueError("Column name cannot be empty")
+        raise ValueError("The header has a column without a name")
     exact = (df.sparkSession.conf.get("spark.sql.caseSensitive", "false") or "").lower() == "true"
     seen = stripped if exact else [c.lower() for c in stripped]
     if len(set(seen)) != len(seen):
-        raise ValueError("Dataset columns must be unique")
+        raise ValueError("The header names a column twice")
     return df if stripped == df.columns else df.toDF(*stripped)
 
 
@@ -50,42 +50,121 @@ def read_table(
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     infer: bool = False,
-    lines: bool = False,
+    lines: bool | None = None,
     na_tokens=NA_TOKENS,
     row_id: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a file, folder or glob.
 
-    CSV cells are text unless ``schema`` or ``infer`` says otherwise, so ledgers
-    show them as written; any of ``na_tokens`` becomes null.  JSON is an array
-    of records, or one record per line with ``lines`` (which splits and scales).
+    CSV and workbook cells are text unless ``schema`` or ``infer`` says otherwise, so
+    ledgers show them as written; any of ``na_tokens`` becomes null before types
+    are inferred.  A row with fewer cells than the header ends in nulls, a row
+    with more is an error.  ``multi_line=False`` lets Spark split large CSV files
+    whose cells have no line breaks.
+
+    JSON files hold an array of records, or a record per line (which splits and
+    scales); ``lines`` says which, or else the first character of every file
+    does, and a folder with both kinds is an error.  Columns keep the order of the first record.
     ``row_id`` adds contiguous ids in file order.
     """
     kind = detect_format(path, fmt)
-    if kind == "xlsx":
-        return clean_header(read_workbooks(spark, path))
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
     if kind == "csv":
-        # multiLine would make a file unsplittable; quoted line breaks need it
-        df = reader.option("header", True).option("inferSchema", infer and schema is None).option(
-            "escape", '"'
-        ).csv(path)
+        df = _read_csv(spark, path, multi_line)
     elif kind == "json":
-        df = reader.option("multiLine", not lines).json(path)
+        df = _read_json(spark, path, schema, lines)
+    elif kind == "xlsx":
+        df = read_workbooks(spark, path)
     else:
+        reader = spark.read if schema is None else spark.read.schema(schema)
         df = reader.format(kind).load(path)
     if row_id:
-        df = number_files(df)
+        df = number_files(df) if kind != "xlsx" else with_row_id(df)
     df = clean_header(df)
-    if kind == "csv" and na_tokens:
-        df = df.select(*[_without_tokens(f, na_tokens) for f in df.schema.fields])
+    if kind in ("csv", "xlsx"):
+        if na_tokens:
+            df = df.select(*[_without_tokens(f, na_tokens) for f in df.schema.fields])
+        if schema is not None:
+            df = _typed(df, schema)
+        elif infer:
+            df = _inferred(df)
     return df
 
 
+def _name(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Text cells by position, with one column more to see rows that are too long."""
+    options = {"escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE"}
+    first = spark.read.options(**options, header=False).csv(path).first()
+    header = [(cell or "").strip() for cell in first] if first else []
+    if not header:
+        raise ValueError(f"No header in {path}")
+    width = len(header)
+    names = [f"c{i}" for i in range(width)] + ["more"]
+    places = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    cells = spark.read.options(**options, header=True).schema(places).csv(path)
+    tidy = cells.where(F.expr("if(more is null, true, raise_error('A row has more cells than the header'))"))
+    return tidy.select(*names[:-1]).toDF(*_checked(spark, header))
+
+
+def _checked(spark: SparkSession, header: list[str]) -> list[str]:
+    """The header names, if each is there and there once."""
+    return clean_header(spark.createDataFrame([], T.StructType([T.StructField(h, T.StringType()) for h in header]))).columns
+
+
+def _read_json(spark: SparkSession, path: str, schema, lines: bool | None) -> DataFrame:
+    text = spark.read.text(path).select(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), F.trim("value").alias("line")
+    ).where("line <> ''")
+    starts = text.groupBy("file").agg(F.min_by(F.left("line", F.lit(1)), "n").alias("c"))
+    kinds = {r["array"] for r in starts.select((F.col("c") == "[").alias("array")).distinct().collect()}
+    if len(kinds) > 1 or (lines is not None and kinds == {lines}):
+        raise ValueError(f"{path} holds {'both arrays and lines of records' if len(kinds) > 1 else 'an array' if lines else 'lines of records'}")
+    array = True in kinds
+    reader = spark.read.option("multiLine", array).option("mode", "FAILFAST")
+    if schema is not None:
+        return reader.schema(schema).json(path)
+    df = reader.json(path)
+    # inference sorts the names; the first record knows their order
+    source = spark.read.text(path, wholetext=True) if array else text.select(F.col("line").alias("value"))
+    record = F.get_json_object("value", "$[0]") if array else F.col("value")
+    first = source.select(F.json_object_keys(record).alias("keys")).first()
+    keys = [k for k in (first["keys"] if first and first["keys"] else []) if k in df.columns]
+    return df.select(*map(_name, keys), *[_name(c) for c in df.columns if c not in keys])
+
+
+def _typed(df: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Cells cast to the schema's types, by position; a cell that is no such value is an error."""
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    ids = [c for c in df.columns if c == ROW_ID]
+    cells = [c for c in df.columns if c != ROW_ID]
+    if len(cells) != len(wanted):
+        raise ValueError(f"The schema has {len(wanted)} columns, the table {len(cells)}")
+    return df.select(*ids, *[_name(c).cast(f.dataType).alias(f.name) for c, f in zip(cells, wanted, strict=True)])
+
+
+def _inferred(df: DataFrame) -> DataFrame:
+    """Text columns in the narrowest type that all their cells have; one pass over the table."""
+    kinds = ("int", "bigint", "double", "date", "timestamp", "boolean")
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    fits = [
+        F.every(_name(c).isNull() | _name(c).try_cast(k).isNotNull()).alias(f"f{i}_{k}") for i, c in enumerate(texts) for k in kinds
+    ]
+    some = [F.count(_name(c)).alias(f"n{i}") for i, c in enumerate(texts)]
+    if not texts:
+        return df
+    found = df.agg(*fits, *some).first()
+    types = {}
+    for i, c in enumerate(texts):
+        types[c] = next((k for k in kinds if found[f"n{i}"] and found[f"f{i}_{k}"]), "string")
+    return df.select(*[_name(c).cast(types[c]).alias(c) if c in types else _name(c) for c in df.columns])
+
+
 def _without_tokens(field: T.StructField, tokens):
-    c = F.col("`" + field.name.replace("`", "``") + "`")
+    c = _name(field.name)
     if not isinstance(field.dataType, T.StringType):
         return c
     return F.when(~c.isin(*tokens), c).alias(field.name)
