@@ -117,7 +117,7 @@ def _cheapest(matrices: list[np.ndarray], entry: int, exit_costs: np.ndarray) ->
     return way[::-1]
 
 
-_ROWS = "conv_id long, turn long, role string, text string, part int, chunk long, pos int, roles binary"
+_ROWS = "conv_id long, turn long, role string, text string, part int, chunk long, pos int, was int, now int, ends boolean, roles binary"
 _SPAN = "conv_id long, part int, chunk long, entry int, exit int, first boolean, last boolean, before long"
 
 
@@ -140,10 +140,11 @@ def repair_roles(
 
     The dynamic program is a product of small (min, +) matrices, which is
     associative.  Turns are sorted by range, so a long conversation spreads over
-    many tasks; each chunk of at most 512 turns yields one matrix.  Products per
-    task range, then per conversation, choose the states at the borders, and
-    each chunk is then solved by itself.  No conversation is ever in one task, and
-    texts are shuffled once.
+    many tasks.  A conversation inside one range and one chunk of 512 turns is
+    solved where it lies.  Of the others (the first and last of each range, and long ones) each
+    chunk yields one matrix; products per range, then per conversation, choose the
+    states at the borders, and each chunk is solved by itself.  No long
+    conversation is ever in one task, and texts are shuffled once.
 
     Defined cases: turns with equal numbers are ordered by a hash of role and text;
     null turns come first; rows with a null conversation are one conversation; a
@@ -160,32 +161,49 @@ def repair_roles(
     ordered = kept.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Numbers the chunks; a chunk's first row carries the roles of all its rows."""
+        """Numbers the chunks and solves conversations that lie inside this range and fit one chunk.
+
+        Of all others, a chunk's first row carries the roles of all its rows.
+        """
         part, chunk, held, conv = TaskContext.get().partitionId(), -1, [], None
+        first = begins = True  # the range's first conversation may have begun in another
+
+        names = ["conv_id", "turn", "role", "text", "part", "chunk", "pos", "was", "now", "ends", "roles"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        ready: list[tuple] = []
+
+        def close(alone: bool) -> None:
+            roles = [rules.code(h["role"]) for h in held]
+            way = _cheapest([rules.steps[r] for r in roles], 0, exits) if alone else []
+            for pos, h in enumerate(held):
+                solved = (way[pos - 1] if pos else 0, way[pos], pos == len(held) - 1) if alone else (None, None, None)
+                ready.append((h["conv_id"], h["turn"], h["role"], h["text"], part, chunk, pos, *solved, None if alone or pos else bytes(roles)))
 
         def flush() -> pa.RecordBatch:
-            n = len(held)
-            roles = bytes(rules.code(h["role"]) for h in held)
-            columns = {k: [h[k] for h in held] for k in ("conv_id", "turn", "role", "text")}
-            columns |= {"part": [part] * n, "chunk": [chunk] * n, "pos": list(range(n)), "roles": [roles] + [None] * (n - 1)}
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True)], names=list(columns))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ready, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
             for row in batch.to_pylist():
-                if held and (len(held) == CHUNK or row["conv_id"] != conv):
-                    yield flush()
-                    held = []
+                changes = row["conv_id"] != conv
+                if held and (changes or len(held) == CHUNK):
+                    close(changes and begins and not first)
+                    held, begins = [], changes
+                    first = first and not changes
                 if not held:
                     conv, chunk = row["conv_id"], chunk + 1
                 held.append(row)
+                if len(ready) >= 2048:
+                    yield flush()
+                    ready.clear()
         if held:
+            close(False)
+        if ready:
             yield flush()
 
-    rows = freeze(ordered.mapInArrow(chunked, _ROWS), "turns", compression="zstd")
-    chunks = rows.where("roles is not null").select("conv_id", "part", "chunk", "roles")
     n = len(rules.states)
     exits = np.array([float(rules.insert * len(c)) for c in rules.closing])
+    rows = freeze(ordered.mapInArrow(chunked, _ROWS), "turns", compression="zstd")
+    chunks = rows.where("roles is not null").select("conv_id", "part", "chunk", "roles")
     one_exit = lambda state: np.where(np.arange(n) == state, 0.0, np.inf)
     matrix = lambda roles: _product([rules.steps[r] for r in roles])
 
@@ -239,10 +257,12 @@ def repair_roles(
         solved = F.broadcast(solved)
     state = F.get("way", F.col("pos"))
     from_state = F.when(F.col("pos") == 0, F.col("entry")).otherwise(F.get("way", F.col("pos") - 1))
-    placed = rows.join(solved, ["part", "chunk"]).select(
+    parted = rows.where("now is null").drop("was", "now", "ends").join(solved, ["part", "chunk"]).select(
         "conv_id", (F.col("before") + F.col("pos")).alias("position"), "turn", "role", "text", from_state.alias("was"), state.alias("now"),
         (F.col("last") & (F.col("pos") == F.size("way") - 1)).alias("ends"),
     )
+    inside = rows.where("now is not null").select("conv_id", F.col("pos").cast("bigint").alias("position"), "turn", "role", "text", "was", "now", "ends")
+    placed = inside.unionByName(parted)
     return _written(placed, rules)
 
 
