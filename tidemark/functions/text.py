@@ -106,7 +106,7 @@ def title_case(c: Column) -> Column:
 
 
 def render(c: Column, dtype: T.DataType) -> Column:
-    """Text of a scalar the way a scripting user would print it."""
+    """Text of a cell the way a scripting user would print it; dates and nested values in SQL's text form."""
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, T.BooleanType):
@@ -151,8 +151,10 @@ def comparable_text(columns: list[tuple[Column, T.DataType]]) -> Column:
             text = casefold(collapse_ws(c))
         elif isinstance(dtype, T.BooleanType):
             text = F.when(c, F.lit("true"))
-        else:
+        elif isinstance(dtype, T.NumericType):
             text = F.when(c != 0, F.lower(render(c, dtype)))
+        else:
+            text = F.lower(render(c, dtype))
         parts.append(F.coalesce(text, F.lit("")))
     return F.trim(F.concat_ws(" ", *parts))
 

@@ -57,17 +57,21 @@ def require_columns(columns, message: str) -> tuple[str, ...]:
     return columns
 
 
-def column_types(df: DataFrame, columns) -> dict[str, T.DataType]:
-    """Types of the target columns; unknown or non-scalar targets are errors."""
-    known = {f.name: f.dataType for f in df.schema.fields}
-    out = {}
+def column_types(df: DataFrame, columns, rewrites: bool = False) -> dict[str, T.DataType]:
+    """Types of the target columns; an unknown one is an error.
+
+    Values of any type can be read, as text; only scalars can be rewritten.
+    """
+    return picked_types({f.name: f.dataType for f in df.schema.fields}, columns, rewrites)
+
+
+def picked_types(known: dict[str, T.DataType], columns, rewrites: bool) -> dict[str, T.DataType]:
     for name in columns:
         if name not in known:
             raise ValueError(f"Unknown column: {name}")
-        if not isinstance(known[name], _SCALARS):
-            raise ValueError(f"Column {name} is {known[name].simpleString()}, not a scalar that can be cleaned")
-        out[name] = known[name]
-    return out
+        if rewrites and not isinstance(known[name], _SCALARS):
+            raise ValueError(f"Column {name} is {known[name].simpleString()}, not a scalar that can be rewritten")
+    return {name: known[name] for name in columns}
 
 
 def user_columns(df: DataFrame) -> list[str]:
@@ -132,6 +136,10 @@ class RowStep(Step):
     def after(self, cell: Cell) -> Column:
         return cell.before
 
+    def result_type(self, dtype: T.DataType) -> T.DataType:
+        """The type of ``after`` for a column of type ``dtype``."""
+        return dtype
+
     def changed(self, cell: Cell) -> Column:
         return ~cell.before.eqNullSafe(cell.after)
 
@@ -152,6 +160,7 @@ class _Target:
     dtype: T.DataType
     before: str
     after: str | None = None
+    after_type: T.DataType | None = None
     changed: str | None = None
     message: str | None = None
 
@@ -167,9 +176,10 @@ class RowSegment:
         """Add a column per cell version, change flag and message."""
         names = user_columns(df)
         current = {name: name for name in names}
+        known = {f.name: f.dataType for f in df.schema.fields}
         self.cells = []
         for step, op in self.steps:
-            types = column_types(df, op.columns)
+            types = picked_types(known, op.columns, op.rewrites)
             fresh = []
             for i, (name, dtype) in enumerate(types.items()):
                 if op.needs_text and not isinstance(dtype, T.StringType):
@@ -177,6 +187,7 @@ class RowSegment:
                 cell = _Target(step, op.name, op.rule, name, dtype, current[name])
                 if op.rewrites:
                     cell.after = f"_after_{step}_{i}"
+                    cell.after_type = known[name] = op.result_type(dtype)
                     current[name] = cell.after
                 fresh.append(cell)
             views = [Cell(c.column, col(c.before), c.dtype) for c in fresh]
@@ -238,7 +249,7 @@ class RowSegment:
                 F.struct(
                     F.lit(c.step).alias("step"), F.lit(c.operation).alias("operation"),
                     F.lit(c.column).alias("column"), render(col(c.before), c.dtype).alias("before"),
-                    render(col(c.after), c.dtype).alias("after"),
+                    render(col(c.after), c.after_type).alias("after"),
                     F.lit(c.dtype.simpleString()).alias("value_type"),
                 ),
             )
@@ -258,7 +269,7 @@ class RowSegment:
                 F.struct(
                     F.lit(c.step).alias("step"), F.lit(c.operation).alias("operation"),
                     F.lit(c.column).alias("column"), F.lit(c.rule).alias("rule"),
-                    render(col(c.after or c.before), c.dtype).alias("value"),
+                    render(col(c.after or c.before), c.after_type or c.dtype).alias("value"),
                     F.lit(c.dtype.simpleString()).alias("value_type"), col(c.message).alias("message"),
                 ),
             )

@@ -106,7 +106,7 @@ class FuzzyDedup(Step):
 
     def __init__(self, columns, threshold: float, mode: str = "suggest", expand: bool = False, similarity=None,
                  candidates_at: float | None = None, name: str = "fuzzy-deduplication") -> None:
-        self.columns = require_columns(columns, "Fuzzy deduplication requires at least one column")
+        self.columns = require_columns(columns, "Name the columns to compare")
         self.matcher = Matcher(threshold, similarity, candidates_at)
         if mode not in MODES:
             raise ValueError(f"Unknown fuzzy deduplication mode: {mode}")

@@ -35,10 +35,10 @@ class InferTypes(Step):
         self.date_formats = tuple(date_formats)
         self.name = name
         if not self.date_formats:
-            raise ValueError("Type inference requires at least one date format")
+            raise ValueError("Give the formats that count as dates")
         for kind in self.overrides.values():
             if kind not in COLUMN_TYPES:
-                raise ValueError(f"Unknown column type: {kind}")
+                raise ValueError(f"{kind!r} is none of the types {', '.join(COLUMN_TYPES)}")
 
     def suggestions(self, df: DataFrame) -> DataFrame:
         """One scan and one aggregation for all columns, then one row per column."""

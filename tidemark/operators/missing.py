@@ -12,6 +12,7 @@ from ..functions.text import is_blank
 from ..functions.values import parse_number
 from ..plans.stats import exact_median
 from ..sources.rowid import ROW_ID
+from ..sources.scratch import freeze
 from .base import Cell, Outcome, RowStep, Step, col, column_types, require_columns
 
 POLICIES = ("keep", "drop_rows", "fill", "mean", "median", "mode")
@@ -20,14 +21,21 @@ _DEFAULT_NAME = "missing-value-handling"
 
 
 class FillBlanks(RowStep):
-    """Write a fixed value, per column, into blank cells."""
+    """Write a fixed value, per column, into blank cells.
+
+    With ``widen`` integer columns become DOUBLE, so that any number fits.
+    """
 
     rewrites = True
 
-    def __init__(self, values: dict[str, object], name: str = _DEFAULT_NAME) -> None:
+    def __init__(self, values: dict[str, object], name: str = _DEFAULT_NAME, widen: bool = False) -> None:
         self.values = dict(values)
         self.columns = tuple(values)
         self.name = name
+        self.widen = widen
+
+    def result_type(self, dtype: T.DataType) -> T.DataType:
+        return T.DoubleType() if self.widen and isinstance(dtype, T.IntegralType) else dtype
 
     def _literal(self, column: str, dtype: T.DataType) -> Column:
         value = self.values[column]
@@ -47,8 +55,8 @@ class FillBlanks(RowStep):
             raise ValueError(f"Cannot fill {dtype.simpleString()} column {column} with {text!r}") from None
 
     def after(self, cell: Cell) -> Column:
-        literal = self._literal(cell.column, cell.dtype)
-        return F.when(is_blank(cell.before, cell.dtype), literal).otherwise(cell.before)
+        dtype = self.result_type(cell.dtype)
+        return F.when(is_blank(cell.before, cell.dtype), self._literal(cell.column, dtype)).otherwise(cell.before.cast(dtype))
 
     def changed(self, cell: Cell) -> Column:
         return is_blank(cell.before, cell.dtype)
@@ -57,16 +65,18 @@ class FillBlanks(RowStep):
 class MissingValues(Step):
     """Keep, drop or fill rows with blank cells in the given columns.
 
+    Filling with the mean or median turns integer columns into DOUBLE.
+
     Fill values that depend on the data are one-row aggregates, computed when
     the step is planned; applying them is then an ordinary row-wise step.
     """
 
     def __init__(self, columns, policy: str = "keep", fill_value=None, name: str = _DEFAULT_NAME) -> None:
-        self.columns = require_columns(columns, "Missing value handling requires at least one column")
+        self.columns = require_columns(columns, "Name the columns whose blanks are to be handled")
         if policy not in POLICIES:
-            raise ValueError(f"Unknown missing value policy: {policy}")
+            raise ValueError(f"{policy!r} is none of the policies {', '.join(POLICIES)}")
         if policy == "fill" and fill_value is None:
-            raise ValueError("Fill missing value policy requires a fill value")
+            raise ValueError("Give the fill_value to write into blanks")
         self.policy = policy
         self.fill_value = fill_value
         self.name = name
@@ -78,7 +88,7 @@ class MissingValues(Step):
         if self.policy == "mode":
             return FillBlanks(self._modes(df), self.name)
         if self.policy in ("mean", "median"):
-            return FillBlanks(self._centres(df), self.name)
+            return FillBlanks(self._centres(df), self.name, widen=True)
         return None
 
     def apply(self, df: DataFrame, step: int) -> Outcome:
@@ -95,24 +105,28 @@ class MissingValues(Step):
         return Outcome(data=df.where(~blank), removed=df.where(blank).select(ROW_ID))
 
     def _centres(self, df: DataFrame) -> dict[str, float]:
-        types = column_types(df, self.columns)
-        checks = []
+        types = column_types(df, self.columns, rewrites=True)
+        cells = []
         for i, (name, dtype) in enumerate(types.items()):
-            number, present = parse_number(col(name), dtype), ~is_blank(col(name), dtype)
+            cells += [(~is_blank(col(name), dtype)).alias(f"p{i}"), parse_number(col(name), dtype).alias(f"v{i}")]
+        numbers = df.select(*cells)
+        if self.policy == "median":
+            numbers = freeze(numbers, "numbers")  # a median takes several passes, the source is read once
+        checks = []
+        for i in range(len(types)):
+            present, number = F.col(f"p{i}"), F.col(f"v{i}")
             checks += [
-                F.count_if(present & number.isNull()).alias(f"bad{i}"),
-                F.count_if(present).alias(f"n{i}"),
+                F.count_if(present & number.isNull()).alias(f"bad{i}"), F.count_if(present).alias(f"n{i}"),
                 F.avg(F.when(present, number)).alias(f"mean{i}"),
             ]
-        row = df.agg(*checks).first()
+        row = numbers.agg(*checks).first()
         values = {}
-        for i, (name, dtype) in enumerate(types.items()):
+        for i, name in enumerate(types):
             if row[f"bad{i}"] or not row[f"n{i}"]:
-                raise ValueError(f"{self.policy} missing value policy requires numeric values in {name}")
+                raise ValueError(f"Column {name} has cells that are no numbers, or none at all: there is no {self.policy}")
             values[name] = row[f"mean{i}"]
             if self.policy == "median":
-                numbers = df.where(~is_blank(col(name), dtype)).select(parse_number(col(name), dtype).alias("v"))
-                values[name] = exact_median(numbers, row[f"n{i}"])
+                values[name] = exact_median(numbers.where(f"p{i}").select(F.col(f"v{i}").alias("v")), row[f"n{i}"])
         return values
 
     def _modes(self, df: DataFrame) -> dict[str, object]:

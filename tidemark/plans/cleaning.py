@@ -71,7 +71,7 @@ class CleanRun:
     def preview(self, limit: int = PREVIEW_ROWS) -> DataFrame:
         """The first cleaned rows in row order, without sorting the rest."""
         if not 1 <= limit <= PREVIEW_MAX:
-            raise ValueError(f"Preview limit must be between 1 and {PREVIEW_MAX}")
+            raise ValueError(f"A preview has 1 to {PREVIEW_MAX} rows")
         return self.numbered.orderBy(ROW_ID).limit(limit)
 
 
@@ -81,12 +81,12 @@ class Cleaner:
     def __init__(self, steps) -> None:
         self.steps: list[Step] = list(steps)
         if not self.steps:
-            raise ValueError("A cleaning plan requires at least one step")
+            raise ValueError("Give the steps of the plan")
         names = [s.name.strip() for s in self.steps]
         if not all(names):
-            raise ValueError("Step names cannot be empty")
+            raise ValueError("A step has no name")
         if len(set(names)) != len(names):
-            raise ValueError("Step names must be unique")
+            raise ValueError("Two steps have one name")
 
     def run(self, df: DataFrame, key: str | None = None, staged: bool = False) -> CleanRun:
         """Plan the steps over ``df``.
