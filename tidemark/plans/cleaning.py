@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.base import COUNTS, LEDGERS, Outcome, RowSegment, RowStep, Step, union_all
+from ..operators.exact import ExactDedup
+from ..operators.fuzzy import FuzzyDedup
 from ..operators.missing import MissingValues
 from ..sources.rowid import ROW_ID, with_row_id
 from .options import steps_from_options
@@ -18,19 +21,42 @@ PREVIEW_MAX = 100
 
 @dataclass
 class CleanRun:
-    """The planned result.  Everything is a DataFrame; nothing is collected."""
+    """The planned result.
+
+    Everything is a DataFrame and no table is collected.  Deduplication runs jobs
+    of its own when a result that needs it is first asked for, and once.
+    """
 
     source: DataFrame
-    numbered: DataFrame
+    planned: DataFrame
     steps: list[tuple[int, str]]
     ledgers: dict[str, list[DataFrame]] = field(default_factory=dict)
     counts: list[DataFrame] = field(default_factory=list)
+    staged: bool = False
+    again: Callable[[bool], CleanRun] | None = None
+    # what is left to plan, and whether it can write more than duplicates
+    rest: Callable[[], None] | None = None
+    rest_writes: bool = False
+
+    def finish(self) -> None:
+        """Plan the steps that were put off."""
+        rest, self.rest = self.rest, None
+        if rest:
+            rest()
+
+    @property
+    def numbered(self) -> DataFrame:
+        """The cleaned rows with their row ids."""
+        self.finish()
+        return self.planned
 
     @property
     def data(self) -> DataFrame:
         return self.numbered.drop(ROW_ID)
 
     def ledger(self, kind: str) -> DataFrame:
+        if kind == "duplicates" or self.rest_writes:
+            self.finish()
         return union_all(self.ledgers.get(kind, []), LEDGERS[kind], self.source)
 
     @property
@@ -52,6 +78,7 @@ class CleanRun:
     @property
     def summary(self) -> DataFrame:
         """One row of counts per step, zero rows included."""
+        self.finish()
         return union_all(self.counts, COUNTS, self.source)
 
     @property
@@ -97,32 +124,40 @@ class Cleaner:
         it every output re-reads the source, pruned to the columns it needs.
         """
         current = with_row_id(df, key)
-        run = CleanRun(source=df, numbered=current, steps=[(i, s.name) for i, s in enumerate(self.steps)])
+        run = CleanRun(source=df, planned=current, steps=[(i, s.name) for i, s in enumerate(self.steps)], staged=staged)
+        run.again = lambda anew: self.run(df, key, anew)
+        whole = [isinstance(s, (ExactDedup, FuzzyDedup)) for s in self.steps]
+        until = whole.index(True) if any(whole) else len(whole)
+        self._plan(run, range(until))
+        if until < len(whole):
+            run.rest = lambda: self._plan(run, range(until, len(whole)))
+            run.rest_writes = not all(whole[until:])
+        return run
+
+    def _plan(self, run: CleanRun, which: range) -> None:
         pending: list[tuple[int, RowStep]] = []
 
         def flush() -> None:
-            nonlocal current
             if pending:
                 segment = RowSegment(list(pending))
-                outcome = segment.staged(current) if staged else segment.apply(current)
-                current = _record(run, None, outcome)
+                outcome = segment.staged(run.planned) if run.staged else segment.apply(run.planned)
+                run.planned = _record(run, None, outcome)
                 pending.clear()
 
-        for i, step in enumerate(self.steps):
+        for i in which:
+            step = self.steps[i]
             if isinstance(step, MissingValues):
                 if step.policy == "fill":
-                    step = step.row_step(current)
+                    step = step.row_step(run.planned)
                 elif step.policy in ("mean", "median", "mode"):
                     flush()  # the statistic is taken from the table at this point
-                    step = step.row_step(current)
+                    step = step.row_step(run.planned)
             if isinstance(step, RowStep):
                 pending.append((i, step))
                 continue
             flush()
-            current = _record(run, (i, step.name), step.apply(current, i))
+            run.planned = _record(run, (i, step.name), step.apply(run.planned, i))
         flush()
-        run.numbered = current
-        return run
 
 
 def _record(run: CleanRun, label: tuple[int, str] | None, outcome: Outcome) -> DataFrame:
@@ -163,5 +198,5 @@ def clean(df: DataFrame, options: dict | None = None, key: str | None = None, st
     """Clean by flat options; without any operation the run reports zero steps."""
     steps = steps_from_options(options, **more)
     if not steps:
-        return CleanRun(source=df, numbered=with_row_id(df, key), steps=[])
+        return CleanRun(source=df, planned=with_row_id(df, key), steps=[])
     return Cleaner(steps).run(df, key, staged)

@@ -9,14 +9,13 @@ from .skew import part_of
 
 
 def grouped(pairs: DataFrame, reason: str) -> DataFrame:
-    """Ledger rows from ``kept_row, matched_row, score, size`` pairs.
+    """Ledger rows from ``kept_row, matched_row, group_score`` pairs.
 
-    ``size`` is the group's number of pairs.  A group within the part limit is
-    one row; a larger one is spread over parts by row-id range, each carrying
-    the score of the whole group.
+    A group has one row per range of row ids that its matches lie in, each
+    carrying the score of the whole group; groups are counted by ``kept_row``.
     """
     parts = (
-        pairs.withColumn("part", part_of("matched_row", "size"))
+        pairs.withColumn("part", part_of("matched_row"))
         .groupBy("kept_row", "part")
         .agg(
             F.sort_array(F.collect_list("matched_row")).alias("matched_rows"),
@@ -24,3 +23,8 @@ def grouped(pairs: DataFrame, reason: str) -> DataFrame:
         )
     )
     return parts.select("kept_row", "part", "matched_rows", "score", F.lit(reason).alias("reason"))
+
+
+def long_form(ledger: DataFrame) -> DataFrame:
+    """A duplicate ledger with one row per matched row."""
+    return ledger.withColumn("matched_row", F.explode("matched_rows")).drop("matched_rows", "part")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 100_000
 HEAVY_FLOOR = 100_000
 
-# Row ids per array in a ledger; larger groups continue in further parts.
+# Duplicate ledgers hold the row ids of a group in arrays by id range of this length.
 PART_ROWS = 65_536
 
 
@@ -33,6 +33,6 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Da
     )
 
 
-def part_of(row: str, size: str):
-    """Which part of its group's list a row id belongs to."""
-    return F.when(F.col(size) <= PART_ROWS, F.lit(0)).otherwise(F.floor(F.col(row) / PART_ROWS)).cast("long")
+def part_of(row: str):
+    """Which part of its group's list a row id belongs to; the same rule at every size."""
+    return F.floor(F.col(row) / PART_ROWS).cast("long")

@@ -28,12 +28,20 @@ def manifest(spark: SparkSession, out: str, report_path: str) -> DataFrame:
     return spark.createDataFrame(rows, MANIFEST)
 
 
-def write_report(run: CleanRun, path: str, mode: str = "errorifexists", lines: bool = False) -> str:
-    """Write summary, totals and every ledger under ``path``; with ``lines`` the JSON form as well."""
+def write_report(run: CleanRun, path: str, mode: str = "errorifexists", lines: bool = False, out: str | None = None) -> str:
+    """Write summary, totals and every ledger under ``path``; with ``lines`` the JSON form as well.
+
+    All of them come from one evaluation of each stage, which is written first.
+    ``out`` is where the cleaned rows are; the report then names both in its manifest.
+    """
+    if run.again and not run.staged:
+        run = run.again(True)
     run.summary.coalesce(1).write.mode(mode).parquet(f"{path}/summary")
     run.report.write.mode(mode).parquet(f"{path}/report")
     for kind in LEDGERS:
         run.ledger(kind).write.mode(mode).partitionBy("operation").parquet(f"{path}/{kind}")
+    if out is not None:
+        manifest(run.source.sparkSession, out, path).coalesce(1).write.mode(mode).json(f"{path}/manifest")
     if lines:
         report_lines(run).write.mode(mode).json(f"{path}/lines")
     return path

@@ -28,11 +28,15 @@ def clean_stream(stream: DataFrame, cleaner: Cleaner, path: str, key: str) -> Da
             raise ValueError(f"{step.name} needs the whole table and cannot run on a stream")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        run = cleaner.run(batch, key=key)
-        run.data.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
-        for kind in LEDGERS:
-            if run.ledgers.get(kind):
-                run.ledger(kind).write.mode("overwrite").parquet(f"{path}/{kind}/batch={batch_id}")
+        batch = batch.persist()  # several outputs, one read of the source
+        try:
+            run = cleaner.run(batch, key=key)
+            run.data.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+            for kind in LEDGERS:
+                if run.ledgers.get(kind):
+                    run.ledger(kind).write.mode("overwrite").parquet(f"{path}/{kind}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write)
 
@@ -46,8 +50,14 @@ def dedup_stream(stream: DataFrame, columns, time_column: str, delay: str) -> Da
 
 
 def issue_rates(table: DataFrame, rules: list[RowStep], time_column: str, key: str, width: str = "1 hour",
-                slide: str | None = None) -> DataFrame:
-    """Issues per rule and time window, on a batch table or a stream."""
+                slide: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Issues per rule and time window, on a batch table or a stream.
+
+    On a stream a window is final, and its state dropped, once events ``delay``
+    past its end were seen; rows that come later than that are left out.
+    """
+    if table.isStreaming:
+        table = table.withWatermark(time_column, delay)
     numbered = with_row_id(table, key)
     segment = RowSegment(list(enumerate(rules)))
     layered, _ = segment.layer(numbered)

@@ -300,7 +300,8 @@ _GROUPS = (
     "select min(row_id) as kept_row, list_sort(list(row_id))[2:] as matched_rows, cast(100 as double) as score, "
     "'exact duplicate' as reason from {} group by {} having count(*) > 1"
 )
-ORACLES["dup_exact_groups"] = over_dirty(_GROUPS.format("dirty", _EMAIL_KEY))
+_LONG = "select kept_row, unnest(matched_rows) as matched_row, score, reason from ({})"
+ORACLES["dup_exact_groups"] = over_dirty(_LONG.format(_GROUPS.format("dirty", _EMAIL_KEY)))
 ORACLES["dup_exact_all_columns"] = (
     "select row_id, p_name, p_brand, p_type from (select *, p_partkey as row_id from part) qualify "
     + _FIRST.format("lower(p_name), lower(p_brand), lower(p_type)")
@@ -311,10 +312,15 @@ ORACLES["dup_exact_documents"] = (
     + _FIRST.format(f"replace(lower({ws('text')}), 'ß', 'ss')")
 )
 ORACLES["dup_exact_orders"] = (
-    "select kept_row, matched_rows, score from ("
+    "select kept_row, unnest(matched_rows) as matched_row, score from ("
     + _GROUPS.format("(select *, o_orderkey as row_id from orders)", "o_custkey, lower(o_orderstatus)") + ")"
 )
 
+ORACLES["dup_exact_all_orders"] = (
+    "select row_id, o_custkey, o_orderdate, o_totalprice from (select *, o_orderkey as row_id from orders) qualify "
+    + _FIRST.format("o_custkey, lower(o_orderstatus), o_totalprice, o_orderdate, lower(o_orderpriority)")
+)
+
 
 def fuzzy(source, text, threshold, before=""):
     """CTEs: r (rows), n (distinct texts), p (verified pairs of first rows).
@@ -341,16 +347,29 @@ _REASON = "'fuzzy duplicate above threshold 80' as reason"
 
 ORACLES["dup_pairs"] = fuzzy(*_PART) + "select a, b, round(score, 6) as score from p"
 ORACLES["dup_suggest"] = fuzzy(*_PART) + f"""
-  select kept_row, list_sort(list(matched_row)) as matched_rows, round(min(score), 6) as score, {_REASON} from (
+  select kept_row, matched_row, round(min(score) over (partition by kept_row), 6) as score, {_REASON} from (
     select a as kept_row, b as matched_row, score from p
-    union all select n.id, r.row_id, 100.0 from n join r using (t) where r.row_id <> n.id) group by kept_row"""
+    union all select n.id, r.row_id, 100.0 from n join r using (t) where r.row_id <> n.id)"""
 ORACLES["dup_strict"] = fuzzy(*_PART) + "select p_partkey as row_id, p_name from part where p_partkey in (select id from k)"
 ORACLES["dup_strict_groups"] = fuzzy(*_PART) + f"""
-  select leader as kept_row, list_sort(list(row_id)) as matched_rows, round(min(score), 6) as score, {_REASON}
-  from r join l using (t) where row_id <> leader group by leader"""
+  select leader as kept_row, row_id as matched_row, round(min(score) over (partition by leader), 6) as score, {_REASON}
+  from r join l using (t) where row_id <> leader"""
 ORACLES["dup_pairs_customers"] = fuzzy(*_CUSTOMER) + "select a, b, round(score, 6) as score from p"
 ORACLES["dup_strict_customers"] = fuzzy(*_CUSTOMER) + "select row_id, name, email from dirty where row_id in (select id from k)"
 
+# --- columns that are not text ----------------------------------------------
+
+ORACLES["infer_orders"] = "select 0 as step, 'type-inference' as operation, c as \"column\", t as suggested_type, 1.0::double as confidence, " \
+    "(select count(*) from orders) || ' non-blank values sampled' as reason from (values ('o_custkey', 'number'), ('o_orderstatus', 'text'), " \
+    "('o_totalprice', 'number'), ('o_orderdate', 'text'), ('o_orderpriority', 'text')) v(c, t)"
+_SIZES = "with s as (select p_partkey as row_id, case when p_partkey % 7 > 0 then p_size end as p_size from part) "
+ORACLES["mis_mean_int"] = _SIZES + "select row_id, round(coalesce(p_size::double, (select avg(p_size) from s)), 9) as p_size from s"
+ORACLES["mis_median_int"] = _SIZES + "select row_id, coalesce(p_size::double, (select median(p_size) from s)) as p_size from s"
+ORACLES["val_required_typed"] = (
+    "select o_orderkey as row_id, 'o_orderdate' as \"column\", 'required' as rule, null::varchar as value, "
+    "'Required value is missing' as message from orders where o_orderkey % 5 = 0"
+)
+
 # --- whole plans and audit -------------------------------------------------
 # steps: 0 infer, 1 fill, 2 required, 3 email, 4 date, 5 positive, 6 allowed, 7 text, 8 email, 9 date, 10 phone, 11 exact
 
@@ -391,7 +410,7 @@ ORACLES["clean_rows"] = over_dirty(_FINAL, _PLAN)
 ORACLES["clean_preview"] = over_dirty(f"{_FINAL} order by row_id limit 20", _PLAN)
 ORACLES["aud_changes"] = over_dirty("select * from changes", _PLAN)
 ORACLES["aud_issues"] = over_dirty("select * from issues", _PLAN)
-ORACLES["aud_dups"] = over_dirty(f"select 11 as step, '{_STEPS[11]}' as operation, * from dups", _PLAN)
+ORACLES["aud_dups"] = over_dirty(f"select 11 as step, '{_STEPS[11]}' as operation, * from ({_LONG.format('from dups')})", _PLAN)
 ORACLES["aud_summary"] = over_dirty("select * from summary", _PLAN)
 ORACLES["aud_totals"] = over_dirty(
     "select (select count(*) from dirty) as rows_before, (select count(*) from final) as rows_after, "
@@ -407,7 +426,7 @@ ORACLES["rpt_sections"] = over_dirty(
     f"""select 0 as step, 'type_suggestions' as section, {len(COLUMNS)}::bigint as entries
       union all select step, 'cell_changes', count(*) from changes group by step
       union all select step, 'issues', count(*) from issues group by step
-      union all select 11, 'duplicates', count(*) from dups""", _PLAN,
+      union all select 11, 'duplicates', sum(len(matched_rows))::bigint from dups""", _PLAN,
 )
 ORACLES["custom_step"] = over_dirty(
     f"""select 0 as step, 'drop-drafts' as operation, count(*) filter (where lower(status) = 'draft') as rows_removed,
@@ -418,14 +437,19 @@ ORACLES["custom_step"] = over_dirty(
 # --- sources, sinks, streams -----------------------------------------------
 
 _NULLED = ", ".join(f"nullif({c}, '') as {c}" for c in COLUMNS)
-ORACLES["io_csv"] = over_dirty(f"select {_NULLED} from dirty")
-ORACLES["io_json"] = over_dirty(f"select {', '.join(COLUMNS)} from dirty")
+_BROKEN = "replace (name || chr(10) || 'second, \"line\"' as name)"
+ORACLES["io_csv"] = over_dirty(f"select {_NULLED} from (select * {_BROKEN} from dirty)")
+ORACLES["io_json"] = over_dirty(f"select {', '.join(COLUMNS)} from (select * {_BROKEN} from dirty)")
+ORACLES["io_convert"] = over_dirty(f"select {_NULLED} from dirty")
+ORACLES["src_detect"] = "select * from nation"
 ORACLES["src_rowid"] = "select row_number() over (order by o_orderkey) - 1 as row_id, o_orderkey, o_totalprice from orders"
 ORACLES["str_rowwise"] = (
     "select o_orderkey as row_id, 'o_orderstatus' as \"column\", o_orderstatus as value, "
-    "'Value is not in allowed set' as message from orders where lower(o_orderstatus) not in ('f', 'o')"
+    "'Value is not in allowed set' as message from orders where lower(o_orderstatus) not in ('f', 'o') "
+    f"union all select o_orderkey, 'o_orderpriority', {title(ws('o_orderpriority'))}, null from orders"
 )
 ORACLES["str_dedup"] = "select distinct user_id, event_type from events"
 ORACLES["str_rates"] = """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as window_start, rule, count(*) as issues from (
   select ts, 'allowed_values' as rule from events where lower(event_type) not in ('click', 'view')
-  union all select ts, 'range' from events where value < 1 or value > 50) group by all"""
+  union all select ts, 'range' from events where value < 1 or value > 50)
+  where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 1 hour group by all"""

@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import (
-    AllowedValues, Cleaner, ExactDedup, FuzzyDedup, InferTypes, InRange, MissingValues, NormalizeDate,
+    AllowedValues, Cleaner, ExactDedup, FuzzyDedup, InRange, InferTypes, MissingValues, NormalizeDate,
     NormalizeEmail, NormalizePhone, NormalizeText, Outcome, ParseableDate, Positive, Required, Step, ValidEmail,
-    read_report, read_table, report_lines, shape, steps_from_options, write_report, write_table,
+    convert, read_report, read_table, report_lines, shape, steps_from_options, write_report, write_table,
 )
 from tidemark.functions import (
     comparable_text, exact_key, is_blank, is_boolean, is_email, normal_email, parse_date, parse_number,
     token_sort_ratio,
 )
 from tidemark.operators.fuzzy import FuzzyText
+from tidemark.plans.groups import long_form
 from tidemark.plans.pairs import Matcher
 from tidemark.sources.rowid import ROW_ID
 from tidemark.sources.scratch import scratch_path, spread
@@ -336,7 +337,7 @@ def dup_exact(spark, folder):
 @query
 def dup_exact_groups(spark, folder):
     groups = Cleaner([ExactDedup(["email"])]).run(dirty(spark, folder)).duplicates
-    return groups.select("kept_row", "matched_rows", "score", "reason")
+    return long_form(groups).select("kept_row", "matched_row", "score", "reason")
 
 
 @query
@@ -353,7 +354,13 @@ def dup_exact_documents(spark, folder):
 @query
 def dup_exact_orders(spark, folder):
     groups = Cleaner([ExactDedup(["o_custkey", "o_orderstatus"])]).run(keyed(spark, folder, "orders", "o_orderkey")).duplicates
-    return groups.select("kept_row", "matched_rows", "score")
+    return long_form(groups).select("kept_row", "matched_row", "score")
+
+
+@query
+def dup_exact_all_orders(spark, folder):
+    orders = keyed(spark, folder, "orders", "o_orderkey")
+    return shown(data(orders, ExactDedup()), "o_custkey", "o_orderdate", "o_totalprice")
 
 
 def _parts(spark, folder):
@@ -367,7 +374,7 @@ def dup_pairs(spark, folder):
 
 
 def _groups(run):
-    return run.duplicates.select("kept_row", "matched_rows", F.round("score", 6).alias("score"), "reason")
+    return long_form(run.duplicates).select("kept_row", "matched_row", F.round("score", 6).alias("score"), "reason")
 
 
 @query
@@ -397,6 +404,36 @@ def dup_strict_customers(spark, folder):
     return shown(data(dirty(spark, folder), step), "name", "email")
 
 
+# --- columns that are not text ----------------------------------------------
+
+
+@query
+def infer_orders(spark, folder):
+    return Cleaner([InferTypes()]).run(keyed(spark, folder, "orders", "o_orderkey")).suggestions
+
+
+def _sizes(spark, folder):
+    size = F.when(F.col("p_partkey") % 7 > 0, F.col("p_size")).alias("p_size")
+    return load(spark, folder, "part").select(F.col("p_partkey").alias(ROW_ID), size)
+
+
+@query
+def mis_mean_int(spark, folder):
+    return shown(data(_sizes(spark, folder), MissingValues(["p_size"], "mean")).withColumn("p_size", F.round("p_size", 9)), "p_size")
+
+
+@query
+def mis_median_int(spark, folder):
+    return shown(data(_sizes(spark, folder), MissingValues(["p_size"], "median")), "p_size")
+
+
+@query
+def val_required_typed(spark, folder):
+    day = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate")).alias("o_orderdate")
+    table = load(spark, folder, "orders").select(F.col("o_orderkey").alias(ROW_ID), day)
+    return Cleaner([Required(["o_orderdate"])]).run(table).issues.select("row_id", "column", "rule", "value", "message")
+
+
 # --- whole plans and audit -------------------------------------------------
 
 
@@ -426,7 +463,7 @@ def aud_issues(spark, folder):
 
 @query
 def aud_dups(spark, folder):
-    return _plan(spark, folder).duplicates.select("step", "operation", "kept_row", "matched_rows", "score", "reason")
+    return long_form(_plan(spark, folder).duplicates).select("step", "operation", "kept_row", "matched_row", "score", "reason")
 
 
 @query
@@ -444,9 +481,8 @@ def aud_roundtrip(spark, folder):
     """The summary of a written report, recomputed from its ledger tables."""
     tables = read_report(spark, write_report(_plan(spark, folder), scratch_path(spark, "report")))
     steps = tables["summary"].select("step", "operation")
-    per_step = [
-        tables[kind].groupBy("step").agg(F.count(F.lit(1)).alias(kind)) for kind in ("changes", "issues", "duplicates")
-    ]
+    counts = {"changes": F.count(F.lit(1)), "issues": F.count(F.lit(1)), "duplicates": F.count_distinct("kept_row")}
+    per_step = [tables[kind].groupBy("step").agg(count.alias(kind)) for kind, count in counts.items()]
     for counts in per_step:
         steps = steps.join(counts, "step", "left")
     return steps.na.fill(0, ["changes", "issues", "duplicates"])
@@ -454,8 +490,10 @@ def aud_roundtrip(spark, folder):
 
 @query
 def rpt_sections(spark, folder):
-    """Entries per section of the JSON report."""
-    entries = F.json_array_length("json")
+    """Entries per section of the JSON report; of duplicates, the matched rows."""
+    matched = F.from_json("json", "array<struct<matched_rows: array<bigint>>>")
+    matched = F.aggregate(matched, F.lit(0), lambda n, g: n + F.size(g["matched_rows"]))
+    entries = F.when(F.col("section") == "duplicates", matched).otherwise(F.json_array_length("json"))
     lines = report_lines(_plan(spark, folder)).where("section not in ('report', 'operation')")
     return lines.groupBy("step", "section").agg(F.sum(entries).cast("bigint").alias("entries"))
 
@@ -479,19 +517,31 @@ def custom_step(spark, folder):
 
 
 def _round_trip(spark, folder, fmt, **options):
-    path = write_table(dirty(spark, folder).drop(ROW_ID), scratch_path(spark, "io"), fmt)
+    broken = dirty(spark, folder).drop(ROW_ID).withColumn("name", F.concat("name", F.lit("\nsecond, \"line\"")))
+    path = write_table(broken, scratch_path(spark, "io"), fmt)
     return read_table(spark, path, fmt, **options)
 
 
 @query
 def io_csv(spark, folder):
-    return _round_trip(spark, folder, "csv", na_tokens=("",))
+    return _round_trip(spark, folder, "csv")
 
 
 @query
 def io_json(spark, folder):
-    schema = "name string, email string, signup_date string, amount string, status string, phone string"
-    return _round_trip(spark, folder, "json", schema=schema, lines=True)
+    return _round_trip(spark, folder, "json")
+
+
+@query
+def io_convert(spark, folder):
+    """JSON to CSV and back into a table, formats told by the suffix."""
+    source = write_table(dirty(spark, folder).drop(ROW_ID), f"{scratch_path(spark, 'io')}.json")
+    return read_table(spark, convert(spark, source, f"{scratch_path(spark, 'io')}.csv"))
+
+
+@query
+def src_detect(spark, folder):
+    return read_table(spark, f"{folder}/nation.parquet")
 
 
 @query
@@ -519,14 +569,19 @@ def str_rowwise(spark, folder):
     plan = Cleaner([NormalizeText(["o_orderpriority"], "title"), AllowedValues(["o_orderstatus"], ["f", "o"])])
     out = scratch_path(spark, "clean-stream")
     _drain(clean_stream(_stream(spark, folder, "orders"), plan, out, key="o_orderkey"), spark)
-    return spark.read.parquet(f"{out}/issues").select("row_id", "column", "value", "message")
+    issues = spark.read.parquet(f"{out}/issues").select("row_id", "column", "value", "message")
+    cleaned = spark.read.parquet(f"{out}/data")
+    return issues.unionByName(cleaned.select(
+        F.col("o_orderkey").alias("row_id"), F.lit("o_orderpriority").alias("column"), F.col("o_orderpriority").alias("value"),
+        F.lit(None).cast("string").alias("message"),
+    ))
 
 
 @query
 def str_dedup(spark, folder):
     events = _stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = scratch_path(spark, "dedup-stream")
-    kept = dedup_stream(events, ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
+    kept = dedup_stream(events, ["user_id", "event_type"], "ts", "1 hour").select("user_id", "event_type")
     _drain(kept.writeStream.format("parquet").option("path", out), spark)
     return spark.read.schema("user_id bigint, event_type string").parquet(out)
 
@@ -534,5 +589,9 @@ def str_dedup(spark, folder):
 @query
 def str_rates(spark, folder):
     rules = [AllowedValues(["event_type"], ["click", "view"]), InRange(["value"], 1, 50)]
-    rates = issue_rates(load(spark, folder, "events"), rules, "ts", key="event_id")
+    events = _stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = scratch_path(spark, "rates-stream")
+    rates = issue_rates(events, rules, "ts", key="event_id", delay="1 hour")
+    _drain(rates.writeStream.format("parquet").outputMode("append").option("path", out), spark)
+    rates = spark.read.schema("window_start timestamp, rule string, issues bigint").parquet(out)
     return rates.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
