@@ -123,6 +123,8 @@ def test_emails(spark):
         ("US", "011 44 20 7946 0958", "+442079460958"), ("GB", "020 7946 0958", "+442079460958"),
         ("GB", "+44 (0)20 7946 0958", "+442079460958"), ("DE", "030 123456", "+4930123456"), ("IT", "06 1234 5678", "+390612345678"),
         ("FR", "01 23 45 67 89", "+33123456789"), ("US", "+999 12345", None), ("RU", "8 (912) 345-67-89", "+79123456789"),
+        ("US", "+66 2 123 4567", "+6621234567"), ("US", "011 234 803 123 4567", "+2348031234567"), ("US", "+20 12", None),
+        ("US", "+62 1234567890123456", None), ("+66", "02 123 4567", "+6621234567"), ("+234", "0803 123 4567", "+2348031234567"),
         ("US", "415.555.2671", "+14155552671"), ("US", "call 4155552671", None),
     ],
 )

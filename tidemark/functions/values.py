@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +104,15 @@ PHONE_REGIONS = {
     "ZA": ("27", "0", "[1-8][0-9]{8}"),
 }
 
+# The country codes in use beside those above, of two and of three digits.
+_TWO_DIGIT_CODES = "20|36|40|51|53|5[6-8]|60|62|63|66|84|9[2-5]|98"
+_THREE_DIGIT_CODES = (
+    "21[12368]|22[0-9]|23[0-9]|24[0-9]|25[0-8]|26[0-9]|29[01789]|35[0-9]|37[0-8]|38[0-35-79]|42[013]|50[0-9]|59[0-9]|"
+    "67[02-9]|68[0-35-9]|69[0-2]|80[08]|85[02-6]|87[08]|88[0268]|96[0-8]|97[0-79]|99[2-68]"
+)
+# A number of one of these: five digits at least, and fifteen with the code at most.
+_OTHER_PLANS = f"(?:{_TWO_DIGIT_CODES})[0-9]{{5,13}}|(?:{_THREE_DIGIT_CODES})[0-9]{{5,12}}"
+
 # How numbers are dialled abroad from the regions above.
 _EXIT_CODES = {"US": "011", "CA": "011", "AU": "0011", "JP": "010", "BR": "00", "SG": "0[0-3][0-9]", "RU": "810", "KZ": "810"}
 _EXTENSION = r"(?i)[ \t]*(?:;ext=|ext(?:ension|n)?\.?|x|#)[ \t]*[0-9]{1,7}\z"
@@ -117,7 +128,10 @@ def phone_parts(c: Column) -> Column:
 def normal_phone(c: Column, default_region: str) -> Column:
     """E.164 text of a trimmed phone number, null where it is not valid.
 
-    Validity is structural: the pattern of the number's own plan must match.
+    Validity is structural: the pattern of the number's own plan must match.  For
+    countries without a pattern in the table it is a known country code and a
+    number of possible length.  ``default_region`` is a region of the table, or a
+    country code such as ``+66``.
     """
     return phone_of_parts(phone_parts(c), default_region)
 
@@ -125,9 +139,12 @@ def normal_phone(c: Column, default_region: str) -> Column:
 def phone_of_parts(parts: Column, default_region: str) -> Column:
     """The same from ``phone_parts``, for callers that compute those once."""
     region = default_region.strip().upper()
-    if region not in PHONE_REGIONS:
-        raise ValueError(f"Unknown phone region: {default_region}")
-    code, trunk, pattern = PHONE_REGIONS[region]
+    if region in PHONE_REGIONS:
+        code, trunk, pattern = PHONE_REGIONS[region]
+    elif re.fullmatch(rf"\+(?:{_OTHER_PLANS})", f"{region}00000"):
+        code, trunk, pattern = region[1:], "0", rf"[1-9][0-9]{{4,{14 - len(region[1:])}}}"
+    else:
+        raise ValueError(f"{default_region!r} is neither a region of the phone table nor a country code without one")
 
     bare, digits = parts["bare"], parts["digits"]
     abroad = F.regexp_replace(digits, rf"\A{_EXIT_CODES.get(region, '00')}", "")
@@ -139,13 +156,15 @@ def phone_of_parts(parts: Column, default_region: str) -> Column:
         # a trunk prefix written after the country code is dropped: +44 (0)20 ...
         shapes.setdefault(cc, []).append(f"(?:{prefix})?(?:{shape})" if prefix == "0" else f"(?:{shape})")
     full = r"\A(?:" + "|".join(f"{cc}(?:{'|'.join(found)})" for cc, found in shapes.items()) + r")\z"
+    covered = "|".join(sorted(shapes))
+    other = rf"\A(?!(?:{covered}))(?:{_OTHER_PLANS})\z"
     zero_trunk = "|".join(sorted({cc for cc, prefix, _ in plans if prefix == "0"}))
 
     def world(text: Column) -> Column:
         return F.when(
             text.rlike(full),
             F.concat(F.lit("+"), F.regexp_replace(text, rf"\A({zero_trunk})0", "$1")),
-        )
+        ).when(text.rlike(other), F.concat(F.lit("+"), text))
 
     stripped = F.regexp_replace(digits, rf"\A{trunk}", "") if trunk else digits
     whole = rf"\A(?:{pattern})\z"

@@ -357,6 +357,15 @@ ORACLES["dup_strict_groups"] = fuzzy(*_PART) + f"""
 ORACLES["dup_pairs_customers"] = fuzzy(*_CUSTOMER) + "select a, b, round(score, 6) as score from p"
 ORACLES["dup_strict_customers"] = fuzzy(*_CUSTOMER) + "select row_id, name, email from dirty where row_id in (select id from k)"
 
+_WORLD = (
+    "20 36 40 51 53 56 57 58 60 62 63 66 84 92 93 94 95 98 211 212 213 216 218 220 221 222 223 224 225 226 227 228 229 230 231 "
+    "232 233 234 235 236 237 238 239 240 241 242 243 244 245 248 249 250 251 252 253 254 255 256 257 258 260 261 263 264 265"
+).split()
+ORACLES["nrm_phone_world"] = (
+    f"select c_custkey as row_id, case when c_custkey % 5 > 0 then '+' || ({_WORLD!r})[cast(c_custkey % {len(_WORLD)} as int) + 1] "
+    "|| '55' || lpad(cast(c_custkey as varchar), 6, '0') end as phone from customer"
+)
+
 # --- columns that are not text ----------------------------------------------
 
 ORACLES["infer_orders"] = "select 0 as step, 'type-inference' as operation, c as \"column\", t as suggested_type, 1.0::double as confidence, " \

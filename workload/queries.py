@@ -13,7 +13,7 @@ from tidemark import (
     convert, read_report, read_table, report_lines, shape, steps_from_options, write_report, write_table,
 )
 from tidemark.functions import (
-    comparable_text, exact_key, is_blank, is_boolean, is_email, normal_email, parse_date, parse_number,
+    comparable_text, exact_key, is_blank, is_boolean, is_email, normal_email, normal_phone, parse_date, parse_number,
     token_sort_ratio,
 )
 from tidemark.operators.fuzzy import FuzzyText
@@ -404,6 +404,24 @@ def dup_strict_customers(spark, folder):
     return shown(data(dirty(spark, folder), step), "name", "email")
 
 
+# Country codes whose numbers have no pattern of their own here.
+WORLD_CODES = (
+    "20 36 40 51 53 56 57 58 60 62 63 66 84 92 93 94 95 98 211 212 213 216 218 220 221 222 223 224 225 226 227 228 229 230 231 "
+    "232 233 234 235 236 237 238 239 240 241 242 243 244 245 248 249 250 251 252 253 254 255 256 257 258 260 261 263 264 265"
+).split()
+
+
+@query
+def nrm_phone_world(spark, folder):
+    """International numbers of many countries; every fifth is too short."""
+    codes = F.array(*map(F.lit, WORLD_CODES))
+    key = F.col("c_custkey")
+    code = F.get(codes, (key % len(WORLD_CODES)).cast("int"))
+    number = F.when(key % 5 == 0, F.lit("12-3")).otherwise(F.concat(F.lit("55 "), F.lpad(key.cast("string"), 6, "0")))
+    table = load(spark, folder, "customer").select(key.alias("row_id"), F.concat(F.lit("+"), code, F.lit(" "), number).alias("phone"))
+    return table.select("row_id", normal_phone(F.col("phone"), "US").alias("phone"))
+
+
 # --- columns that are not text ----------------------------------------------
 
 
