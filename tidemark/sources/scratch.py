@@ -46,7 +46,15 @@ def freeze(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    frozen = spark.read.schema(df.schema).parquet(path)
+    frozen._frozen_at = path
+    return frozen
+
+
+def discard(frozen: DataFrame) -> None:
+    """Delete a frozen table that nothing will read again."""
+    path = frozen.sparkSession._jvm.org.apache.hadoop.fs.Path(frozen._frozen_at)
+    path.getFileSystem(frozen.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
