@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.base import COUNTS, LEDGERS, Outcome, RowSegment, RowStep, Step, union_all
+from ..operators.base import COUNTS, LEDGERS, Outcome, RowSegment, RowStep, Step, column_types, union_all
 from ..operators.exact import ExactDedup
 from ..operators.fuzzy import FuzzyDedup
 from ..operators.missing import MissingValues
@@ -130,6 +130,7 @@ class Cleaner:
         until = whole.index(True) if any(whole) else len(whole)
         self._plan(run, range(until))
         if until < len(whole):
+            column_types(run.planned, self.steps[until].columns)  # a wrong column shows now
             run.rest = lambda: self._plan(run, range(until, len(whole)))
             run.rest_writes = not all(whole[until:])
         return run
