@@ -29,7 +29,7 @@ class Encoder:
     words is emptied when it holds ``remember`` of them (about 200 bytes each).
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", remember: int = 1_100_000):
+    def __init__(self, path: str, dtype: str = "<u4", remember: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

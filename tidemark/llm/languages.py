@@ -39,7 +39,7 @@ def _letters() -> np.ndarray:
 
 
 _LETTER = _letters()
-_SLICE = 1_000_000
+_SLICE = 250_000
 
 
 def ngram_shares(texts: list[str], buckets: int) -> np.ndarray:
@@ -171,7 +171,7 @@ def _portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
     for i, text in enumerate(batch["text"]):
         texts.append(text.as_py() or "")
         size += len(texts[-1])
-        if len(texts) == 256 or size > _SLICE:
+        if len(texts) == 64 or size > _SLICE:
             yield start, texts
             start, texts, size = i + 1, [], 0
     if texts:
