@@ -37,6 +37,28 @@ def test_best_chain_equals_quadratic_search(seed):
     assert np.isclose(chain_score(left, right, found[0]), quadratic_best(left.tolist(), right.tolist()))
 
 
+@pytest.mark.parametrize("seed", range(15))
+def test_best_chain_equals_quadratic_search_far_beyond_the_gap(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(50, 200))
+    at = np.sort(rng.integers(0, 1500, n))
+    points = sorted({(int(a), int(max(0, a + d))) for a, d in zip(at, rng.choice([0, 0, 1, 60, -80], n), strict=True)})
+    left, right = np.array([p[0] for p in points]), np.array([p[1] for p in points])
+    found = chains(left, right, least=1)
+    assert sorted(k for way in found for k in way.tolist()) == list(range(len(points)))
+    for way in found:
+        assert (np.diff(left[way]) <= MAX_GAP + SEED).all() and (np.diff(right[way]) <= MAX_GAP + SEED).all()
+    assert np.isclose(chain_score(left, right, found[0]), quadratic_best(left.tolist(), right.tolist()))
+
+
+@pytest.mark.parametrize("first, own, second", [(60, 100, 80), (1000, 60, 2000)])
+def test_a_long_chain_does_not_hide_the_next_passage(first, own, second):
+    at = np.concatenate([np.arange(0, first - SEED, 5), np.arange(first + own, first + own + second - SEED, 5)])
+    later = at >= first + own
+    found = chains(at, at)
+    assert sorted(len(way) for way in found) == sorted([int((~later).sum()), int(later.sum())])
+
+
 def test_shared_runs_share_a_seed():
     rng = np.random.default_rng(2)
     for _ in range(50):

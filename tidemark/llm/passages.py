@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,27 +58,54 @@ def minimizers(words: np.ndarray, size: int = SEED, window: int = WINDOW) -> tup
     return mixed[places], places
 
 
-class PrefixMax:
-    """A Fenwick tree: the best value, and whose it is, among the first positions."""
+class WindowMax:
+    """A segment tree: the best value, and whose it is, among a range of positions.
 
-    def __init__(self, size: int):
-        self.value = [-np.inf] * (size + 1)
-        self.owner = [-1] * (size + 1)
-
-    def update(self, at: int, value: float, owner: int) -> None:
-        at += 1
-        while at < len(self.value):
-            if value > self.value[at]:
-                self.value[at], self.owner[at] = value, owner
-            at += at & -at
+    Values come with rising times, and those before a time can be dropped.
+    """
 
-    def best(self, before: int) -> tuple[float, int]:
-        value, owner = -np.inf, -1
-        while before > 0:
-            if self.value[before] > value:
-                value, owner = self.value[before], self.owner[before]
-            before -= before & -before
-        return value, owner
+    def __init__(self, size: int):
+        self.size = size
+        self.best_of: list[tuple[float, int]] = [(-np.inf, -1)] * (2 * size)
+        self.held: list[deque[tuple[int, float, int]]] = [deque() for _ in range(size)]
+        self.order: deque[tuple[int, int]] = deque()
+
+    def _set(self, at: int) -> None:
+        held = self.held[at]
+        at += self.size
+        self.best_of[at] = held[0][1:] if held else (-np.inf, -1)
+        while at > 1:
+            at //= 2
+            self.best_of[at] = max(self.best_of[2 * at], self.best_of[2 * at + 1])
+
+    def add(self, at: int, time: int, value: float, owner: int) -> None:
+        held = self.held[at]
+        while held and held[-1][1] <= value:
+            held.pop()
+        held.append((time, value, owner))
+        self.order.append((time, at))
+        self._set(at)
+
+    def drop(self, before: int) -> None:
+        while self.order and self.order[0][0] < before:
+            at = self.order.popleft()[1]
+            held = self.held[at]
+            if held and held[0][0] < before:
+                held.popleft()
+                self._set(at)
+
+    def best(self, first: int, stop: int) -> tuple[float, int]:
+        found = (-np.inf, -1)
+        first, stop = first + self.size, stop + self.size
+        while first < stop:
+            if first & 1:
+                found = max(found, self.best_of[first])
+                first += 1
+            if stop & 1:
+                stop -= 1
+                found = max(found, self.best_of[stop])
+            first, stop = first // 2, stop // 2
+        return found
 
 
 def chains(left: np.ndarray, right: np.ndarray, size: int = SEED, least: int = LEAST) -> list[np.ndarray]:
@@ -85,25 +113,29 @@ def chains(left: np.ndarray, right: np.ndarray, size: int = SEED, least: int = L
 
     A match is worth its length, and a gap costs ``GAP_COST`` per word skipped in
     either text.  That cost splits into a part of each match, so the best
-    predecessor is a prefix maximum over the right positions, kept in a Fenwick
-    tree.  Matches must be sorted by the left position.
+    predecessor is a maximum over the right positions in reach, kept in a segment
+    tree that matches out of reach on the left have been dropped from: a good chain
+    that ended too far away hides nothing.  Matches must be sorted by the left position.
     """
     n = len(left)
-    ranks = np.unique(right, return_inverse=True)[1].tolist()
-    tree = PrefixMax(max(ranks) + 1)
+    reach = MAX_GAP + size
+    distinct, ranks = np.unique(right, return_inverse=True)
+    lows, ranks = np.searchsorted(distinct, right - reach).tolist(), ranks.tolist()
+    tree = WindowMax(len(distinct))
     at, to = left.tolist(), right.tolist()
     score, back = [float(size)] * n, [-1] * n
     i = 0
     while i < n:
         j = i
+        tree.drop(at[i] - reach)
         while j < n and at[j] == at[i]:  # matches at one place must not follow each other
-            value, owner = tree.best(ranks[j])
+            value, owner = tree.best(lows[j], ranks[j])
             gained = value - GAP_COST * (at[j] + to[j])
-            if gained > 0 and max(at[j] - at[owner], to[j] - to[owner]) <= MAX_GAP + size:
+            if gained > 0:
                 score[j], back[j] = size + gained, owner
             j += 1
         for k in range(i, j):
-            tree.update(ranks[k], score[k] + GAP_COST * (at[k] + to[k]), k)
+            tree.add(ranks[k], at[k], score[k] + GAP_COST * (at[k] + to[k]), k)
         i = j
     used, found = [False] * n, []
     for end in sorted(range(n), key=lambda k: (-score[k], k)):
