@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.passages import GAP_COST, MAX_GAP, SEED, align, chains, minimizers, repeated_passages
+from tidemark.llm.passages import GAP_COST, MAX_GAP, SEED, _long_runs, align, chains, good_parts, minimizers, repeated_passages
 
 
 def quadratic_best(left, right):
@@ -120,3 +120,31 @@ def test_a_passage_first_seen_in_parts_is_found_whole(spark):
     (row,) = repeated_passages(frame).collect()
     assert (row.doc_id, row.ref_doc_ids) == (3, [1, 2]) and row.start_word == 90 and row.n_words == 70
     assert repeated_passages(frame.limit(0)).count() == 0
+
+
+def test_longest_good_runs_equal_all_pairs():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n = int(rng.integers(1, 25))
+        starts = np.cumsum(rng.integers(1, 30, n))
+        ends = starts + SEED
+        costs = np.concatenate([[0], np.cumsum(rng.integers(0, 9, n))])[:n]
+        good = {(i, j) for i in range(n) for j in range(i, n) if 100 * (costs[j] - costs[i]) <= 20 * (ends[j] - starts[i])}
+        longest = {(i, j) for i, j in good if not any((k, m) != (i, j) and k <= i and m >= j for k, m in good)}
+        assert set(_long_runs(starts, ends, costs, 80)) == longest
+
+
+@pytest.mark.parametrize("first, own, second", [(60, 35, 60), (50, 22, 25)])
+def test_exact_passages_around_a_costly_gap_are_kept(spark, first, own, second):
+    rng = np.random.default_rng(first)
+    some = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    one, two = some(first), some(second)
+    a, b = np.concatenate([one, some(own), two]), np.concatenate([one, some(own), two])
+    at = np.concatenate([np.arange(0, first - SEED + 1, 5), np.arange(first + own, len(a) - SEED + 1, 5)])
+    assert [s[:2] for s in good_parts(a, b, at, at, 20, 80)] == [(0, first), (first + own, len(a))]
+
+    rng = random.Random(first)
+    one, two = words(rng, first), words(rng, second)
+    docs = [(i, " ".join(words(rng, 40) + one + words(rng, own) + two + words(rng, 30))) for i in (1, 2)]
+    found = repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), min_words=25).collect()
+    assert sorted((r.doc_id, r.start_word, r.n_words) for r in found) == [(2, 40, first), (2, 40 + first + own, second)]

@@ -173,13 +173,13 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return length, int(length - same[:length].sum())
 
 
-def align(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, size: int = SEED) -> tuple[int, int, int, int, int] | None:
-    """Spans in both texts and the number of edits between them, along the matches of a chain.
+def _walk(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> tuple[list[int], list[int], list[int]] | None:
+    """Along the matches of a chain: where both sides end after each, and the edits so far.
 
-    Gaps between matches are aligned by edit distance, the ends are extended
-    without gaps.  None if a match is not one (positions of another text).
+    None if a match is not one (positions of another text).
     """
     edits, x, y = 0, int(left[0]), int(right[0])
+    xs, ys, costs = [], [], []
     for p, q in zip(left.tolist(), right.tolist(), strict=True):
         if p + size > len(a) or q + size > len(b) or not np.array_equal(a[p : p + size], b[q : q + size]):
             return None
@@ -190,6 +190,22 @@ def align(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, siz
             if not np.array_equal(gap_a, gap_b):
                 edits += _edit_distance(gap_a, gap_b)
         x, y = max(x, p + size - skip), max(y, q + size - skip)
+        xs.append(x)
+        ys.append(y)
+        costs.append(edits)
+    return xs, ys, costs
+
+
+def align(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, size: int = SEED) -> tuple[int, int, int, int, int] | None:
+    """Spans in both texts and the number of edits between them, along the matches of a chain.
+
+    Gaps between matches are aligned by edit distance, the ends are extended
+    without gaps.  None if a match is not one (positions of another text).
+    """
+    walked = _walk(a, b, left, right, size)
+    if walked is None:
+        return None
+    x, y, edits = (v[-1] for v in walked)
     more, wrong = _extend(a[x:], b[y:])
     x, y, edits = x + more, y + more, edits + wrong
     first, other = int(left[0]), int(right[0])
@@ -197,6 +213,51 @@ def align(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, siz
     return first - more, x, other - more, y, edits + wrong
 
 
+def _long_runs(starts: np.ndarray, ends: np.ndarray, costs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """From each match of a chain to the farthest one that leaves few enough edits per word in between, none inside another."""
+    # edits above the limit up to the end and up to the start of each match, so a run is good if they do not rise over it
+    over_end = 100 * costs - (100 - percent) * ends
+    over_start = 100 * costs - (100 - percent) * starts
+    least = np.minimum.accumulate(over_end[::-1])[::-1]  # the smallest that still follows
+    found, last = [], -1
+    for i in range(len(starts)):
+        # least rises, so this is the last match at or below the value
+        j = int(np.searchsorted(least, over_start[i], side="right")) - 1
+        if j > last and j >= i:
+            found.append((i, j))
+            last = j
+    return found
+
+
+def good_parts(
+    a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, min_piece: int, percent: int, size: int = SEED
+) -> list[tuple[int, int, int, int, int]]:
+    """What ``align`` gives for a chain, or, if it has too many edits, for the longest parts of it that have not."""
+
+    def good(spans: tuple[int, int, int, int, int]) -> bool:
+        longer = max(spans[1] - spans[0], spans[3] - spans[2])
+        return longer >= min_piece and 100 * spans[4] <= (100 - percent) * longer
+
+    whole = align(a, b, left, right, size)
+    if whole is None:
+        return []
+    if good(whole):
+        return [whole]
+    xs, ys, costs = map(np.array, _walk(a, b, left, right, size))
+    runs = {r for starts, ends in ((left, xs), (right, ys)) for r in _long_runs(starts, ends, costs, percent)}
+    found = []
+    for i, j in sorted(runs):
+        bare = (int(left[i]), int(xs[j]), int(right[i]), int(ys[j]), int(costs[j] - costs[i]))
+        # no farther than the next match, so that many parts of a chain stay cheap
+        after = len(a) if j == len(xs) - 1 else MAX_GAP + size
+        before = len(a) if not i else MAX_GAP + size
+        more, wrong = _extend(a[bare[1] :][:after], b[bare[3] :][:after])
+        less, amiss = _extend(a[: bare[0]][::-1][:before], b[: bare[2]][::-1][:before])
+        wide = (bare[0] - less, bare[1] + more, bare[2] - less, bare[3] + more, bare[4] + wrong + amiss)
+        found += [wide] if good(wide) else [bare] if good(bare) else []
+    return found
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, pa.Array]]:
     """The rows of each key, from batches that are sorted by the keys."""
     held: list[pa.Table] = []
@@ -256,7 +317,8 @@ def repeated_passages(
     their first occurrence in the table, never with each other, so a passage in a
     third of all documents gives one match per occurrence.  Matches of a document
     with one other are chained, chains are aligned word by word on both texts and extended, and
-    pieces of ``min_piece`` words or more are merged per document: a passage
+    pieces of ``min_piece`` words or more are merged per document: a chain with
+    too many edits gives the longest parts of it that have few enough, and a passage
     whose parts were first seen in different documents is found as a whole.
     Documents with chains are read again, and 32-bit word hashes of the windows around chains are aligned.
 
@@ -336,12 +398,9 @@ def repeated_passages(
                 for r in batch.to_pylist():
                     d, e = r["d_from"] * MARGIN, r["r_from"] * MARGIN
                     a, b = np.frombuffer(r["d_words"], np.uint32), np.frombuffer(r["r_words"], np.uint32)
-                    spans = align(a, b, np.array(r["left"]) - d, np.array(r["right"]) - e)
-                    if spans:
-                        x, x_end, y, y_end, edits = spans
-                        longer = max(x_end - x, y_end - y)
-                        if longer >= min_piece and 100 * edits <= (100 - percent) * longer:
-                            yield r["doc_id"], x + d, x_end + d, r["ref_id"], y + e, edits
+                    parts = good_parts(a, b, np.array(r["left"]) - d, np.array(r["right"]) - e, min_piece, percent)
+                    for x, x_end, y, _, edits in parts:
+                        yield r["doc_id"], x + d, x_end + d, r["ref_id"], y + e, edits
 
         return _batches(found(), ["doc_id", "start", "stop", "ref_id", "ref_start", "edits"], [_INT] * 6)
 
