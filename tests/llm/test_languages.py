@@ -49,3 +49,17 @@ def test_families_come_first(codes):
     model = languages.LanguageModel.fit(x, np.array(codes, object).repeat(5))
     assert model.families.classes == ["germanic", "romance", "xx"]
     assert model.within["germanic"].classes == ["de", "en"]
+
+
+def test_copies_do_not_crowd_out_the_texts_to_learn_from(spark, monkeypatch):
+    seen = {}
+
+    def fit(x, langs):
+        seen.update(Counter(langs.tolist()))
+        return "model"
+
+    monkeypatch.setattr(languages.LanguageModel, "fit", fit)
+    rows = [("en", f"text number {chr(97 + i)} {'abc' * i}") for i in range(30)] + [("en", "the same house again")] * 6000 + [("de", f"ein Text {'xy' * i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert learn_languages(docs, per_language=20) == "model"
+    assert seen == {"en": 20, "de": 12}

@@ -190,12 +190,14 @@ def learn_languages(
     """
     rows = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    # distinct texts, for copies must not lower the share of those that pass; counted exactly
+    distinct = hashed.groupBy("lang", "h").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["lang"]: r["n"] for r in distinct.collect()}
     if not counts:
         return None
-    # about four times as many as needed pass by hash; copies then fall together, and the smallest hashes stay
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 4 * per_language / n))) for k, n in counts.items()])
-    hashed = rows.withColumn("h", F.xxhash64("text"))
+    # over four times as many as needed pass by hash; copies then fall together, and the smallest hashes stay
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, (4 * per_language + 64) / n))) for k, n in counts.items()])
     picked = hashed.where(F.shiftrightunsigned("h", 11) < share * float(2**53))
     single = picked.groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = F.row_number().over(_window())
