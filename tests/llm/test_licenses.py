@@ -3,7 +3,7 @@
 import random
 import re
 
-from tidemark.llm.licenses import BASE_PHRASES, license_scan, rules
+from tidemark.llm.licenses import BASE_PHRASES, LICENSES, license_scan, rules
 
 WORDS = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -75,3 +75,19 @@ def test_defined_cases(spark):
     found = license_scan(frame).collect()
     assert sorted((r.doc_id or 0, r.n_base, r.labels) for r in found) == [(0, 1, "mit"), (1, 1, "mit"), (1, 1, "mit")]
     assert license_scan(frame.limit(0)).count() == 0
+
+
+def test_gates_drop_no_match_of_their_patterns(spark):
+    verbs = ["licensed", "released", "distributed", "available", "published", "provided", "covered", "governed", "used"]
+    texts = [f"It is {v} {p} the {name}, see below." for v in verbs for p in ("under", "by", "with") for name in ("MIT", "BSD", "ISC", "Apache 2.0", "MPL v2")]
+    rng = random.Random(8)
+    signatures = rules()
+    for label, names, versions, spdx in LICENSES:
+        for name in names.replace(" ?", " ").split("|"):
+            version = rng.choice(versions.split("|"))
+            texts += [f"{rng.choice(verbs)} under the {name} {version}", f"{name} {version} or later", f"{name} license {version}", f"licence: {name} {version}"]
+    data = list(enumerate(texts))
+    found = rows(license_scan(spark.createDataFrame(data, "doc_id bigint, text string")))
+    free = [r._replace(gates=()) for r in signatures]
+    assert found == {i: expected(t, free) for i, t in data}
+    assert found[0][5] == found[3 * 5 * 3][5] == "mit" and found[3 * 5 * 3][6] == 0.9

@@ -103,7 +103,8 @@ PAGES = (
     ("cc0-1.0", "creativecommons org publicdomain zero 1 0"), ("unlicense", "unlicense org"), ("bsl-1.0", "(?:www )?boost org licen[sc]e 1 0"),
 )
 
-GRANT = "(?:licensed|released|distributed|available|published|provided|covered|governed|used) (?:under|by|with)(?: the)?(?: terms of)?(?: the)?"
+VERBS = "licensed|released|distributed|available|published|provided|covered|governed|used"
+GRANT = f"(?:{VERBS}) (?:under|by|with)(?: the)?(?: terms of)?(?: the)?"
 WORD = "licen[sc]es?"
 
 
@@ -137,13 +138,13 @@ def rules() -> list[Rule]:
         found.append(Rule(label, f"spdx {WORD} identifier (?:{spdx})", ("spdx",), 5, 1.0))
         if versions:
             found += [
-                Rule(label, f"{GRANT} {name}(?: {WORD})?{version}", (first, generic + "|released|distributed"), 4, 0.95),
+                Rule(label, f"{GRANT} {name}(?: {WORD})?{version}", (first, VERBS), 4, 0.95),
                 Rule(label, f"{name}(?: {WORD})?{version}(?: or(?: at your option)?(?: any)? later)?(?: {WORD})?", (first,), 3, 0.85),
                 Rule(label, f"{WORD}(?: is| id)? {name}{version}", (first, generic), 2, 0.75),
             ]
         else:
             found += [
-                Rule(label, f"{GRANT} {name}(?: style)?(?: {WORD})?", (first, generic + "|released|distributed"), 3, 0.9),
+                Rule(label, f"{GRANT} {name}(?: style)?(?: {WORD})?", (first, VERBS), 3, 0.9),
                 Rule(label, f"{name}(?: style)? {WORD}", (first, generic), 2, 0.8),
                 Rule(label, f"{WORD}(?: is| id)? {name}", (first, generic), 1, 0.6),
             ]
