@@ -148,3 +148,24 @@ def test_exact_passages_around_a_costly_gap_are_kept(spark, first, own, second):
     docs = [(i, " ".join(words(rng, 40) + one + words(rng, own) + two + words(rng, 30))) for i in (1, 2)]
     found = repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), min_words=25).collect()
     assert sorted((r.doc_id, r.start_word, r.n_words) for r in found) == [(2, 40, first), (2, 40 + first + own, second)]
+
+
+def test_a_passage_of_lines_first_seen_elsewhere(spark):
+    rng = random.Random(21)
+    lines = [words(rng, 10) for _ in range(8)]
+    docs = [(i, words(rng, 30) + line + words(rng, 30)) for i, line in enumerate(lines)]
+    whole = sum(lines, [])
+    docs += [(20, words(rng, 15) + whole + words(rng, 12)), (21, words(rng, 25) + whole + words(rng, 9)), (21, words(rng, 50))]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+    (row,) = [r for r in repeated_passages(frame).collect() if r.doc_id == 21]
+    assert (row.start_word, row.n_words, row.ref_doc_id, row.ref_start, row.identity) == (25, 80, 20, 15, 1.0)
+
+
+def test_overlapping_phrases_first_seen_elsewhere(spark):
+    rng = random.Random(22)
+    whole = words(rng, 90)
+    docs = [(i, words(rng, 30) + whole[at : at + 18] + words(rng, 30)) for i, at in enumerate(range(0, 90, 5))]
+    docs += [(30, words(rng, 15) + whole + words(rng, 12)), (31, words(rng, 25) + whole + words(rng, 9))]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+    (row,) = [r for r in repeated_passages(frame).collect() if r.doc_id == 31]
+    assert abs(row.start_word - 25) <= 2 and abs(row.n_words - 90) <= 4 and 30 in row.ref_doc_ids

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -58,6 +59,34 @@ def minimizers(words: np.ndarray, size: int = SEED, window: int = WINDOW) -> tup
     return mixed[places], places
 
 
+def scattered_runs(
+    seeds: np.ndarray, pos: np.ndarray, ref_ids: np.ndarray, ref_pos: np.ndarray, min_piece: int, size: int = SEED, window: int = WINDOW
+) -> Iterator[tuple[int, int, int]]:
+    """Runs of neighbouring seeds whose first occurrences do not lie side by side: key, position, distance of the last seed.
+
+    From each seed the run of two, and the shortest of at least ``min_piece``
+    words.  Runs with first occurrences side by side were first seen there, as a
+    whole, so they need no key of their own; which runs those are depends on the
+    seeds alone, not on the document.
+    """
+    new = np.ones(len(pos), bool)
+    new[1:] = pos[1:] != pos[:-1]
+    seeds, pos, ref_ids, ref_pos = seeds[new].view(np.uint64), pos[new].astype(np.int64), ref_ids[new], ref_pos[new]
+    if len(pos) < 2:
+        return
+    step = np.diff(pos)
+    # numbers of the stretches without a wide step, and of those with all first occurrences side by side
+    stretch = np.concatenate([[0], np.cumsum(step > window)])
+    apart = np.concatenate([[0], np.cumsum((np.diff(ref_ids) != 0) | (np.diff(ref_pos.astype(np.int64)) != step))])
+    long = np.searchsorted(pos, pos + min_piece - size, side="left")
+    for i, end in enumerate(long.tolist()):
+        for j in sorted({i + 1, end}):
+            if i < j < len(pos) and stretch[i] == stretch[j] and apart[i] != apart[j]:
+                place = (pos[i : j + 1] - pos[i]).astype(np.uint64)
+                key = xxhash.xxh3_64_intdigest(seeds[i : j + 1].tobytes() + place.tobytes())
+                yield key - 2**64 if key >> 63 else key, int(pos[i]), int(pos[j] - pos[i])
+
+
 class WindowMax:
     """A segment tree: the best value, and whose it is, among a range of positions.
 
@@ -315,15 +344,18 @@ def repeated_passages(
 
     Seeds (minimizers of five-word runs, two in eleven words) are joined with
     their first occurrence in the table, never with each other, so a passage in a
-    third of all documents gives one match per occurrence.  Matches of a document
+    third of all documents gives one match per occurrence.  Neighbouring seeds that
+    were first seen apart are joined once more, two together and as runs of
+    ``min_piece`` words, with the first document that holds the run: a passage made
+    of phrases that are each known from elsewhere is found too.  Matches of a document
     with one other are chained, chains are aligned word by word on both texts and extended, and
     pieces of ``min_piece`` words or more are merged per document: a chain with
     too many edits gives the longest parts of it that have few enough, and a passage
     whose parts were first seen in different documents is found as a whole.
     Documents with chains are read again, and 32-bit word hashes of the windows around chains are aligned.
 
-    A passage shows if two seeds of it in reach of each other survive its edits; 25 words
-    without an edit always hold two.
+    A passage shows if two seeds of it in reach of each other survive its edits and were
+    first seen side by side, alone or as a run; 25 words without an edit always hold two seeds.
 
     Defined cases: null, empty and short texts have no passages; rows with a null
     id are left out; rows with equal ids count as one document; a document is
@@ -338,16 +370,42 @@ def repeated_passages(
             ids = batch["doc_id"].to_numpy()
             n = [len(p) for _, p in found]
             if sum(n):
+                # tells the texts of rows with equal ids apart
+                parts = [zlib.crc32(t.as_py().encode()) & 0x7FFFFFFF for t in batch["text"]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, n)), pa.array(np.concatenate([s for s, _ in found]).view(np.int64)), pa.array(np.concatenate([p for _, p in found]).astype(np.int32))],
-                    names=["doc_id", "seed", "pos"],
+                    [pa.array(np.repeat(ids, n)), pa.array(np.repeat(np.array(parts, np.int32), n)), pa.array(np.concatenate([s for s, _ in found]).view(np.int64)),
+                     pa.array(np.concatenate([p for _, p in found]).astype(np.int32))],
+                    names=["doc_id", "part", "seed", "pos"],
                 )
 
-    seeds = freeze(rows.mapInArrow(sow, "doc_id long, seed long, pos int"), "seeds")
-    shared = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("ref"), F.max("doc_id").alias("other"))
-    shared = shared.where("ref.doc_id < other").select("seed", F.col("ref.doc_id").alias("ref_id"), F.col("ref.pos").alias("ref_pos"))
+    seeds = freeze(rows.mapInArrow(sow, "doc_id long, part int, seed long, pos int"), "seeds")
+
+    def firsts(keys: DataFrame, key: str) -> DataFrame:
+        """Of each key that several documents have, the first place."""
+        first = keys.groupBy(key).agg(F.min(F.struct("doc_id", "pos")).alias("ref"), F.max("doc_id").alias("other"))
+        return first.where("ref.doc_id < other").select(key, F.col("ref.doc_id").alias("ref_id"), F.col("ref.pos").alias("ref_pos"))
+
     # both sides come from tables, so a popular seed's partition can be split
-    matches = seeds.join(freeze(shared, "shared-seeds"), "seed").where("doc_id > ref_id").drop("seed")
+    held = freeze(seeds.join(freeze(firsts(seeds, "seed"), "shared-seeds"), "seed"), "held-seeds")
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for group in _groups(batches, ["doc_id", "part"]):
+                doc_id = group["doc_id"][0].as_py()
+                values = (group[c].to_numpy() for c in ("seed", "pos", "ref_id", "ref_pos"))
+                for key, pos, far in scattered_runs(*values, min_piece):
+                    yield doc_id, key, pos, far
+
+        return _batches(found(), ["doc_id", "run", "pos", "far"], [_INT, _INT, pa.int32(), pa.int32()])
+
+    # seeds that follow each other but were first seen apart are looked up again together
+    ordered = held.repartition("doc_id").sortWithinPartitions("doc_id", "part", "pos")
+    runs = freeze(ordered.mapInArrow(tie, "doc_id long, run long, pos int, far int"), "seed-runs")
+    again = runs.join(freeze(firsts(runs, "run"), "shared-runs"), "run").where("doc_id > ref_id")
+    ends = F.explode(F.array(F.lit(0), F.col("far"))).alias("by")
+    again = again.select("doc_id", "pos", "ref_id", "ref_pos", ends)
+    again = again.select("doc_id", "ref_id", (F.col("pos") + F.col("by")).alias("pos"), (F.col("ref_pos") + F.col("by")).alias("ref_pos"))
+    matches = held.where("doc_id > ref_id").select("doc_id", "ref_id", "pos", "ref_pos").unionByName(again)
     matches = matches.repartition("doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id", "pos", "ref_pos")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,6 +414,9 @@ def repeated_passages(
                 if len(group["pos"]) < LEAST:
                     continue
                 left, right = group["pos"].to_numpy(), group["ref_pos"].to_numpy()
+                new = np.ones(len(left), bool)  # runs give the matches of their seeds again
+                new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+                left, right = left[new], right[new]
                 for way in chains(left, right):
                     a, b = left[way], right[way]
                     ends = (int(a[0]), int(a[-1]), int(b[0]), int(b[-1]))
