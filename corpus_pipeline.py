@@ -59,11 +59,48 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == ids["_gone"], "left_anti")
 
 
+def _keyed(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with a key for every row as ``doc_id`` and the id itself as ``_own_id``; None if the ids are keys already.
+
+    The first row of each id keeps it as its key.  Rows without an id and further
+    rows of an id get keys after all ids (before all, if there is no room).
+    """
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+    if again.isEmpty():
+        return None
+    numbered = freeze(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    low, high = numbered.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if high is None or high < 2**62:
+        fresh = F.col("_row") + F.lit(0 if high is None else high + 1)
+    elif low > -(2**62):
+        fresh = F.lit(low - 1) - F.col("_row")
+    else:
+        raise ValueError("doc_id leaves no room for the keys of rows with null or repeated ids")
+    firsts = numbered.where("doc_id is not null").groupBy("doc_id").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("n"))
+    firsts = freeze(firsts.where("n > 1").select(F.col("doc_id").alias("_id"), "_first"), "repeated-ids")
+    hint = F.broadcast if small_enough(firsts) else (lambda df: df)
+    marked = numbered.join(hint(firsts), numbered["doc_id"] == firsts["_id"], "left")
+    key = F.when(F.expr("doc_id is null or _row <> _first"), fresh).otherwise(F.col("doc_id"))
+    return freeze(marked.withColumns({"_own_id": F.col("doc_id"), "doc_id": key.cast("bigint")}).drop("_row", "_id", "_first"), "keyed-rows")
+
+
+def by_row(stage: Stage) -> Stage:
+    """The stage with every row judged and cut by itself, also where ids are null or repeated."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        keyed = _keyed(docs)
+        if keyed is None:
+            return stage(spark, docs, sf_dir)
+        return stage(spark, keyed, sf_dir).withColumn("doc_id", F.col("_own_id")).select(*docs.columns)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", keep_languages),
-    ("line_dedup", drop_repeated_lines),
-    ("near_dedup", drop_near_copies),
-    ("benchmark_leaks", drop_leaks),
+    ("line_dedup", by_row(drop_repeated_lines)),
+    ("near_dedup", by_row(drop_near_copies)),
+    ("benchmark_leaks", by_row(drop_leaks)),
     ("packing", pack_sequences),
 ]
 

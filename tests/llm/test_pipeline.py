@@ -87,3 +87,27 @@ def test_empty_and_unlabelled(spark, corpus):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0, name
         assert stage(spark, docs, folder).count() in (1, 2), name
+
+
+def test_rows_with_null_or_repeated_ids_are_cut_by_themselves(spark, corpus):
+    folder, _, items = corpus
+    rng = random.Random(4)
+    line = lambda: " ".join(f"{rng.choice('klmnprst')}{rng.randrange(10**6)}" for _ in range(25))
+    common, own, mine, other, more, base, twice = (line() for _ in range(7))
+    leak, w = f"{line()} {items[0][1]} {line()}", f"{base} {line()}".split()
+    rows = [
+        (1, common), (None, f"{common}\n{own}"), (None, f"{mine}\n{common}"), (None, leak), (5, twice), (5, twice), (6, f"{common}\n{other}"), (6, f"{more}\n{common}"),
+        (3, " ".join(w[:25]) + "\n" + " ".join(w[25:])), (None, " ".join(w[:12]) + "\n" + " ".join(w[12:37]) + "\n" + " ".join(w[37:])),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], COLUMNS)
+    stages = dict(corpus_pipeline.STAGES)
+    found = [docs]
+    for name in ("line_dedup", "near_dedup", "benchmark_leaks"):
+        found.append(corpus_pipeline.freeze(stages[name](spark, found[-1], folder), "t"))
+        assert found[-1].columns == docs.columns
+    texts = [[(r.doc_id, r.text) for r in f.collect()] for f in found[1:]]
+    lines = [x for _, t in texts[0] for x in t.split("\n")]
+    assert all(lines.count(x) == 1 for x in (common, own, mine, other, more, twice, leak))
+    assert len(texts[0]) == 9 and len(texts[1]) == 8 and len(texts[2]) == 7
+    assert [i for i, t in texts[1] if t.split() == w] == [3]
+    assert sorted((i or 0, t) for i, t in texts[2] if i not in (1, 3)) == sorted([(0, own), (0, mine), (5, twice), (6, other), (6, more)])
