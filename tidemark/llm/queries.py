@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chat import repair_roles
 from tidemark.llm.exact_copies import exact_copies
+from tidemark.llm.fingerprints import near_fingerprints
 from tidemark.llm.fuzzy_lines import fuzzy_lines
 from tidemark.llm.languages import identify, learn_languages, learnable
 from tidemark.llm.leaks import leaks
@@ -17,6 +18,8 @@ from tidemark.llm.licenses import license_scan
 from tidemark.llm.near_copies import near_copies
 from tidemark.llm.packing import pack
 from tidemark.llm.passages import repeated_passages
+from tidemark.llm.ranking import ranked_search
+from tidemark.llm.structure import repair_structure, repaired_digests
 from tidemark.llm.token_files import read_documents, write_token_files
 from tidemark.sources.scratch import spread
 
@@ -148,3 +151,64 @@ def chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_repeated_passages")
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_fingerprints")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_fingerprints(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "kept")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults: by a checksum of conversation and turn, rows are lost, emptied, cut, repeated or given to the user."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.encode(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")), "utf-8")) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate(spaced("text"), ".!?", "")).otherwise(spaced("text"))
+    times = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)
+    marked = turns.withColumn("kind", kind).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2)))).where(F.col("copy") <= times)
+    return marked.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(spaced("role")).alias("role"), text.alias("text"))
+
+
+@query("op12_structure_repair")
+def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = repair_structure(damaged(turns))
+    digests = repaired_digests(repaired.edits).withColumnRenamed("conv_id", "d")
+    found = repaired.conversations.withColumnRenamed("conv_id", "c")
+    every = turns.select("conv_id").distinct().join(found, F.expr("conv_id <=> c"), "left").join(digests, F.expr("conv_id <=> d"), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return every.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", nothing).alias("repaired_sha256")
+    )
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+    with d as (
+      select doc_id, row_number() over () as r, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+      from documents),
+    i as (
+      select item_id, row_number() over () as i, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+      from benchmark),
+    q as (select i, item_id, term, count(*) as times from (select i, item_id, unnest(t) as term from i) group by all),
+    s as (select count(*) filter (len(t) > 0) as docs, sum(len(t))::bigint as total from d),
+    n as (select r, doc_id, 100 - 25 + ((25 * len(t) * docs) // total) as m from d, s where len(t) > 0),
+    p as (
+      select r, term, count(*) as tf from (select r, unnest(t) as term from d)
+      where term in (select term from q) group by r, term),
+    f as (select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as weight from p, s group by term),
+    c as (
+      select q.i, q.item_id, n.doc_id, n.r, sum(q.times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+      from p join q using (term) join f using (term) join n using (r) group by all)
+    select item_id, row_number() over (partition by i order by score desc, doc_id)::int as rank, doc_id, score
+    from c where score > 0 qualify rank <= 20
+    """,
+)
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
