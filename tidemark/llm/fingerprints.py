@@ -143,7 +143,9 @@ def _links(fps: DataFrame, distance: int, crowd: int) -> DataFrame:
     cut = max(crowd, HEAVY_FLOOR, fps.count() * 64 // HEAVY_SHARE)
     heavy = F.broadcast(counts.where(F.col("n") > cut).select("key"))
     light = variants.join(heavy, "key", "left_anti")
-    buckets = light.join(counts.where(F.col("n").between(3, crowd)).select("key"), "key", "left_semi")
+    few = freeze(counts.where(F.col("n").between(3, crowd)).select("key"), "bucket-keys")
+    hint = F.broadcast if small_enough(few) else (lambda df: df)
+    buckets = light.join(hint(few), "key", "left_semi")
     buckets = buckets.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     links = pairs.unionByName(_within_buckets(buckets, distance))
 
