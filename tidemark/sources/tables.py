@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .records import read_records
 from .rowid import ROW_ID, number_files, with_row_id
 from .workbooks import read_workbooks
 
@@ -60,8 +63,10 @@ def read_table(
     CSV and workbook cells are text unless ``schema`` or ``infer`` says otherwise, so
     ledgers show them as written; any of ``na_tokens`` becomes null before types
     are inferred.  A row with fewer cells than the header ends in nulls, a row
-    with more is an error.  ``multi_line=False`` lets Spark split large CSV files
-    whose cells have no line breaks.
+    with more is an error.  CSV cells go by the names in the header of their own file:
+    the first file (by path) gives the columns, the others may have them in any order and lack
+    some, but have no others.  Large files are split, also where cells hold line
+    breaks; ``multi_line=False`` takes every line for a row, whatever its quotes.
 
     JSON files hold an array of records, or a record per line (which splits and
     scales); ``lines`` says which, or else the first character of every file
@@ -70,7 +75,7 @@ def read_table(
     """
     kind = detect_format(path, fmt)
     if kind == "csv":
-        df = _read_csv(spark, path, multi_line)
+        df = _read_csv(spark, path, multi_line, row_id)
     elif kind == "json":
         df = _read_json(spark, path, schema, lines)
     elif kind == "xlsx":
@@ -78,8 +83,8 @@ def read_table(
     else:
         reader = spark.read if schema is None else spark.read.schema(schema)
         df = reader.format(kind).load(path)
-    if row_id:
-        df = number_files(df) if kind != "xlsx" else with_row_id(df)
+    if row_id and ROW_ID not in df.columns:
+        df = number_files(df) if kind not in ("csv", "xlsx") else with_row_id(df)
     df = clean_header(df)
     if kind in ("csv", "xlsx"):
         if na_tokens:
@@ -95,15 +100,58 @@ def _name(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """Text cells by position, with one column more to see rows that are too long."""
-    options = {"escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE"}
-    first = spark.read.options(**options, header=False).csv(path).first()
-    header = [(cell or "").strip() for cell in first] if first else []
-    if not header:
+_CSV = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "lineSep": "\n"}
+
+
+def _read_csv(spark: SparkSession, path: str, multi_line: bool, row_id: bool) -> DataFrame:
+    """Text cells by the names in each file's own header; a cell without a name is an error."""
+    cut = read_records(spark, path, multi_line)
+    if not cut.headers:
         raise ValueError(f"No header in {path}")
-    width = len(header)
-    names = [f"c{i}" for i in range(width)] + ["more"]
+    kinds = {text: number for number, text in enumerate(dict.fromkeys(cut.headers[f] for f in sorted(cut.headers)))}
+    if any("\r" in text for text in kinds):
+        return _read_whole_csv(spark, path)
+    names = [_checked(spark, _cells(spark, text)) for text in kinds]
+    columns, exact = names[0], (spark.conf.get("spark.sql.caseSensitive", "false") or "").lower() == "true"
+    same = (lambda n: n) if exact else str.lower
+    places = {same(n): i for i, n in enumerate(columns)}
+    for other in names[1:]:
+        if strange := [n for n in other if same(n) not in places]:
+            raise ValueError(f"Files differ: {strange} not in the first header {columns}")
+    width = max(map(len, names))
+    cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(width + 1)), _CSV)
+    rows = cut.rows.withColumn("cells", cells)
+    surplus, value = F.col(f"cells.c{width}"), lambda i: F.col(f"cells.c{i}")
+    if len(names) > 1:
+        # a file with a header of its own: where it has which column, and how many
+        numbers = {file: kinds[text] for file, text in cut.headers.items() if kinds[text]}
+        kind = F.coalesce(F.from_json(F.lit(json.dumps(numbers)), "map<string,int>")[F.col("file")], F.lit(0))
+        at = [[next((j for j, n in enumerate(own) if same(n) == same(c)), -1) for c in columns] for own in names]
+        rows = rows.withColumns({"at": F.get(F.lit(at), kind), "width": F.get(F.lit([len(own) for own in names]), kind)})
+        rows = rows.withColumn("cells", F.array(*[F.col(f"cells.c{i}") for i in range(width + 1)]))
+        surplus = F.get("cells", F.col("width"))
+        value = lambda i: F.get("cells", F.get("at", F.lit(i)))
+    rows = rows.where(F.when(surplus.isNull(), True).otherwise(F.raise_error(F.lit("A row has more cells than the header"))))
+    ids = [F.col("id").alias(ROW_ID)] if row_id else []
+    return rows.select(*ids, *[value(i).alias(c) for i, c in enumerate(columns)])
+
+
+def _cells(spark: SparkSession, record: str) -> list[str]:
+    """The cells of a header; there cannot be more than commas."""
+    schema = ", ".join(f"c{i} string" for i in range(record.count(",") + 1))
+    cells = spark.range(1).select(F.from_csv(F.lit(record), schema, _CSV).alias("r")).first()["r"]
+    given = [(c or "").strip() for c in cells]
+    while len(given) > 1 and not given[-1] and not record.rstrip().endswith(","):
+        given.pop()  # commas inside quotes
+    return given
+
+
+def _read_whole_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Files whose lines end in carriage returns alone, one task each, all under the header of one of them."""
+    options = {"escape": '"', "multiLine": True, "mode": "PERMISSIVE"}
+    first = spark.read.options(**options, header=False).csv(path).first()
+    header = [(cell or "").strip() for cell in first]
+    names = [f"c{i}" for i in range(len(header))] + ["more"]
     places = T.StructType([T.StructField(n, T.StringType()) for n in names])
     cells = spark.read.options(**options, header=True).schema(places).csv(path)
     tidy = cells.where(F.expr("if(more is null, true, raise_error('A row has more cells than the header'))"))

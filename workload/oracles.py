@@ -448,6 +448,7 @@ ORACLES["custom_step"] = over_dirty(
 _NULLED = ", ".join(f"nullif({c}, '') as {c}" for c in COLUMNS)
 _BROKEN = "replace (name || chr(10) || 'second, \"line\"' as name)"
 ORACLES["io_csv"] = over_dirty(f"select {_NULLED} from (select * {_BROKEN} from dirty)")
+ORACLES["io_csv_by_name"] = ORACLES["io_csv"]
 ORACLES["io_json"] = over_dirty(f"select {', '.join(COLUMNS)} from (select * {_BROKEN} from dirty)")
 ORACLES["io_convert"] = over_dirty(f"select {_NULLED} from dirty")
 ORACLES["src_detect"] = "select * from nation"

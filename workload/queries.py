@@ -545,6 +545,16 @@ def io_csv(spark, folder):
     return _round_trip(spark, folder, "csv")
 
 
+@query
+def io_csv_by_name(spark, folder):
+    """Files of one folder that order their columns differently, with line breaks in cells."""
+    broken = dirty(spark, folder).withColumn("name", F.concat("name", F.lit("\nsecond, \"line\"")))
+    path = scratch_path(spark, "io")
+    write_table(broken.where(f"{ROW_ID} % 3 = 0").drop(ROW_ID), path, "csv")
+    write_table(broken.where(f"{ROW_ID} % 3 > 0").select(*reversed(broken.drop(ROW_ID).columns)), path, "csv", mode="append")
+    return read_table(spark, path, "csv")
+
+
 @query
 def io_json(spark, folder):
     return _round_trip(spark, folder, "json")
