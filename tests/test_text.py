@@ -145,3 +145,26 @@ def test_rendered_numbers(spark):
 
 def test_exact_keys_keep_types(spark):
     assert column(spark, [-0.0], "double").select(exact_key(F.col("v"), T.DoubleType()).cast("string")).first()[0] == "0.0"
+
+
+def test_common_length_of_many_pairs(spark):
+    """All lengths around the word of 64 characters, against the textbook table."""
+    import random
+
+    from tidemark.functions.similarity import common_length
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], max(row[j], row[j - 1], last + (x == y))
+        return row[-1]
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abé😀 ￿\x00") for _ in range(n))
+    pairs = [(text(rng.choice([0, 1, 5, 30, 63, 64, 65, 90])), text(rng.choice([0, 1, 9, 40, 64, 66, 130]))) for _ in range(200)]
+    pairs += [("x" * 64, "x" * 64), ("ab" * 40, "ba" * 300), ("q", "p" * 600 + "q"), (None, "a"), ("a", None)]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").coalesce(1)
+    got = dict(frame.select("i", common_length("a", "b")).collect())
+    assert got == {i: None if a is None or b is None else table(a, b) for i, (a, b) in enumerate(pairs)}
