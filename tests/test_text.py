@@ -151,7 +151,7 @@ def test_common_length_of_many_pairs(spark):
     """All lengths around the word of 64 characters, against the textbook table."""
     import random
 
-    from tidemark.functions.similarity import common_length
+    from tidemark.functions.similarity import common_length, common_lengths
 
     def table(a, b):
         row = [0] * (len(b) + 1)
@@ -168,3 +168,6 @@ def test_common_length_of_many_pairs(spark):
     frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").coalesce(1)
     got = dict(frame.select("i", common_length("a", "b")).collect())
     assert got == {i: None if a is None or b is None else table(a, b) for i, (a, b) in enumerate(pairs)}
+    some = [p for p in pairs if None not in p and len(p[0]) < 100 and len(p[1]) < 200][:40]
+    left, right = [a for a, _ in some], [b for _, b in some]
+    assert common_lengths(left, right).tolist() == [[table(a, b) for b in right] for a in left]

@@ -45,6 +45,34 @@ def _common_many(short: list[str], long: list[str]) -> np.ndarray:
     return np.bitwise_count(~row).astype(np.int64)
 
 
+def common_lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """Longest common subsequences of each text on the left with each on the right.
+
+    As ``_common_many``, with as many words per row as the longest left text
+    needs; additions carry from word to word.
+    """
+    words = max(1, -(-max(map(len, left)) // _WORD))
+    own = _code_points(left, words * _WORD, 0xFFFFFFFF)
+    other = _code_points(right, max(1, *map(len, right)), 0xFFFFFFFE)
+    known, place = np.unique(other, return_inverse=True)
+    place = place.reshape(other.shape)
+    masks = np.stack([np.packbits(own == c, axis=1, bitorder="little").view(np.uint64) for c in known])
+    row = np.full((words, len(left), len(right)), ~np.uint64(0))
+    for step in place.T:
+        match, carry = masks[step], None
+        for w in range(words):
+            now = row[w]
+            hit = now & match[:, :, w].T
+            total = now + hit
+            over = total < now
+            if carry is not None:
+                total = total + carry
+                over |= total < carry
+            carry = over.astype(np.uint64) if w + 1 < words else None
+            row[w] = total | (now - hit)
+    return np.bitwise_count(~row).sum(axis=0, dtype=np.int64)
+
+
 def _common_one(a: str, b: str) -> int:
     """The same for one pair of any length, bit-parallel on whole ints."""
     masks: dict[str, int] = {}

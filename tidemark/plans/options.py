@@ -33,7 +33,7 @@ def type_overrides(value: str) -> dict[str, str]:
     for item in names(value):
         column, colon, kind = item.partition(":")
         if not colon or not column.strip():
-            raise ValueError("Type overrides must use column:type entries")
+            raise ValueError("Write each type as column:type")
         out[column.strip()] = kind.strip().casefold()
     return out
 

@@ -13,6 +13,11 @@ The longer text of a pair is therefore indexed by its ``k + 1`` *rarest* chunks
 and the shorter one probes with its character q-grams; an equi-join on (length
 class, gram) brings every qualifying pair together.  Which chunks are chosen
 only affects cost, so rarity comes from a bounded table of hashed counts.
+
+Where a length class has so many texts in common form that even rare chunks meet
+more often than there are pairs of texts, as at low thresholds, that class is
+compared tile by tile instead (``blocked_classes``): a tile of longer texts meets a tile of
+shorter ones in one task, which folds the common lengths of all their pairs at once.
 """
 
 from __future__ import annotations
@@ -21,10 +26,12 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import common_length, ratio_from_common
+from ..functions.similarity import common_length, common_lengths, ratio_from_common
 from ..sources.scratch import spread
 
 # Size of the hashed gram-count table; the driver and every task hold this many bytes.
@@ -40,6 +47,14 @@ _MAX_SALT_BITS = 10
 # rejected where they meet; longer ones are looked up for distinct candidates.
 CARRIED = 128
 
+# Texts of a class that is compared in full meet in tiles of about this many on either side.
+TILE = 512
+# Texts that the choice between the two ways is judged by; it never changes the result.
+JUDGED = 4_000
+_TILES_PER_TASK = 8
+_MOST_TASKS = 20_000
+_CELLS = 1 << 18  # 64-bit words folded together
+
 _EPS = 1e-9
 
 
@@ -167,15 +182,19 @@ def _index(texts: DataFrame, scheme: Scheme, counts: GramCounts) -> DataFrame:
     return rows.withColumn("salt", F.lit(0) if salts is None else F.explode(F.sequence(F.lit(0), salts - 1)))
 
 
-def _probe(texts: DataFrame, scheme: Scheme, counts: GramCounts) -> DataFrame:
-    """All q-grams of every text, once per length class of its longer partners."""
+def _partners(texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """Texts once per length class of their longer partners."""
     sized = texts.select("id", "text", F.length("text").alias("b")).where(F.col("b") >= 1)
     longest = F.greatest(F.col("b").cast("double"), F.floor(F.col("b") * F.lit(scheme.stretch) + 1e-6))
     # a pair of different texts needs at least one edit
     sized = sized.where(F.floor(F.lit(scheme.loss) * (F.col("b") + longest) + _EPS) >= 1)
     classes = F.sequence(scheme.length_class(F.col("b")), scheme.length_class(longest))
-    classed = sized.select("id", "text", "b", F.explode(classes).alias("cls")).withColumn("q", scheme.chunk(F.col("cls")))
-    classed = classed.where(F.col("b") >= F.col("q"))
+    return sized.select("id", "text", "b", F.explode(classes).alias("cls")).withColumn("q", scheme.chunk(F.col("cls")))
+
+
+def _probe(texts: DataFrame, scheme: Scheme, counts: GramCounts) -> DataFrame:
+    """All q-grams of every text, once per length class of its longer partners."""
+    classed = _partners(texts, scheme).where(F.col("b") >= F.col("q"))
     starts = F.sequence(F.lit(1), F.col("b") - F.col("q") + 1)
     rows = classed.select("id", "text", "b", "cls", "q", F.explode(starts).alias("s")).select(
         F.col("id").alias("y"), "b", "cls", (F.col("s") - 1).alias("found"),
@@ -195,16 +214,105 @@ def candidate_load(texts: DataFrame, scheme: Scheme, counts: GramCounts) -> int:
     return int(row["load"] or 0)
 
 
-def candidate_ids(indexed: DataFrame, probing: DataFrame, scheme: Scheme, counts: GramCounts) -> DataFrame:
-    """Distinct ``x, y`` ids, ``x`` from the indexed (longer) side."""
+@dataclass(frozen=True)
+class ClassCost:
+    """Rows that either way visits for the texts of one length class and their shorter partners."""
+
+    cls: int
+    longer: int
+    shorter: int
+    by_grams: float
+    length: float
+
+    @property
+    def by_tiles(self) -> int:
+        return self.longer * self.shorter
+
+    @property
+    def tiles_are_cheaper(self) -> bool:
+        """A pair in a tile costs about a row of the other way, as long as its texts have up to 64 characters."""
+        return self.by_tiles * max(1.0, self.length / 64) ** 2 < self.by_grams
+
+
+def class_costs(indexed: DataFrame, probing: DataFrame, scheme: Scheme, counts: GramCounts) -> list[ClassCost]:
+    """The costs of every length class; there are as many as lengths differ by factors of ``stretch``.
+
+    Sizes are exact; gram meetings are counted among a sample of the texts.
+    """
+    longer = _with_class(indexed, scheme).groupBy("cls").agg(F.count(F.lit(1)).alias("nx"))
+    shorter = _partners(probing, scheme).groupBy("cls").agg(F.count(F.lit(1)).alias("ny"))
+    sizes = {r["cls"]: (r["nx"], r["ny"]) for r in longer.join(shorter, "cls").collect()}
+    most = max((max(s) for s in sizes.values()), default=0)
+    rate = max(1, most // JUDGED)
+    some = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(rate)) == 0
+    keys = ["cls", "gram"]
+    left = _index(indexed.where(some), scheme, counts).groupBy(*keys).agg(F.count_if(F.col("salt") == 0).alias("nx"))
+    right = _probe(probing.where(some), scheme, counts).groupBy(*keys).agg(F.count(F.lit(1)).alias("ny"))
+    meetings = left.join(right, keys).groupBy("cls").agg(F.sum(F.col("nx").cast("double") * F.col("ny")).alias("load"))
+    loads = {r["cls"]: r["load"] * rate * rate for r in meetings.collect()}
+    return [ClassCost(cls, nx, ny, loads.get(cls, 0.0), scheme.stretch ** (cls + 1)) for cls, (nx, ny) in sorted(sizes.items())]
+
+
+def blocked_classes(costs: list[ClassCost]) -> list[ClassCost]:
+    """The classes that are cheaper to compare in full."""
+    return [c for c in costs if c.tiles_are_cheaper]
+
+
+def _tile_pairs(indexed: DataFrame, probing: DataFrame, scheme: Scheme, blocked: list[ClassCost]) -> DataFrame:
+    """``x, y, a, b, common`` of the blocked classes' pairs that reach the threshold, each pair once."""
+    loss = scheme.loss
+
+    def tiles(count: str) -> Column:
+        out = F.lit(1)
+        for c in blocked:
+            out = F.when(F.col("cls") == c.cls, -(-getattr(c, count) // TILE)).otherwise(out)
+        return out
+
+    def dealt(rows: DataFrame, own: str, others: str, at: str, every: str, side: str) -> DataFrame:
+        """Every text at its tile's place, once for each tile it meets."""
+        placed = rows.where(F.col("cls").isin([c.cls for c in blocked])).withColumn(at, F.pmod(F.xxhash64("id"), tiles(own)).cast("int"))
+        return placed.withColumn(every, F.explode(F.sequence(F.lit(0), tiles(others) - 1))).select(F.col("id").alias(side), F.col("text").alias(f"{side}_text"), "cls", "i", "j")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["x", "y", "a", "b", "common"]
+        parts = [np.zeros((5, 0), np.int64)]
+        if left.num_rows and right.num_rows:
+            xs, ys = left["x"].to_numpy(), right["y"].to_numpy()
+            x_texts, y_texts = left["x_text"].to_pylist(), right["y_text"].to_pylist()
+            b = np.fromiter(map(len, y_texts), np.int64, len(ys))
+            step = max(1, _CELLS // (len(ys) * -(-max(map(len, x_texts)) // 64)))
+            for at in range(0, len(xs), step):
+                ids, a = xs[at : at + step, None], np.fromiter(map(len, x_texts[at : at + step]), np.int64)[:, None]
+                common = common_lengths(x_texts[at : at + step], y_texts)
+                edits = a + b - 2 * common
+                good = (edits <= loss * (a + b) + 1e-6) & ((a > b) | (a == b) & (ids < ys))
+                rows, columns = np.nonzero(good)
+                parts.append(np.stack([ids[rows, 0], ys[columns], a[rows, 0], b[columns], common[good]]))
+        return pa.Table.from_arrays([pa.array(c) for c in np.concatenate(parts, axis=1)], names=names)
+
+    keys = ["cls", "i", "j"]
+    left = dealt(_with_class(spread(indexed, "id"), scheme), "longer", "shorter", "i", "j", "x")
+    right = dealt(_partners(spread(probing, "id"), scheme), "shorter", "longer", "j", "i", "y")
+    # few bytes, much work: as many tasks as the tiles are worth, which sizes alone would not tell
+    meetings = sum(-(-c.longer // TILE) * -(-c.shorter // TILE) for c in blocked)
+    tasks = min(_MOST_TASKS, -(-meetings // _TILES_PER_TASK))
+    both = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys))
+    return both.applyInArrow(meet, "x long, y long, a long, b long, common long")
+
+
+def candidate_ids(indexed: DataFrame, probing: DataFrame, scheme: Scheme, counts: GramCounts, blocked: list[ClassCost] | None = None) -> DataFrame:
+    """Distinct ``x, y`` ids outside the blocked classes, ``x`` from the indexed (longer) side."""
     a, b = F.col("a"), F.col("b")
     edits = scheme.edits(a, b)
     deletions = (edits + a - b) / 2
     insertions = (edits - a + b) / 2
     spoiled = F.when(F.col("q") == 1, deletions).otherwise(edits)
     # probing is the costly side: a small table of texts must not sit in one task
-    probes = _probe(spread(probing, "id"), scheme, counts)
-    joined = _index(indexed, scheme, counts).join(probes, ["cls", "gram", "salt"])
+    index, probes = _index(indexed, scheme, counts), _probe(spread(probing, "id"), scheme, counts)
+    if blocked:
+        rest = ~F.col("cls").isin([c.cls for c in blocked])
+        index, probes = index.where(rest), probes.where(rest)
+    joined = index.join(probes, ["cls", "gram", "salt"])
     fits = (
         (F.col("x") != F.col("y"))
         & ((a > b) | ((a == b) & (F.col("x") < F.col("y"))))
@@ -231,7 +339,7 @@ class Matcher:
 
     def __post_init__(self) -> None:
         if not 0 <= self.threshold <= 100:
-            raise ValueError("Fuzzy deduplication threshold must be between 0 and 100")
+            raise ValueError("A threshold of similarity lies between 0 and 100")
         if (self.similarity is None) != (self.candidates_at is None):
             raise ValueError("A similarity of your own needs candidates_at, and only then")
 
@@ -245,7 +353,9 @@ class Matcher:
         if scheme.loss == 0:
             return _no_pairs(texts)
         counts = GramCounts.of(texts, scheme)
-        return self.verified(candidate_ids(texts, texts, scheme, counts), texts)
+        blocked = blocked_classes(class_costs(texts, texts, scheme, counts))
+        found = self.verified(candidate_ids(texts, texts, scheme, counts, blocked), texts)
+        return found.unionByName(self.tiled(texts, blocked)) if blocked else found
 
     def between(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs with one text from each of two disjoint sets of frozen texts."""
@@ -271,14 +381,27 @@ class Matcher:
         left, right = F.col("left"), F.col("right")
         edits = scheme.edits(F.length(left), F.length(right))
         close = both.where(F.call_function("levenshtein", left, right, edits) >= 0)
-        # the mask of the first argument is reused while it stays the same
         counted = close.withColumn("common", common_length(right, left))
         scored = counted.withColumn("score", ratio_from_common(F.col("common"), F.length(left), F.length(right)))
-        scored = scored.where(F.col("score") >= F.lit(float(scheme.threshold)))
+        return self._judged(scored).select("a", "b", "score")
+
+    def tiled(self, texts: DataFrame, blocked: list[ClassCost]) -> DataFrame:
+        """The same for the blocked classes, whose common lengths are known where texts meet."""
+        met = _tile_pairs(texts, texts, self.scheme, blocked)
+        scored = met.withColumn("score", ratio_from_common(F.col("common"), F.col("a"), F.col("b")))
+        scored = scored.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
         if self.similarity is not None:
-            own = self.similarity(left, right).cast("double")
-            scored = scored.withColumn("score", own).where(F.col("score") >= F.lit(float(self.threshold)))
-        return scored.select("a", "b", "score")
+            scored = scored.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
+                texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b"
+            )
+        return self._judged(scored).select("a", "b", "score")
+
+    def _judged(self, scored: DataFrame) -> DataFrame:
+        scored = scored.where(F.col("score") >= F.lit(float(self.scheme.threshold)))
+        if self.similarity is None:
+            return scored
+        own = self.similarity(F.col("left"), F.col("right")).cast("double")
+        return scored.withColumn("score", own).where(F.col("score") >= F.lit(float(self.threshold)))
 
 
 def _no_pairs(like: DataFrame) -> DataFrame:

@@ -355,6 +355,9 @@ ORACLES["dup_strict_groups"] = fuzzy(*_PART) + f"""
   select leader as kept_row, row_id as matched_row, round(min(score) over (partition by leader), 6) as score, {_REASON}
   from r join l using (t) where row_id <> leader"""
 ORACLES["dup_pairs_customers"] = fuzzy(*_CUSTOMER) + "select a, b, round(score, 6) as score from p"
+ORACLES["dup_pairs_suppliers"] = (
+    fuzzy("(select *, s_suppkey as row_id from supplier)", token_sort("lower(s_name)"), 90) + "select a, b, round(score, 6) as score from p"
+)
 ORACLES["dup_strict_customers"] = fuzzy(*_CUSTOMER) + "select row_id, name, email from dirty where row_id in (select id from k)"
 
 _WORLD = (

@@ -398,6 +398,14 @@ def dup_pairs_customers(spark, folder):
     return found.select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query
+def dup_pairs_suppliers(spark, folder):
+    """Names of one form at a threshold where they are compared in full."""
+    named = load(spark, folder, "supplier").select(F.col("s_suppkey").cast("bigint").alias(ROW_ID), "s_name")
+    found = FuzzyText(named, ["s_name"]).pairs(Matcher(90))
+    return found.select("a", "b", F.round("score", 6).alias("score"))
+
+
 @query
 def dup_strict_customers(spark, folder):
     step = FuzzyDedup(["name", "email"], CUSTOMER_THRESHOLD, "remove_strict")
