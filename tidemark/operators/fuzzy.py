@@ -100,21 +100,23 @@ class FuzzyDedup(Step):
 
     ``suggest`` reports one group per distinct text that has later matches: its
     later copies and the first row of every later similar text.  With
-    ``expand=True`` every row gets its own full group.  ``similarity`` and
-    ``candidates_at`` plug in a score of your own, see ``Matcher``.
+    ``expand=True`` every row gets its own full group.  ``similarity`` with
+    ``candidates_at`` or ``block_key`` plugs in a score of your own, ``approximate`` finds pairs
+    by MinHash and says so in the reason, see ``Matcher``.
     """
 
     def __init__(self, columns, threshold: float, mode: str = "suggest", expand: bool = False, similarity=None,
-                 candidates_at: float | None = None, name: str = "fuzzy-deduplication") -> None:
+                 candidates_at: float | None = None, block_key=None, approximate: bool = False, name: str = "fuzzy-deduplication") -> None:
         self.columns = require_columns(columns, "Name the columns to compare")
-        self.matcher = Matcher(threshold, similarity, candidates_at)
+        self.matcher = Matcher(threshold, similarity, candidates_at, block_key, approximate)
         if mode not in MODES:
             raise ValueError(f"Unknown fuzzy deduplication mode: {mode}")
         self.mode, self.expand, self.name = mode, expand, name
 
     @property
     def reason(self) -> str:
-        return f"fuzzy duplicate above threshold {self.matcher.threshold:g}"
+        kind = "approximate fuzzy duplicate" if self.matcher.approximate else "fuzzy duplicate"
+        return f"{kind} above threshold {self.matcher.threshold:g}"
 
     def apply(self, df: DataFrame, step: int) -> Outcome:
         text = FuzzyText(df, self.columns)

@@ -30,9 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.similarity import common_length, common_lengths, ratio_from_common
 from ..sources.scratch import spread
+from .blocks import block_pairs, minhash_bands
 
 # Size of the hashed gram-count table; the driver and every task hold this many bytes.
 BUCKETS = 1 << 16
@@ -330,28 +332,53 @@ class Matcher:
     """What counts as similar: a threshold, on the built-in score or on your own.
 
     A scorer of your own (two text columns, earlier row first, to a score from
-    0 to 100) judges the pairs whose built-in score reaches ``candidates_at``.
+    0 to 100) judges the pairs whose built-in score reaches ``candidates_at``, or else
+    those that share a key: ``block_key`` makes a text's key, or an array of keys, of a text column.
+
+    ``approximate`` finds pairs by MinHash bands instead of all of them: nothing
+    is reported below the threshold, but a few pairs above it may be missing.
     """
 
     threshold: float
     similarity: Callable[[Column, Column], Column] | None = None
     candidates_at: float | None = None
+    block_key: Callable[[Column], Column] | None = None
+    approximate: bool = False
 
     def __post_init__(self) -> None:
         if not 0 <= self.threshold <= 100:
             raise ValueError("A threshold of similarity lies between 0 and 100")
-        if (self.similarity is None) != (self.candidates_at is None):
-            raise ValueError("A similarity of your own needs candidates_at, and only then")
+        ways = (self.candidates_at is not None) + (self.block_key is not None)
+        if ways != (self.similarity is not None):
+            raise ValueError("A similarity of your own needs candidates_at or block_key, and only then")
+        if self.approximate and (self.similarity is not None or self.threshold == 0):
+            raise ValueError("Approximate pairs need the built-in score and a threshold above 0")
 
     @property
     def scheme(self) -> Scheme:
+        if self.block_key is not None:
+            return Scheme(100)  # keys alone make the pairs
         return Scheme(self.threshold if self.candidates_at is None else self.candidates_at)
 
+    def _shared(self, texts: DataFrame, split: str | None = None) -> DataFrame:
+        """Distinct ``x, y`` ids that share a key or a band."""
+        if self.approximate:
+            banded = minhash_bands(texts, self.scheme.loss)
+            banded = texts.join(banded, "id") if split else banded
+            return block_pairs(banded, F.col("bands"), split)
+        key = texts.withColumn("key", self.block_key(F.col("text")))
+        several = isinstance(key.schema["key"].dataType, T.ArrayType)
+        return block_pairs(key, F.col("key") if several else F.array("key"), split)
+
     def pairs(self, texts: DataFrame) -> DataFrame:
         """All pairs ``a < b`` of distinct texts (frozen ``id, text``) with their score."""
         scheme = self.scheme
+        if self.block_key is not None:
+            return self._own_score(self._shared(texts).toDF("a", "b"), texts)
         if scheme.loss == 0:
             return _no_pairs(texts)
+        if self.approximate:
+            return self.verified(self._shared(texts), texts)
         counts = GramCounts.of(texts, scheme)
         blocked = blocked_classes(class_costs(texts, texts, scheme, counts))
         found = self.verified(candidate_ids(texts, texts, scheme, counts, blocked), texts)
@@ -359,7 +386,11 @@ class Matcher:
 
     def between(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs with one text from each of two disjoint sets of frozen texts."""
-        scheme = self.scheme
+        scheme, both = self.scheme, left.select("id", "text").unionByName(right.select("id", "text"))
+        if self.block_key is not None or self.approximate and scheme.loss > 0:
+            sides = left.select("id", "text", F.lit(True).alias("early")).unionByName(right.select("id", "text", F.lit(False).alias("early")))
+            shared = self._shared(sides, "early")
+            return self._own_score(shared.toDF("a", "b"), both) if self.block_key is not None else self.verified(shared, both)
         if scheme.loss == 0:
             return _no_pairs(left)
         counts = GramCounts.of(right, scheme)
@@ -375,9 +406,7 @@ class Matcher:
         """
         scheme = self.scheme
         ordered = candidates.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        both = ordered.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
-            texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b"
-        )
+        both = _with_texts(ordered, texts)
         left, right = F.col("left"), F.col("right")
         edits = scheme.edits(F.length(left), F.length(right))
         close = both.where(F.call_function("levenshtein", left, right, edits) >= 0)
@@ -390,11 +419,11 @@ class Matcher:
         met = _tile_pairs(texts, texts, self.scheme, blocked)
         scored = met.withColumn("score", ratio_from_common(F.col("common"), F.col("a"), F.col("b")))
         scored = scored.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
-        if self.similarity is not None:
-            scored = scored.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
-                texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b"
-            )
-        return self._judged(scored).select("a", "b", "score")
+        return self._judged(scored if self.similarity is None else _with_texts(scored, texts)).select("a", "b", "score")
+
+    def _own_score(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        own = self.similarity(F.col("left"), F.col("right")).cast("double")
+        return _with_texts(pairs, texts).select("a", "b", own.alias("score")).where(F.col("score") >= F.lit(float(self.threshold)))
 
     def _judged(self, scored: DataFrame) -> DataFrame:
         scored = scored.where(F.col("score") >= F.lit(float(self.scheme.threshold)))
@@ -404,5 +433,11 @@ class Matcher:
         return scored.withColumn("score", own).where(F.col("score") >= F.lit(float(self.threshold)))
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with their texts, ``left`` and ``right``."""
+    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("left")), texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
+    return pairs.join(left, "a").join(right, "b")
+
+
 def _no_pairs(like: DataFrame) -> DataFrame:
     return like.sparkSession.createDataFrame([], "a bigint, b bigint, score double")

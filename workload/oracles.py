@@ -358,6 +358,9 @@ ORACLES["dup_pairs_customers"] = fuzzy(*_CUSTOMER) + "select a, b, round(score,
 ORACLES["dup_pairs_suppliers"] = (
     fuzzy("(select *, s_suppkey as row_id from supplier)", token_sort("lower(s_name)"), 90) + "select a, b, round(score, 6) as score from p"
 )
+ORACLES["dup_own_key"] = f"""with r as (select {_PART[1]} as t, min(p_partkey) as id from part group by 1)
+  select x.id as a, y.id as b, cast(100 as double) as score from r x join r y
+  on x.id < y.id and split_part(x.t, ' ', 1) = split_part(y.t, ' ', 1) and len(x.t) = len(y.t)"""
 ORACLES["dup_strict_customers"] = fuzzy(*_CUSTOMER) + "select row_id, name, email from dirty where row_id in (select id from k)"
 
 _WORLD = (

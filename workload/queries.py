@@ -406,6 +406,21 @@ def dup_pairs_suppliers(spark, folder):
     return found.select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query
+def dup_own_key(spark, folder):
+    """A score of the user's own over blocks of the user's own: names of equal length with the same first word."""
+    alike = lambda left, right: F.when(F.length(left) == F.length(right), 100).otherwise(0)
+    own = Matcher(50, alike, block_key=lambda text: F.substring_index(text, " ", 1))
+    return FuzzyText(_parts(spark, folder), ["p_name"]).pairs(own)
+
+
+@query
+def dup_lsh(spark, folder):
+    """Approximate: pairs found by MinHash bands, each with its exact score."""
+    found = FuzzyText(dirty(spark, folder), ["name", "email"]).pairs(Matcher(CUSTOMER_THRESHOLD, approximate=True))
+    return found.select("a", "b", F.round("score", 6).alias("score"))
+
+
 @query
 def dup_strict_customers(spark, folder):
     step = FuzzyDedup(["name", "email"], CUSTOMER_THRESHOLD, "remove_strict")
