@@ -43,23 +43,38 @@ def test_defined_cases(spark):
     assert {r.lang_pred for r in identify(docs, one).collect()} == {"en", "und"}
 
 
-@pytest.mark.parametrize("codes", [["en", "de", "fr", "xx"]])
-def test_families_come_first(codes):
-    x = np.eye(4, 512, dtype=np.float32).repeat(5, axis=0)
-    model = languages.LanguageModel.fit(x, np.array(codes, object).repeat(5))
+def test_families_come_first():
+    langs = ["en", "de", "fr", "xx"]
+    machines = languages.duels(langs)
+    assert machines == [(None, "germanic", "romance"), (None, "germanic", "xx"), (None, "romance", "xx"), ("germanic", "de", "en")]
+    model = languages.LanguageModel.of(8, langs, {m: np.zeros(9, np.float32) for m in machines})
     assert model.families.classes == ["germanic", "romance", "xx"]
     assert model.within["germanic"].classes == ["de", "en"]
 
 
-def test_copies_do_not_crowd_out_the_texts_to_learn_from(spark, monkeypatch):
+@pytest.fixture
+def learned_from(monkeypatch):
+    """How many vectors of each language are handed to the duels."""
     seen = {}
+    plain = languages._vectors
 
-    def fit(x, langs):
-        seen.update(Counter(langs.tolist()))
-        return "model"
+    def vectors(texts, buckets):
+        seen.update(Counter(r.lang for r in texts.collect()))
+        return plain(texts, buckets)
 
-    monkeypatch.setattr(languages.LanguageModel, "fit", fit)
+    monkeypatch.setattr(languages, "_vectors", vectors)
+    return seen
+
+
+def test_copies_do_not_crowd_out_the_texts_to_learn_from(spark, learned_from):
     rows = [("en", f"text number {chr(97 + i)} {'abc' * i}") for i in range(30)] + [("en", "the same house again")] * 6000 + [("de", f"ein Text {'xy' * i}") for i in range(12)]
     docs = spark.createDataFrame(rows, "lang string, text string")
-    assert learn_languages(docs, per_language=20) == "model"
-    assert seen == {"en": 20, "de": 12}
+    assert learn_languages(docs, per_language=20).families.classes == ["germanic"]
+    assert learned_from == {"en": 20, "de": 12}
+
+
+def test_number_of_languages_is_bounded(spark, learned_from):
+    rows = [(f"l{i:03d}", f"{chr(0x400 + i)}{'ab' * j}") for i in range(80) for j in range(2 if i % 2 else 1)]
+    model = learn_languages(spark.createDataFrame(rows, "lang string, text string"), most_languages=50, buckets=64)
+    odd, even = [f"l{i:03d}" for i in range(1, 80, 2)], [f"l{i:03d}" for i in range(0, 80, 2)]
+    assert sorted(learned_from) == sorted([*odd, *even[:10]]) == model.families.classes

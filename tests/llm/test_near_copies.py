@@ -143,3 +143,10 @@ def test_leaks_equal_brute_force(spark):
     assert len(want) > 60
     assert {tuple(r) for r in leaks(by_id, asked).collect()} == want
     assert leaks(by_id.limit(0), asked).count() == 0 and leaks(by_id, asked.limit(0)).count() == 0
+
+
+def test_items_of_one_id_are_looked_for_each_by_itself(spark):
+    first, second = "one two three four five six seven", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, f"so {first} it is"), (2, f"and {second} too"), (3, f"{second} {first}"), (4, "none")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, first), (9, second), (9, first.upper()), (8, "none of it")], "item_id bigint, text string")
+    assert sorted(map(tuple, leaks(docs, items).collect())) == [(1, 9, 3, 3), (2, 9, 6, 6), (3, 9, 3, 3), (3, 9, 6, 6)]

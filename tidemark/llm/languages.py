@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import spread
+from tidemark.sources.scratch import freeze, spread
 
 UNKNOWN = "und"
 
@@ -102,6 +102,37 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, epochs: int = 6
     return mean
 
 
+def fit_duel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The machine between two classes (labels 1 and -1), which weigh the same whatever their sizes."""
+    few, many = sorted([np.flatnonzero(y > 0), np.flatnonzero(y < 0)], key=len)
+    take = np.concatenate([many, np.resize(few, len(many))])
+    return fit_svm(x[take], y[take]).astype(np.float32)
+
+
+def _members(langs: list[str]) -> dict[str, list[str]]:
+    families: dict[str, list[str]] = {}
+    for lang in sorted(langs):
+        families.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
+    return families
+
+
+def duels(langs: list[str]) -> list[tuple[str | None, str, str]]:
+    """All machines to fit: pairs of families (level None), and pairs of languages within each family."""
+    members = _members(langs)
+    return [(None, a, b) for a, b in combinations(sorted(members), 2)] + [
+        (family, a, b) for family, own in members.items() for a, b in combinations(own, 2)
+    ]
+
+
+def _sides(machines: list[tuple[str | None, str, str]], langs: list[str]) -> list[tuple[str, int, int]]:
+    """Each language with the duels it takes part in, and for which side."""
+    members, out = _members(langs), []
+    for number, (level, *classes) in enumerate(machines):
+        for sign, name in zip((1, -1), classes, strict=True):
+            out += [(lang, number, sign) for lang in ([name] if level else members[name])]
+    return out
+
+
 @dataclass
 class Duel:
     """One-versus-one machines between classes; the class that wins most duels is chosen."""
@@ -109,19 +140,6 @@ class Duel:
     classes: list[str]
     weights: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
 
-    @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray) -> Duel:
-        classes = sorted(set(labels.tolist()))
-        weights = {}
-        for i, j in combinations(range(len(classes)), 2):
-            rows = (labels == classes[i]) | (labels == classes[j])
-            y = np.where(labels[rows] == classes[i], 1.0, -1.0)
-            # both classes weigh the same, whatever their sizes
-            few, many = sorted([np.flatnonzero(y > 0), np.flatnonzero(y < 0)], key=len)
-            take = np.concatenate([many, np.resize(few, len(many))])
-            weights[i, j] = fit_svm(x[rows][take], y[take])
-        return cls(classes, weights)
-
     def choose(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The winner's number and how clearly it won its closest duel (0.5 to 1)."""
         n = len(self.classes)
@@ -145,10 +163,14 @@ class LanguageModel:
     within: dict[str, Duel]
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: np.ndarray) -> LanguageModel:
-        family = np.array([FAMILY_OF.get(v, v) for v in langs], object)
-        within = {f: Duel.fit(x[family == f], langs[family == f]) for f in sorted(set(family.tolist()))}
-        return cls(x.shape[1], Duel.fit(x, family), within)
+    def of(cls, buckets: int, langs: list[str], weights: dict[tuple[str | None, str, str], np.ndarray]) -> LanguageModel:
+        """The model of the duels between ``langs``, as ``duels`` names them."""
+
+        def among(level: str | None, classes: list[str]) -> Duel:
+            return Duel(classes, {(i, j): weights[level, classes[i], classes[j]] for i, j in combinations(range(len(classes)), 2)})
+
+        members = _members(langs)
+        return cls(buckets, among(None, sorted(members)), {f: among(f, own) for f, own in members.items()})
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         x = ngram_shares(texts, self.buckets)
@@ -179,21 +201,23 @@ def _portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
 
 
 def learn_languages(
-    labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, buckets: int = 8192
+    labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, buckets: int = 8192, most_languages: int = 64
 ) -> LanguageModel | None:
     """A model from at most ``per_language`` texts of each language (None if nothing is labelled).
 
     The texts are those with the smallest hashes, equal texts once, so the choice
-    does not depend on ids or order.  Their n-gram shares are made on the
-    executors; the driver gets ``per_language`` short vectors per language.
+    does not depend on ids or order.  The ``most_languages`` languages with the most distinct texts are
+    learned (by name among equals).  N-gram shares are made on the executors, and every duel between
+    two classes is fitted in a task of its own; the driver gets the weights, one short vector a duel.
     Texts without letters and rows without a language are not learned from.
     """
+    spark = labelled.sparkSession
     rows = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
     hashed = rows.withColumn("h", F.xxhash64("text"))
     # distinct texts, for copies must not lower the share of those that pass; counted exactly
     distinct = hashed.groupBy("lang", "h").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["lang"]: r["n"] for r in distinct.collect()}
+    counts = {r["lang"]: r["n"] for r in distinct.orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return None
     # over four times as many as needed pass by hash; copies then fall together, and the smallest hashes stay
@@ -202,16 +226,34 @@ def learn_languages(
     single = picked.groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = F.row_number().over(_window())
     chosen = single.withColumn("nth", order).where(F.col("nth") <= per_language).select("lang", "text")
-
+    machines = duels(list(counts))
+    weights = {}
+    if machines:
+        # at most most_languages squared rows
+        sides = F.broadcast(spark.createDataFrame(_sides(machines, list(counts)), "lang string, duel int, y int"))
+        vectors = freeze(_vectors(chosen, buckets), "language-vectors")
+        fitted = vectors.join(sides, "lang").groupBy("duel").applyInArrow(_fit_group, "duel int, w binary")
+        weights = {machines[r["duel"]]: np.frombuffer(r["w"], np.float32) for r in fitted.collect()}
+    return LanguageModel.of(buckets, list(counts), weights)
+
+
+def _vectors(texts: DataFrame, buckets: int) -> DataFrame:
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in _portions(batch):
-                found = [v.astype(np.float16).tobytes() for v in ngram_shares(texts, buckets)]
-                yield pa.RecordBatch.from_arrays([batch["lang"].slice(start, len(texts)), pa.array(found, pa.binary())], names=["lang", "x"])
+            for start, some in _portions(batch):
+                found = [v.astype(np.float16).tobytes() for v in ngram_shares(some, buckets)]
+                yield pa.RecordBatch.from_arrays([batch["lang"].slice(start, len(some)), pa.array(found, pa.binary())], names=["lang", "x"])
+
+    return texts.mapInArrow(shares, "lang string, x binary")
+
 
-    found = chosen.mapInArrow(shares, "lang string, x binary").orderBy("lang", "x").toArrow()
-    x = np.frombuffer(b"".join(v.as_py() for v in found["x"]), np.float16).reshape(-1, buckets).astype(np.float32)
-    return LanguageModel.fit(x, np.array(found["lang"].to_pylist(), object))
+def _fit_group(group: pa.Table) -> pa.Table:
+    """One duel: the vectors of two classes, bounded by ``per_language`` and the languages of two families."""
+    order = sorted(range(group.num_rows), key=lambda i: (group["lang"][i].as_py(), group["x"][i].as_py()))
+    group = group.take(pa.array(order))
+    x = np.frombuffer(b"".join(v.as_py() for v in group["x"]), np.float16).reshape(group.num_rows, -1).astype(np.float32)
+    w = fit_duel(x, group["y"].to_numpy().astype(np.float64))
+    return pa.Table.from_arrays([group["duel"].slice(0, 1), pa.array([w.tobytes()], pa.binary())], names=["duel", "w"])
 
 
 def _window():

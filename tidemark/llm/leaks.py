@@ -68,27 +68,29 @@ def leaks(
     Sketches are broadcast when they are few, else joined by hash.  Only candidate
     documents are read a second time, and no group of copies is ever collected.
 
-    Defined cases: items without words, with null or repeated ids of equal text
-    (the latter once) match nothing twice; null texts have no words; a null
-    document id or item id gives no row; documents with equal ids count as one;
-    empty tables give an empty result; other columns are ignored.
+    Defined cases: items without words match nothing; items with equal ids and equal
+    words are one, those with equal ids and other words are items of their own, with a
+    row each; null texts have no words; a null document id or item id gives no row; documents with
+    equal ids count as one; empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[doc_text].cast("string").alias("text")).where("doc_id is not null")
     asked = items.select(items[item_id].cast("bigint").alias("item_id"), words(items[item_text].cast("string")).alias("w"))
-    asked = asked.where("item_id is not null and size(w) > 0").withColumn("k", F.least(F.lit(shingle), F.size("w")))
+    asked = asked.where("item_id is not null and size(w) > 0").withColumn("k", F.least(F.lit(shingle), F.size("w"))).distinct()
+    # an item is an id with a text: texts of one id are looked for each by itself
+    asked = freeze(asked.withColumn("item", F.monotonically_increasing_id()), "asked-items")
     per_length = F.coalesce(*[F.when(F.col("k") == k, shingle_texts(k)) for k in range(1, shingle + 1)])
     wanted = freeze(
-        asked.select("item_id", "k", F.explode(per_length).alias("s")).distinct(), "item-shingles"
+        asked.select("item", "k", F.explode(per_length).alias("s")).distinct(), "item-shingles"
     )
-    sizes = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_shingles"))
+    sizes = wanted.groupBy("item").agg(F.count(F.lit(1)).alias("n_shingles"))
 
     # sketches: how many minima a size class [2^c, 2^(c+1)) needs
     largest = F.expr("shiftleft(2L, cast(floor(log2(n_shingles)) as int)) - 1")
     needed = F.least("n_shingles", largest - F.ceil(largest * percent / 100) + 1)
     hashed = wanted.withColumn("h", F.expr("xxhash64(" + ", ".join(f"try_element_at(split(s, ' '), {j + 1})" for j in range(shingle)) + ")"))
-    by_item = hashed.groupBy("item_id", "k").agg(F.sort_array(F.collect_list("h")).alias("hs")).join(sizes, "item_id")
-    minima = by_item.select("item_id", "k", F.explode(F.slice("hs", 1, needed.cast("int"))).alias("h"))
+    by_item = hashed.groupBy("item", "k").agg(F.sort_array(F.collect_list("h")).alias("hs")).join(sizes, "item")
+    minima = by_item.select("item", "k", F.explode(F.slice("hs", 1, needed.cast("int"))).alias("h"))
     minima = freeze(minima, "item-minima")
     ceilings = {r["k"]: r["top"] for r in minima.groupBy("k").agg(F.max("h").alias("top")).collect()}
     if not ceilings:
@@ -98,7 +100,7 @@ def leaks(
     cut = spread(rows).select("doc_id", words(F.col("text")).alias("w"))
     seen = cut.select("doc_id", F.explode(F.concat(*probes)).alias("p")).select("doc_id", "p.k", "p.h")
     hint = F.broadcast if small_enough(minima) else (lambda df: df)
-    found = freeze(seen.join(hint(minima), ["k", "h"]).select("doc_id", "item_id").distinct(), "leak-candidates")
+    found = freeze(seen.join(hint(minima), ["k", "h"]).select("doc_id", "item").distinct(), "leak-candidates")
 
     # exact containment on the shingles of candidate documents
     suspects = freeze(found.select("doc_id").distinct(), "leak-suspects")
@@ -108,7 +110,8 @@ def leaks(
     runs = [F.coalesce(r, F.array().cast("array<string>")) for r in runs]
     hint = F.broadcast if small_enough(wanted) else (lambda df: df)
     own = again.select("doc_id", F.explode(F.array_distinct(F.concat(*runs))).alias("s"))
-    hits = own.join(hint(wanted), "s").select("doc_id", "item_id", "s").distinct()
-    counted = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_found"))
-    full = counted.join(found, ["doc_id", "item_id"], "left_semi").join(sizes, "item_id")
-    return full.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent).select("doc_id", "item_id", "n_shingles", "n_found")
+    hits = own.join(hint(wanted), "s").select("doc_id", "item", "s").distinct()
+    counted = hits.groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n_found"))
+    full = counted.join(found, ["doc_id", "item"], "left_semi").join(sizes, "item")
+    leaked = full.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent).join(asked.select("item", "item_id"), "item")
+    return leaked.select("doc_id", "item_id", "n_shingles", "n_found")
