@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,8 @@ CARRIED = 128
 TILE = 512
 # Texts that the choice between the two ways is judged by; it never changes the result.
 JUDGED = 4_000
+# So many pairs of texts are compared sooner than the choice is made.
+AT_ONCE = 4_000_000
 _TILES_PER_TASK = 8
 _MOST_TASKS = 20_000
 _CELLS = 1 << 18  # 64-bit words folded together
@@ -231,20 +233,22 @@ class ClassCost:
         return self.longer * self.shorter
 
     @property
-    def tiles_are_cheaper(self) -> bool:
+    def tile_work(self) -> float:
         """A pair in a tile costs about a row of the other way, as long as its texts have up to 64 characters."""
-        return self.by_tiles * max(1.0, self.length / 64) ** 2 < self.by_grams
+        return self.by_tiles * max(1.0, self.length / 64) ** 2
 
 
-def class_costs(indexed: DataFrame, probing: DataFrame, scheme: Scheme, counts: GramCounts) -> list[ClassCost]:
-    """The costs of every length class; there are as many as lengths differ by factors of ``stretch``.
-
-    Sizes are exact; gram meetings are counted among a sample of the texts.
-    """
+def class_sizes(indexed: DataFrame, probing: DataFrame, scheme: Scheme) -> list[ClassCost]:
+    """The texts of every length class; there are as many classes as lengths differ by factors of ``stretch``."""
     longer = _with_class(indexed, scheme).groupBy("cls").agg(F.count(F.lit(1)).alias("nx"))
     shorter = _partners(probing, scheme).groupBy("cls").agg(F.count(F.lit(1)).alias("ny"))
-    sizes = {r["cls"]: (r["nx"], r["ny"]) for r in longer.join(shorter, "cls").collect()}
-    most = max((max(s) for s in sizes.values()), default=0)
+    found = longer.join(shorter, "cls").collect()
+    return sorted((ClassCost(r["cls"], r["nx"], r["ny"], math.inf, scheme.stretch ** (r["cls"] + 1)) for r in found), key=lambda c: c.cls)
+
+
+def class_costs(sizes: list[ClassCost], indexed: DataFrame, probing: DataFrame, scheme: Scheme, counts: GramCounts) -> list[ClassCost]:
+    """The classes with the rows that grams would visit, counted among a sample of the texts."""
+    most = max((max(c.longer, c.shorter) for c in sizes), default=0)
     rate = max(1, most // JUDGED)
     some = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(rate)) == 0
     keys = ["cls", "gram"]
@@ -252,12 +256,12 @@ def class_costs(indexed: DataFrame, probing: DataFrame, scheme: Scheme, counts:
     right = _probe(probing.where(some), scheme, counts).groupBy(*keys).agg(F.count(F.lit(1)).alias("ny"))
     meetings = left.join(right, keys).groupBy("cls").agg(F.sum(F.col("nx").cast("double") * F.col("ny")).alias("load"))
     loads = {r["cls"]: r["load"] * rate * rate for r in meetings.collect()}
-    return [ClassCost(cls, nx, ny, loads.get(cls, 0.0), scheme.stretch ** (cls + 1)) for cls, (nx, ny) in sorted(sizes.items())]
+    return [replace(c, by_grams=loads.get(c.cls, 0.0)) for c in sizes]
 
 
 def blocked_classes(costs: list[ClassCost]) -> list[ClassCost]:
     """The classes that are cheaper to compare in full."""
-    return [c for c in costs if c.tiles_are_cheaper]
+    return [c for c in costs if c.tile_work < c.by_grams]
 
 
 def _tile_pairs(indexed: DataFrame, probing: DataFrame, scheme: Scheme, blocked: list[ClassCost]) -> DataFrame:
@@ -379,8 +383,11 @@ class Matcher:
             return _no_pairs(texts)
         if self.approximate:
             return self.verified(self._shared(texts), texts)
+        sizes = class_sizes(texts, texts, scheme)
+        if sum(c.tile_work for c in sizes) <= AT_ONCE:
+            return self.tiled(texts, sizes) if sizes else _no_pairs(texts)
         counts = GramCounts.of(texts, scheme)
-        blocked = blocked_classes(class_costs(texts, texts, scheme, counts))
+        blocked = blocked_classes(class_costs(sizes, texts, texts, scheme, counts))
         found = self.verified(candidate_ids(texts, texts, scheme, counts, blocked), texts)
         return found.unionByName(self.tiled(texts, blocked)) if blocked else found
 
