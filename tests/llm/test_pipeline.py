@@ -54,7 +54,7 @@ def test_stages_in_order(corpus, spark):
     assert {r.doc_id: r.text for r in known.collect()} == want and {r.lang for r in known.collect()} == {"en"}
 
     cut = corpus_pipeline.freeze(stages["line_dedup"](spark, known, folder), "t")
-    decisions, _ = lines_test.expected(spark, list(want.items()), 3, 80)
+    decisions, _ = lines_test.expected(spark, list(want.items()), 80)
     gone = {(d, no) for d, no, _, _, kept in decisions if not kept}
     alive = {d for d, *_, kept in decisions if kept}
     want = {i: "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in gone) for i, t in want.items() if i in alive}
