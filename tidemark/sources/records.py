@@ -55,7 +55,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array]]:
+def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array]]:
     """The batches cut where another range begins."""
     for batch in batches:
         if not batch.num_rows:
@@ -110,7 +110,7 @@ def _scan(lines: DataFrame, breaks: bool) -> list[dict]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], _Range] = {}
-        for file, start, values in _ranges(batches):
+        for file, start, values in ranges(batches):
             found.setdefault((file, start), _Range(head_open=start == 0)).read(values, breaks)
         rows = [(f, s, *r.state, *r.count, "\n".join(r.head) if s == 0 and not r.head_open else None) for (f, s), r in found.items()]
         columns = zip(*rows, strict=True) if rows else [[]] * 7
@@ -194,7 +194,7 @@ def _cutter(breaks: bool, first: dict, inside: set, across: bool) -> Callable[[I
                 yield from row("\n".join(held), None if piece == 0 else number, 0 if piece == 0 else 1)
 
         names, heads = ["file", "start", "id", "piece", "record"], set()
-        for file, start, values in _ranges(batches):
+        for file, start, values in ranges(batches):
             if (file, start) != key:
                 if key is not None:
                     yield from close()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import array_lines
 from .records import read_records
 from .rowid import ROW_ID, number_files, with_row_id
 from .workbooks import read_workbooks
@@ -68,16 +69,17 @@ def read_table(
     some, but have no others.  Large files are split, also where cells hold line
     breaks; ``multi_line=False`` takes every line for a row, whatever its quotes.
 
-    JSON files hold an array of records, or a record per line (which splits and
-    scales); ``lines`` says which, or else the first character of every file
-    does, and a folder with both kinds is an error.  Columns keep the order of the first record.
+    JSON files hold an array of records, or a record per line; ``lines`` says which, or
+    else the first character of every file does, and a folder with both kinds is an
+    error.  Large files of either kind are split; arrays are written once as lines.  Elements of
+    an array other than records are an error.  Columns keep the order of the first record.
     ``row_id`` adds contiguous ids in file order.
     """
     kind = detect_format(path, fmt)
     if kind == "csv":
         df = _read_csv(spark, path, multi_line, row_id)
     elif kind == "json":
-        df = _read_json(spark, path, schema, lines)
+        df = _read_json(spark, path, schema, lines, row_id)
     elif kind == "xlsx":
         df = read_workbooks(spark, path)
     else:
@@ -163,7 +165,7 @@ def _checked(spark: SparkSession, header: list[str]) -> list[str]:
     return clean_header(spark.createDataFrame([], T.StructType([T.StructField(h, T.StringType()) for h in header]))).columns
 
 
-def _read_json(spark: SparkSession, path: str, schema, lines: bool | None) -> DataFrame:
+def _read_json(spark: SparkSession, path: str, schema, lines: bool | None, row_id: bool) -> DataFrame:
     text = spark.read.text(path).select(
         F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), F.trim("value").alias("line")
     ).where("line <> ''")
@@ -171,19 +173,40 @@ def _read_json(spark: SparkSession, path: str, schema, lines: bool | None) -> Da
     kinds = {r["array"] for r in starts.select((F.col("c") == "[").alias("array")).distinct().collect()}
     if len(kinds) > 1 or (lines is not None and kinds == {lines}):
         raise ValueError(f"{path} holds {'both arrays and lines of records' if len(kinds) > 1 else 'an array' if lines else 'lines of records'}")
-    array = True in kinds
-    reader = spark.read.option("multiLine", array).option("mode", "FAILFAST")
+    reader = spark.read.option("mode", "FAILFAST")
+    if True in kinds:
+        return _read_arrays(spark, path, schema, row_id)
     if schema is not None:
         return reader.schema(schema).json(path)
     df = reader.json(path)
     # inference sorts the names; the first record knows their order
-    source = spark.read.text(path, wholetext=True) if array else text.select(F.col("line").alias("value"))
-    record = F.get_json_object("value", "$[0]") if array else F.col("value")
-    first = source.select(F.json_object_keys(record).alias("keys")).first()
+    return _in_order(df, text.select(F.col("line").alias("record")))
+
+
+def _in_order(df: DataFrame, records: DataFrame) -> DataFrame:
+    """Columns in the order of the first of ``records``, the others behind them."""
+    first = records.select(F.json_object_keys("record").alias("keys")).first()
     keys = [k for k in (first["keys"] if first and first["keys"] else []) if k in df.columns]
     return df.select(*map(_name, keys), *[_name(c) for c in df.columns if c not in keys])
 
 
+def _read_arrays(spark: SparkSession, path: str, schema: T.StructType | str | None, row_id: bool) -> DataFrame:
+    """The records of arrays, cut by many tasks and written once as lines, which are typed and pruned like any others."""
+    target, reader = array_lines(spark, path), spark.read.option("mode", "FAILFAST")
+    if schema is not None:
+        row = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        reader = reader.schema(T.StructType([T.StructField("id", T.LongType()), T.StructField("row", row)]))
+    df = reader.json(target)
+    if "row" not in df.columns:  # no record has a key
+        return df.select(*[F.col("id").alias(ROW_ID)] * (row_id and "id" in df.columns))
+    cells = df.select("row.*")
+    if schema is None:
+        zero = spark.read.text(target).where(F.col("value").startswith('{"id":0,'))
+        cells = _in_order(cells, zero.select(F.get_json_object("value", "$.row").alias("record")))
+    ids = [F.col("id").alias(ROW_ID)] if row_id and ROW_ID not in cells.columns else []
+    return df.select(*ids, *[F.col("row")[c].alias(c) for c in cells.columns])
+
+
 def _typed(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """Cells cast to the schema's types, by position; a cell that is no such value is an error."""
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)

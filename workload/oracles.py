@@ -456,6 +456,8 @@ _BROKEN = "replace (name || chr(10) || 'second, \"line\"' as name)"
 ORACLES["io_csv"] = over_dirty(f"select {_NULLED} from (select * {_BROKEN} from dirty)")
 ORACLES["io_csv_by_name"] = ORACLES["io_csv"]
 ORACLES["io_json"] = over_dirty(f"select {', '.join(COLUMNS)} from (select * {_BROKEN} from dirty)")
+_BRACED = "replace (name || chr(10) || '\"}, ] {\\\" [' as name)"
+ORACLES["io_json_array"] = over_dirty(f"select {', '.join(COLUMNS)} from (select * {_BRACED} from dirty)")
 ORACLES["io_convert"] = over_dirty(f"select {_NULLED} from dirty")
 ORACLES["src_detect"] = "select * from nation"
 ORACLES["src_rowid"] = "select row_number() over (order by o_orderkey) - 1 as row_id, o_orderkey, o_totalprice from orders"

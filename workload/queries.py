@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import (
@@ -583,6 +583,23 @@ def io_json(spark, folder):
     return _round_trip(spark, folder, "json")
 
 
+@query
+def io_json_array(spark, folder):
+    """Files that hold an array each, with brackets, quotes and line breaks in strings."""
+    broken = dirty(spark, folder).withColumn("name", F.concat("name", F.lit('\n"}, ] {\\" [')))
+    place = Window.partitionBy("part").orderBy(ROW_ID)
+    rows = broken.withColumn("part", F.floor(F.col(ROW_ID) / 5000)).select(
+        "part", F.concat(
+            F.when(F.lag(ROW_ID).over(place).isNull(), "[").otherwise(","),
+            F.to_json(F.struct(*broken.drop(ROW_ID).columns), {"ignoreNullFields": "false"}),
+            F.when(F.lead(ROW_ID).over(place).isNull(), "]").otherwise(""),
+        ).alias("value")
+    )
+    path = scratch_path(spark, "io")
+    rows.write.partitionBy("part").text(path)
+    return read_table(spark, path, "json")
+
+
 @query
 def io_convert(spark, folder):
     """JSON to CSV and back into a table, formats told by the suffix."""
