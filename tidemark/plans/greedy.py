@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio_sorted
 from ..sources.scratch import freeze
-from .pairs import GramCounts, Matcher, Scheme, candidate_load
+from .pairs import Matcher, Scheme, candidate_load
 
 # Texts per batch: the first, and the least a crowded one is cut down to, so that
 # a cluster of near copies meets its leaders early.
@@ -103,7 +103,7 @@ def _next_batch(remaining: DataFrame, n: int, size: int, scheme: Scheme) -> tupl
             batch, rest = remaining.where(F.col("id") <= cut), remaining.where(F.col("id") > cut)
         if size <= LEAST_BATCH * 2 or scheme.loss == 0:
             return batch, rest, size
-        if candidate_load(batch, scheme, GramCounts.of(batch, scheme)) <= (2_000 + size // 10_000) * size:
+        if candidate_load(batch, scheme) <= (2_000 + size // 10_000) * size:
             return batch, rest, size
         size = max(LEAST_BATCH, size // SHRINK)
 

@@ -18,6 +18,9 @@ Where a length class has so many texts in common form that even rare chunks meet
 more often than there are pairs of texts, as at low thresholds, that class is
 compared tile by tile instead (``blocked_classes``): a tile of longer texts meets a tile of
 shorter ones in one task, which folds the common lengths of all their pairs at once.
+
+Short texts a few edits apart need neither: ``deletions`` joins what is left of
+them without a few characters, so that texts of one form cost no more than others.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,7 @@ from pyspark.sql import types as T
 from ..functions.similarity import common_length, common_lengths, ratio_from_common
 from ..sources.scratch import spread
 from .blocks import block_pairs, minhash_bands
+from .deletions import Deletions
 
 # Size of the hashed gram-count table; the driver and every task hold this many bytes.
 BUCKETS = 1 << 16
@@ -99,6 +104,11 @@ class Scheme:
         most = F.floor(F.lit(self.loss) * total + _EPS).cast("int")
         return most - F.pmod(most + total, F.lit(2))
 
+    def edits_of(self, a: int, b: int) -> int:
+        """The same for two numbers."""
+        most = math.floor(self.loss * (a + b) + _EPS)
+        return most - (most + a + b) % 2
+
     def most_edits(self, a: Column) -> Column:
         return F.floor(F.lit(2 * self.loss) * a + _EPS).cast("int")
 
@@ -209,13 +219,18 @@ def _probe(texts: DataFrame, scheme: Scheme, counts: GramCounts) -> DataFrame:
     return rows.withColumn("salt", salt)
 
 
-def candidate_load(texts: DataFrame, scheme: Scheme, counts: GramCounts) -> int:
-    """Rows the candidate join would visit, from per-key counts alone."""
+def candidate_load(texts: DataFrame, scheme: Scheme) -> float:
+    """Rows the joins for candidates would visit, from per-key counts alone."""
+    near = Deletions.of(texts, texts, scheme)
+    others = near.others(texts)
+    if not class_sizes(others, texts, scheme):
+        return near.load(texts)
+    counts = GramCounts.of(others, scheme)
     keys = ["cls", "gram", "salt"]
-    left = _index(texts, scheme, counts).groupBy(*keys).agg(F.count(F.lit(1)).alias("nx"))
+    left = _index(others, scheme, counts).groupBy(*keys).agg(F.count(F.lit(1)).alias("nx"))
     right = _probe(texts, scheme, counts).groupBy(*keys).agg(F.count(F.lit(1)).alias("ny"))
     row = left.join(right, keys).agg(F.sum(F.col("nx").cast("double") * F.col("ny")).alias("load")).first()
-    return int(row["load"] or 0)
+    return near.load(texts) + (row["load"] or 0)
 
 
 @dataclass(frozen=True)
@@ -385,11 +400,19 @@ class Matcher:
             return self.verified(self._shared(texts), texts)
         sizes = class_sizes(texts, texts, scheme)
         if sum(c.tile_work for c in sizes) <= AT_ONCE:
-            return self.tiled(texts, sizes) if sizes else _no_pairs(texts)
-        counts = GramCounts.of(texts, scheme)
-        blocked = blocked_classes(class_costs(sizes, texts, texts, scheme, counts))
-        found = self.verified(candidate_ids(texts, texts, scheme, counts, blocked), texts)
-        return found.unionByName(self.tiled(texts, blocked)) if blocked else found
+            return self.tiled(texts, texts, sizes) if sizes else _no_pairs(texts)
+        near = Deletions.of(texts, texts, scheme)
+        others = near.others(texts)
+        candidates, blocked = [near.pairs(texts, texts)] if near.shorter else [], []
+        if sizes := class_sizes(others, texts, scheme) if near.longer else sizes:
+            counts = GramCounts.of(others, scheme)
+            blocked = sizes if 0 < sum(c.tile_work for c in sizes) <= AT_ONCE else blocked_classes(class_costs(sizes, others, texts, scheme, counts))
+            if len(blocked) < len(sizes):
+                candidates.append(candidate_ids(others, texts, scheme, counts, blocked))
+        found = [self.verified(reduce(DataFrame.unionByName, candidates), texts)] if candidates else []
+        if blocked:
+            found.append(self.tiled(others, texts, blocked))
+        return reduce(DataFrame.unionByName, found) if found else _no_pairs(texts)
 
     def between(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs with one text from each of two disjoint sets of frozen texts."""
@@ -400,9 +423,16 @@ class Matcher:
             return self._own_score(shared.toDF("a", "b"), both) if self.block_key is not None else self.verified(shared, both)
         if scheme.loss == 0:
             return _no_pairs(left)
-        counts = GramCounts.of(right, scheme)
-        both = candidate_ids(left, right, scheme, counts).union(candidate_ids(right, left, scheme, counts))
-        return self.verified(both, left.unionByName(right))
+        candidates, counts = [], None
+        for longer, shorter in ((left, right), (right, left)):
+            near = Deletions.of(longer, shorter, scheme)
+            others = near.others(longer)
+            if near.shorter:
+                candidates.append(near.pairs(longer, shorter))
+            if class_sizes(others, shorter, scheme):
+                counts = counts or GramCounts.of(right, scheme)
+                candidates.append(candidate_ids(others, shorter, scheme, counts))
+        return self.verified(reduce(DataFrame.union, candidates), both) if candidates else _no_pairs(left)
 
     def verified(self, candidates: DataFrame, texts: DataFrame) -> DataFrame:
         """Candidates that reach the threshold, as ``a < b, score``.
@@ -421,9 +451,9 @@ class Matcher:
         scored = counted.withColumn("score", ratio_from_common(F.col("common"), F.length(left), F.length(right)))
         return self._judged(scored).select("a", "b", "score")
 
-    def tiled(self, texts: DataFrame, blocked: list[ClassCost]) -> DataFrame:
-        """The same for the blocked classes, whose common lengths are known where texts meet."""
-        met = _tile_pairs(texts, texts, self.scheme, blocked)
+    def tiled(self, longer: DataFrame, texts: DataFrame, blocked: list[ClassCost]) -> DataFrame:
+        """The same for the blocked classes of ``longer`` texts, whose common lengths are known where texts meet."""
+        met = _tile_pairs(longer, texts, self.scheme, blocked)
         scored = met.withColumn("score", ratio_from_common(F.col("common"), F.col("a"), F.col("b")))
         scored = scored.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
         return self._judged(scored if self.similarity is None else _with_texts(scored, texts)).select("a", "b", "score")
