@@ -5,7 +5,7 @@ import math
 import pytest
 
 from tests.test_fuzzy import brute_groups, brute_pairs, noisy, table
-from tidemark.plans import deletions, pairs
+from tidemark.plans import blocks, deletions, pairs
 from tidemark.plans.deletions import Deletions
 from tidemark.plans.greedy import greedy_leaders
 from tidemark.plans.pairs import Matcher, Scheme
@@ -79,3 +79,31 @@ def test_hashes_of_remainders_are_those_of_the_texts(spark):
     assert left.shape == (2, math.comb(5, 2))
     whole = deletions._remainders(points("bcd", "abe", "bdd"), 0)[:, 0]
     assert whole[0] in left[0] and whole[1] in left[0] and whole[2] in left[1] and whole[1] not in left[1]
+
+
+def bands_of(spark, texts, threshold):
+    rows = blocks.minhash_bands(table(spark, texts), 1 - threshold / 100).collect()
+    return {r["id"]: set(r["bands"]) for r in rows}
+
+
+@pytest.mark.parametrize("ways", [0, 4000])
+def test_crowded_bands_lose_no_pair_that_shares_one(spark, monkeypatch, ways):
+    # no way to delete: all texts are long ones
+    monkeypatch.setattr(deletions, "MOST_WAYS", ways)
+    monkeypatch.setattr(blocks, "CROWDED", 3)
+    monkeypatch.setattr(blocks, "TILE", 16)
+    texts = customers(200) + [f"{t} and a tail that is far too long to delete from, on and on, as it is of many characters {i % 3}" * 3 for i, t in enumerate(customers(12))]
+    bands = bands_of(spark, texts, 97)
+    expected = {p: s for p, s in brute_pairs(texts, 97).items() if bands[p[0]] & bands[p[1]]}
+    found = {(r.a, r.b): r.score for r in Matcher(97, approximate=True).pairs(table(spark, texts)).collect()}
+    assert found == expected and any(a >= 200 for a, _ in expected) and any(b < 200 for _, b in expected)
+    if ways:
+        visited = banded_candidates(spark, texts[:200])
+        assert visited < 2 * sum(b < 200 for _, b in expected) + 200
+    left, right = table(spark, texts).where("id % 2 = 0"), table(spark, texts).where("id % 2 = 1")
+    between = {(r.a, r.b) for r in Matcher(97, approximate=True).between(left, right).collect()}
+    assert between == {(a, b) for a, b in expected if (a + b) % 2}
+
+
+def banded_candidates(spark, texts):
+    return blocks.banded_pairs(table(spark, texts), Scheme(97)).count()

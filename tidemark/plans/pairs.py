@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from ..functions.similarity import common_length, common_lengths, ratio_from_common
 from ..sources.scratch import spread
-from .blocks import block_pairs, minhash_bands
+from .blocks import banded_pairs, block_pairs
 from .deletions import Deletions
 
 # Size of the hashed gram-count table; the driver and every task hold this many bytes.
@@ -382,9 +382,7 @@ class Matcher:
     def _shared(self, texts: DataFrame, split: str | None = None) -> DataFrame:
         """Distinct ``x, y`` ids that share a key or a band."""
         if self.approximate:
-            banded = minhash_bands(texts, self.scheme.loss)
-            banded = texts.join(banded, "id") if split else banded
-            return block_pairs(banded, F.col("bands"), split)
+            return banded_pairs(texts, self.scheme, split)
         key = texts.withColumn("key", self.block_key(F.col("text")))
         several = isinstance(key.schema["key"].dataType, T.ArrayType)
         return block_pairs(key, F.col("key") if several else F.array("key"), split)
