@@ -83,19 +83,23 @@ def ngram_shares(texts: list[str], buckets: int) -> np.ndarray:
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, epochs: int = 60) -> np.ndarray:
-    """Weights and bias of a linear support vector machine (labels -1 and 1), by averaged subgradients."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, epochs: int = 60, take: np.ndarray | None = None) -> np.ndarray:
+    """Weights and bias of a linear support vector machine (labels -1 and 1), by averaged subgradients.
+
+    It learns from the rows ``take``, all if None; only a batch of them is copied.
+    """
+    take = np.arange(len(x)) if take is None else take
     rng = np.random.default_rng(0)
-    w, mean, seen = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
+    w, mean, seen = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0
     step = 0
     for epoch in range(epochs):
-        for batch in np.array_split(rng.permutation(len(x)), max(1, len(x) // 32)):
+        for batch in np.array_split(rng.permutation(len(take)), max(1, len(take) // 32)):
             step += 1
             rate = 1 / (penalty * (step + 1 / penalty))
-            wrong = batch[y[batch] * (x[batch] @ w) < 1]
+            rows, signs = np.hstack([x[take[batch]], np.ones((len(batch), 1), np.float32)]), y[take[batch]]
+            wrong = signs * (rows @ w) < 1
             w *= 1 - rate * penalty
-            w += rate * (y[wrong] @ x[wrong]) / len(batch)
+            w += rate * (signs[wrong] @ rows[wrong]) / len(batch)
             if epoch >= epochs // 2:
                 seen += 1
                 mean += (w - mean) / seen
@@ -106,7 +110,7 @@ def fit_duel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The machine between two classes (labels 1 and -1), which weigh the same whatever their sizes."""
     few, many = sorted([np.flatnonzero(y > 0), np.flatnonzero(y < 0)], key=len)
     take = np.concatenate([many, np.resize(few, len(many))])
-    return fit_svm(x[take], y[take]).astype(np.float32)
+    return fit_svm(x, y, take=take).astype(np.float32)
 
 
 def _members(langs: list[str]) -> dict[str, list[str]]:
@@ -249,11 +253,15 @@ def _vectors(texts: DataFrame, buckets: int) -> DataFrame:
 
 def _fit_group(group: pa.Table) -> pa.Table:
     """One duel: the vectors of two classes, bounded by ``per_language`` and the languages of two families."""
-    order = sorted(range(group.num_rows), key=lambda i: (group["lang"][i].as_py(), group["x"][i].as_py()))
-    group = group.take(pa.array(order))
-    x = np.frombuffer(b"".join(v.as_py() for v in group["x"]), np.float16).reshape(group.num_rows, -1).astype(np.float32)
-    w = fit_duel(x, group["y"].to_numpy().astype(np.float64))
-    return pa.Table.from_arrays([group["duel"].slice(0, 1), pa.array([w.tobytes()], pa.binary())], names=["duel", "w"])
+    langs, vectors = group["lang"].to_pylist(), group["x"].to_pylist()
+    order = sorted(range(group.num_rows), key=lambda i: (langs[i], vectors[i]))
+    x = np.empty((len(order), len(vectors[0]) // 2), np.float32)
+    for place, i in enumerate(order):
+        x[place] = np.frombuffer(vectors[i], np.float16)
+    duel, y = group["duel"][0].as_py(), group["y"].to_numpy()[order].astype(np.float64)
+    # the vectors in one form only while the machine is fitted
+    del group, vectors
+    return pa.Table.from_arrays([pa.array([duel], pa.int32()), pa.array([fit_duel(x, y).tobytes()], pa.binary())], names=["duel", "w"])
 
 
 def _window():
