@@ -10,7 +10,7 @@ from tidemark import AllowedValues, Cleaner, ExactDedup, NormalizeText, Required
 from tidemark.operators import exact
 from tidemark.plans import skew
 from tidemark.streaming import dedup_stream, issue_rates
-from workload.queries import QUERIES
+from workload.queries import QUERIES, dirty
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -71,3 +71,13 @@ def test_rates_are_final_and_late_rows_left_out(spark, tmp_path):
     drain(rates.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")), tmp_path / "ck")
     got = {r.window_start.hour: r.issues for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: 1, 1: 1, 3: 2}  # minute 20 came after its window was closed
+
+
+def test_dirty_rows_are_made_on_every_core(spark, tmp_path):
+    """One row group is one task; the rows made of it cost far more than moving them."""
+    rows = spark.sql("select id c_custkey, concat('Customer#', id) c_name, cast(id as double) c_acctbal from range(4000)")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = dirty(spark, str(tmp_path))
+    counts = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) == spark.sparkContext.defaultParallelism
+    assert sum(counts) == 4000

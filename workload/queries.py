@@ -57,14 +57,19 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(load(spark, folder, "documents"), "doc_id").withColumnRenamed("doc_id", ROW_ID)
 
 
+def customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Short rows, a million or so in a row group, spread over the cores."""
+    return spread(load(spark, folder, "customer"), "c_custkey")
+
+
 def dirty(spark: SparkSession, folder: str) -> DataFrame:
     text = DIRTY_SQL.replace("from customer", "from {customer}")
-    return spark.sql(text, customer=load(spark, folder, "customer")).withColumnRenamed("row_id", ROW_ID)
+    return spark.sql(text, customer=customers(spark, folder)).withColumnRenamed("row_id", ROW_ID)
 
 
 def scores(spark: SparkSession, folder: str) -> DataFrame:
     text = SCORES_SQL.replace("from customer", "from {customer}")
-    return spark.sql(text, customer=load(spark, folder, "customer")).withColumnRenamed("row_id", ROW_ID)
+    return spark.sql(text, customer=customers(spark, folder)).withColumnRenamed("row_id", ROW_ID)
 
 
 def keyed(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
