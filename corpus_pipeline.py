@@ -14,7 +14,7 @@ from tidemark.llm.leaks import leaks
 from tidemark.llm.near_copies import near_copies
 from tidemark.llm.packing import pack
 from tidemark.llm.tables import small_enough
-from tidemark.sources.scratch import freeze, spread
+from tidemark.sources.scratch import freeze, freeze_alone, spread
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -32,21 +32,28 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps each line once; documents made of other documents' lines alone go."""
-    decisions = freeze(fuzzy_lines(docs), "line-decisions")
+    decisions = freeze_alone(lambda: fuzzy_lines(docs), "line-decisions")
     left = drop_lines(docs, decisions)
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
-    gone = near_copies(docs, shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return _without(docs, freeze(gone, "near-copies"))
+
+    def copies() -> DataFrame:
+        return near_copies(docs, shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+
+    return _without(docs, freeze_alone(copies, "near-copies"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, freeze(found.select(F.col("doc_id").alias("_gone")).distinct(), "leaked-documents"))
+
+    def leaked() -> DataFrame:
+        found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        return found.select(F.col("doc_id").alias("_gone")).distinct()
+
+    return _without(docs, freeze_alone(leaked, "leaked-documents"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import freeze
+from tidemark.sources.scratch import discard, freeze
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         inward = star.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         after = freeze(inward.where("a <> b").distinct(), "links")
         roots = after.select(F.col("b").alias("root")).distinct()
+        discard(edges, star)
         settled = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
         if settled and after.join(roots, after["a"] == roots["root"], "left_semi").isEmpty():
             break

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.tables import small_enough, texts
-from tidemark.sources.scratch import freeze, spread
+from tidemark.sources.scratch import discard, freeze, freeze_alone, spread
 
 # Lines of (from how many distinct words, blocks, blocks in a key, least words in a key).
 SHORT = [(0, 6, 3, 2), (10, 5, 2, 3)]
@@ -127,6 +127,9 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", t
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("chars").alias("chars"), F.any_value("keys").alias("keys")
     )
     kinds = freeze(kinds.withColumn("id", F.monotonically_increasing_id()), "line-kinds")
+    # the keys are read once, what they belong to at the end again
+    places = freeze(lines.select("doc_id", "line_no", "h", "g"), "line-places")
+    discard(lines)
 
     blocks = kinds.select("id", "chars", F.explode("keys").alias("key"))
     # keys hardly repeat, so rows are dealt out by key before anything is combined
@@ -142,28 +145,35 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", t
     met = members.where("id > pivot").where(_near_length("struct(pivot_chars as chars)", "struct(chars)", percent))
     met = met.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     first = freeze(alone.unionByName(met).distinct(), "line-pairs")
+    discard(crowded)
     # one member of a crowded bucket may meet any other later on
     named = first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
-    line_texts = _texts(rows, freeze(kinds.join(named, "id", "left_semi").select("id", "first", "h", "g"), "candidate-lines"))
+    candidates = freeze(kinds.join(named, "id", "left_semi").select("id", "first", "h", "g"), "candidate-lines")
+    line_texts = _texts(rows, candidates)
     links = freeze(_similar(line_texts, first, percent), "line-links")
-    labels = freeze(components(links), "line-groups")
+    labels = freeze_alone(lambda: components(links), "line-groups")
 
     marked = members.join(labels, members["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
     main = marked.where("id = pivot").select("key", F.col("component").alias("main"))
     marked = freeze(marked.join(main, "key").withColumn("apart", F.expr("component <> main")), "marked-blocks")
+    discard(candidates, members)
     rest = marked.where("apart").alias("m").join(
         marked.alias("p"), F.expr("m.key = p.key and m.component <> p.component and (not p.apart or m.id < p.id)") & _near_length("m", "p", percent)
     )
     second = rest.select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b")).distinct()
     second = freeze(second.join(first, ["a", "b"], "left_anti"), "line-pairs")
+    discard(first, marked)
     if not second.isEmpty():
-        labels = components(links.unionByName(_similar(line_texts, second, percent)))
+        discard(labels)
+        labels = freeze_alone(lambda: components(links.unionByName(_similar(line_texts, second, percent))), "line-groups")
+    discard(second, line_texts, links)
 
     grouped = kinds.join(labels, kinds["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id"))
     grouped = freeze(grouped.select("h", "g", "first", "component"), "line-classes")
+    discard(kinds, labels)
     heads = grouped.groupBy("component").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     classes = grouped.join(heads, "component", "left").select("h", "g", F.coalesce("head", "first").alias("head"))
-    found = lines.select("doc_id", "line_no", "h", "g").join(classes, ["h", "g"])
+    found = places.join(classes, ["h", "g"])
     here = F.struct("doc_id", "line_no")
     return found.select(
         "doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"),

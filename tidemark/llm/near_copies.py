@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.tables import small_enough, texts
-from tidemark.sources.scratch import freeze, spread
+from tidemark.sources.scratch import discard, freeze, freeze_alone, spread
 
 ROWS = 5
 UNIVERSE = 1 << 20
@@ -230,14 +230,17 @@ def near_copies(
     firsts = nodes.select("set_key", F.col("node").alias("doc_id"))
     buckets = features.join(firsts, ["set_key", "doc_id"], "left_semi").select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("node"))
     buckets = freeze(buckets, "buckets")
+    placed = freeze(features.select("doc_id", "n", "set_key").join(nodes, "set_key", "left").drop("set_key"), "placed")
+    discard(features, nodes)
     crowded = freeze(
         buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket"),
         "crowded",
     )
     hint = F.broadcast if small_enough(crowded) else (lambda df: df)
-    members = freeze(buckets.join(hint(crowded), "bucket", "left_semi").distinct(), "members")
+    met = freeze(buckets.join(hint(crowded), "bucket", "left_semi").distinct(), "members")
+    discard(buckets, crowded)
 
-    candidates = freeze(members.select(F.col("node").alias("doc_id")).distinct(), "candidates")
+    candidates = freeze(met.select(F.col("node").alias("doc_id")).distinct(), "candidates")
     hint = F.broadcast if small_enough(candidates) else (lambda df: df)
     sets = freeze(_sets(rows.join(hint(candidates), "doc_id", "left_semi"), shingle).distinct(), "candidate-sets")
     alone = (
@@ -252,14 +255,15 @@ def near_copies(
         (F.col("n") - F.when(F.col("sets") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("shared"),
     )
     known = known.where(F.col("shared") * 100 >= F.col("n") * percent)
-    members = freeze(members.join(known, "node"), "possible-members")
+    members = freeze(met.join(known, "node"), "possible-members")
+    discard(met, candidates)
 
     core = members.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "shared"), F.struct(F.col("shared") / F.col("n"), -F.col("node"))).alias("c"))
     core = core.select("bucket", "c.node", "c.n", "c.shared")
     near = members.alias("m").join(core.alias("c"), F.expr("m.bucket = c.bucket and m.node <> c.node") & _reach("m", "c", percent))
     first = near.select(F.least("m.node", "c.node").alias("a"), F.greatest("m.node", "c.node").alias("b")).distinct()
     links = freeze(_verified(first, sets, percent), "first-links")
-    labels = freeze(components(links), "first-components")
+    labels = freeze_alone(lambda: components(links), "first-components")
 
     marked = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     main = core.join(labels, "node", "left").select("bucket", F.coalesce("component", "node").alias("main"))
@@ -270,7 +274,6 @@ def near_copies(
     lots = F.ceil(F.greatest(F.col("nodes") / _BLOCK_NODES, F.col("shingles") / _BLOCK_SHINGLES)).cast("int")
     marked = marked.join(sizes.select("main", lots.alias("lots")), "main").withColumn("lot", F.pmod(F.xxhash64("node"), "lots"))
     more = _across(marked.join(sets, "node"), percent)
-    placed = freeze(features.select("doc_id", "n", "set_key").join(nodes, "set_key", "left").drop("set_key"), "placed")
     given_twice = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
     labels = components(links.unionByName(more).unionByName(given_twice))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))

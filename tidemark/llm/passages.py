@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import texts
-from tidemark.sources.scratch import freeze, spread
+from tidemark.sources.scratch import discard, freeze, spread
 
 SEED = 5
 WINDOW = 10
@@ -386,7 +386,9 @@ def repeated_passages(
         return first.where("ref.doc_id < other").select(key, F.col("ref.doc_id").alias("ref_id"), F.col("ref.pos").alias("ref_pos"))
 
     # both sides come from tables, so a popular seed's partition can be split
-    held = freeze(seeds.join(freeze(firsts(seeds, "seed"), "shared-seeds"), "seed"), "held-seeds")
+    shared = freeze(firsts(seeds, "seed"), "shared-seeds")
+    held = freeze(seeds.join(shared, "seed"), "held-seeds")
+    discard(seeds, shared)
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
@@ -401,7 +403,8 @@ def repeated_passages(
     # seeds that follow each other but were first seen apart are looked up again together
     ordered = held.repartition("doc_id").sortWithinPartitions("doc_id", "part", "pos")
     runs = freeze(ordered.mapInArrow(tie, "doc_id long, run long, pos int, far int"), "seed-runs")
-    again = runs.join(freeze(firsts(runs, "run"), "shared-runs"), "run").where("doc_id > ref_id")
+    shared = freeze(firsts(runs, "run"), "shared-runs")
+    again = runs.join(shared, "run").where("doc_id > ref_id")
     ends = F.explode(F.array(F.lit(0), F.col("far"))).alias("by")
     again = again.select("doc_id", "pos", "ref_id", "ref_pos", ends)
     again = again.select("doc_id", "ref_id", (F.col("pos") + F.col("by")).alias("pos"), (F.col("ref_pos") + F.col("by")).alias("ref_pos"))
@@ -428,6 +431,7 @@ def repeated_passages(
 
     linked = matches.mapInArrow(link, "doc_id long, ref_id long, d_from long, d_to long, r_from long, r_to long, left array<int>, right array<int>")
     linked = freeze(linked, "chains")
+    discard(held, runs, shared)
 
     # the words around each chain, in steps of MARGIN words so that a popular passage is cut out once
     sides = linked.select("doc_id", F.col("d_from").alias("lo"), F.col("d_to").alias("hi")).unionByName(
@@ -449,6 +453,7 @@ def repeated_passages(
 
     pieces = rows.join(asked, "doc_id").mapInArrow(cut, "doc_id long, lo long, hi long, words binary")
     pieces = freeze(pieces, "windows", compression="zstd")
+    discard(asked)
     of_doc = pieces.select("doc_id", F.col("lo").alias("d_from"), F.col("hi").alias("d_to"), F.col("words").alias("d_words"))
     of_ref = pieces.select(F.col("doc_id").alias("ref_id"), F.col("lo").alias("r_from"), F.col("hi").alias("r_to"), F.col("words").alias("r_words"))
     both = linked.join(of_doc, ["doc_id", "d_from", "d_to"]).join(of_ref, ["ref_id", "r_from", "r_to"])
@@ -466,6 +471,8 @@ def repeated_passages(
         return _batches(found(), ["doc_id", "start", "stop", "ref_id", "ref_start", "edits"], [_INT] * 6)
 
     verified = both.mapInArrow(check, "doc_id long, start long, stop long, ref_id long, ref_start long, edits long").distinct()
+    verified = freeze(verified, "verified-chains")
+    discard(linked, pieces)
     verified = verified.repartition("doc_id").sortWithinPartitions("doc_id", "start", F.desc("stop"), "ref_id", "ref_start")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

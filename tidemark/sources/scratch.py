@@ -9,10 +9,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+# Spark's switch for deleting a query's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+# Tables frozen on the way to each result that ``freeze_alone`` is making.
+_on_the_way: list[list[DataFrame]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,19 +48,40 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 def freeze(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Compute ``df`` once and cut its lineage."""
+    """Compute ``df`` once and cut its lineage; what it shuffled leaves the disk."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     frozen = spark.read.schema(df.schema).parquet(path)
     frozen._frozen_at = path
+    if _on_the_way:
+        _on_the_way[-1].append(frozen)
+    return frozen
+
+
+def freeze_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Freeze what ``make`` plans and delete the tables that were frozen on the way."""
+    _on_the_way.append([])
+    try:
+        frozen = freeze(make(), label)
+    finally:
+        made = _on_the_way.pop()
+    discard(*(t for t in made if t is not frozen))
+    if _on_the_way:
+        _on_the_way[-1].append(frozen)
     return frozen
 
 
-def discard(frozen: DataFrame) -> None:
-    """Delete a frozen table that nothing will read again."""
-    path = frozen.sparkSession._jvm.org.apache.hadoop.fs.Path(frozen._frozen_at)
-    path.getFileSystem(frozen.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete frozen tables that nothing will read again."""
+    for frozen in tables:
+        path = frozen.sparkSession._jvm.org.apache.hadoop.fs.Path(frozen._frozen_at)
+        path.getFileSystem(frozen.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
