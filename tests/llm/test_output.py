@@ -78,6 +78,20 @@ def test_remembered_words_give_the_library_ids(name):
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_go_to_the_library_once(monkeypatch):
+    """Also with other white space between them, in capitals and before punctuation, where the vocabulary knows no difference."""
+    name, rng, sent = "word_bpe_49k.json", random.Random(3), []
+    encoder, plain = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    whole = Encoder._ids
+    monkeypatch.setattr(Encoder, "_ids", lambda self, parts: whole(self, [sent.append(p) or p for p in parts]))
+    words = ["".join(rng.choices("abcdeéß", k=5)) for _ in range(300)]
+    texts = ["".join(rng.choice([w, w.capitalize(), w + "."]) + rng.choice("  \n\t") for w in rng.choices(words, k=200)) for _ in range(50)]
+    texts += ["", "\n", "one\xa0two\x1cthree", " a<|endoftext|>b\n"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(sent) <= len(words) + 10
+
+
 @pytest.mark.parametrize("length, rows", [(8, 2), (64, 3), (2048, 64)])
 def test_token_files_round_trip(spark, awkward, length, rows):
     name = "byte_bpe_50k.json"
