@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm.passages import GAP_COST, MAX_GAP, SEED, _long_runs, align, chains, good_parts, minimizers, repeated_passages
+from tidemark.llm import passages
+from tidemark.llm.passages import GAP_COST, MAX_GAP, SEED, _long_runs, align, all_minimizers, chains, good_parts, minimizers, repeated_passages, word_hashes
 
 
 def quadratic_best(left, right):
@@ -169,3 +171,42 @@ def test_overlapping_phrases_first_seen_elsewhere(spark):
     frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
     (row,) = [r for r in repeated_passages(frame).collect() if r.doc_id == 31]
     assert abs(row.start_word - 25) <= 2 and abs(row.n_words - 90) <= 4 and 30 in row.ref_doc_ids
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = random.Random(11)
+    texts = ["", "  ", " One\ttwo ", "É é\x1cx\xa0y İ"]
+    texts += [" ".join(rng.choice("abcAB") * rng.randint(1, 2) for _ in range(rng.choice([3, 4, 5, 13, 14, 15, 40, 300]))) for _ in range(200)]
+    rng.shuffle(texts)
+    words, starts = word_hashes(pa.array(["left out", *texts]).slice(1))
+    of, seeds, places = all_minimizers(words, starts)
+    for i, text in enumerate(texts):
+        own = words[starts[i] : starts[i + 1]]
+        assert len(own) == len(text.encode().lower().split())
+        want = zip(*(v.tolist() for v in minimizers(own)), strict=True)
+        assert sorted(zip(seeds[of == i].tolist(), places[of == i].tolist(), strict=True)) == sorted(want)
+
+
+def test_few_and_many_matches_give_the_same_chains(monkeypatch):
+    rng = random.Random(12)
+    for _ in range(300):
+        matches = sorted({(rng.randint(0, 120), rng.randint(0, 90)) for _ in range(rng.randint(0, 60))})
+        left, right = np.array(matches, np.int64).reshape(-1, 2).T
+        monkeypatch.setattr(passages, "FEW", 10_000)
+        few = [way.tolist() for way in chains(left, right)]
+        monkeypatch.setattr(passages, "FEW", -1)
+        assert few == [way.tolist() for way in chains(left, right)]
+
+
+def test_texts_are_copied_once_for_windows_that_lie_together(spark, monkeypatch):
+    """A lot for each window had the whole text joined and cut anew for each."""
+    kept, whole = {}, passages.freeze
+    monkeypatch.setattr(passages, "freeze", lambda df, label, **more: kept.setdefault(label, whole(df, label, **more)))
+    monkeypatch.setattr(passages, "discard", lambda *tables: None)
+    rng = random.Random(13)
+    parts = [[f"p{i}w{rng.getrandbits(40)}" for _ in range(70)] for i in range(8)]
+    data = [(i, " ".join(p)) for i, p in enumerate(parts)] + [(99, " ".join(f"{' '.join(p)} own{i}x own{i}y own{i}z" for i, p in enumerate(parts)))]
+    found = repeated_passages(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in found} == {99}
+    asked = [r for r in kept["asked-windows"].collect() if r.doc_id == 99]
+    assert len(asked) == 1 < len(asked[0].cuts)

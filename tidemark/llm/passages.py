@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import zlib
+from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,24 +23,35 @@ LEAST = 2
 GAP_COST = 0.1
 MAX_GAP = 40
 MARGIN = 64
+# So many matches in reach of one are tried in turn.
+FEW = 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words:
-    """Hashes of the words of a text: lower case A-Z, cut at ASCII white space."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after the other, and where each text's begin and the last one's end.
 
-    def __init__(self, remember: int = 300_000):
-        self.known: dict[bytes, int] = {}
-        self.remember = remember
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        if len(self.known) > self.remember:
-            self.known.clear()
-        for w in set(words):
-            if w not in self.known:
-                self.known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([self.known[w] for w in words], np.uint64)
+    Words are in lower case A-Z and cut at ASCII white space.
+    """
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = cut.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    known = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    at = coded.indices.to_numpy()
+    # white space around a text leaves empty words
+    real = np.array([w != b"" for w in words], bool)[at]
+    before = np.concatenate([[0], np.cumsum(real)])
+    offsets = cut.offsets.to_numpy()
+    return known[at[real]], before[offsets - offsets[0]]
+
+
+def _portions(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch together up to so many bytes of text (one text may be longer)."""
+    size = np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def minimizers(words: np.ndarray, size: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +62,45 @@ def minimizers(words: np.ndarray, size: int = SEED, window: int = WINDOW) -> tup
     n = len(words) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    mixed = _mixed(words, size)
+    width = min(window, n)
+    places = np.unique(np.lib.stride_tricks.sliding_window_view(mixed, width).argmin(axis=1) + np.arange(n - width + 1))
+    return mixed[places], places
+
+
+def _mixed(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    n = len(words) - size + 1
     mixed = np.zeros(n, np.uint64)
     for i in range(size):
         mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX + words[i : i + n]
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
-    mixed ^= mixed >> np.uint64(32)
-    width = min(window, n)
-    places = np.unique(np.lib.stride_tricks.sliding_window_view(mixed, width).argmin(axis=1) + np.arange(n - width + 1))
-    return mixed[places], places
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def all_minimizers(words: np.ndarray, starts: np.ndarray, size: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``minimizers`` of all texts of ``word_hashes``: number of the text, hash and position in it."""
+    counts, reach = np.diff(starts), size + window - 1
+    found = []
+    for i in np.flatnonzero((counts >= size) & (counts < reach)).tolist():
+        seeds, places = minimizers(words[starts[i] : starts[i + 1]], size, window)
+        found.append((np.full(len(places), i), seeds, places))
+    n = len(words) - reach + 1
+    if n > 0:
+        of = np.repeat(np.arange(len(counts)), counts)
+        mixed = _mixed(words, size)
+        least, at = mixed[:n].copy(), np.zeros(n, np.int64)
+        for i in range(1, window):
+            smaller = mixed[i : i + n] < least
+            least[smaller], at[smaller] = mixed[i : i + n][smaller], i
+        # windows within one text; their smallest seeds never move back
+        places = (np.arange(n) + at)[of[:n] == of[reach - 1 :]]
+        if len(places):
+            places = places[np.concatenate([[True], places[1:] != places[:-1]])]
+            found.append((of[places], mixed[places], places - starts[of[places]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
 
 def scattered_runs(
@@ -78,13 +122,18 @@ def scattered_runs(
     # numbers of the stretches without a wide step, and of those with all first occurrences side by side
     stretch = np.concatenate([[0], np.cumsum(step > window)])
     apart = np.concatenate([[0], np.cumsum((np.diff(ref_ids) != 0) | (np.diff(ref_pos.astype(np.int64)) != step))])
+    here = np.arange(len(pos))
     long = np.searchsorted(pos, pos + min_piece - size, side="left")
-    for i, end in enumerate(long.tolist()):
-        for j in sorted({i + 1, end}):
-            if i < j < len(pos) and stretch[i] == stretch[j] and apart[i] != apart[j]:
-                place = (pos[i : j + 1] - pos[i]).astype(np.uint64)
-                key = xxhash.xxh3_64_intdigest(seeds[i : j + 1].tobytes() + place.tobytes())
-                yield key - 2**64 if key >> 63 else key, int(pos[i]), int(pos[j] - pos[i])
+    raw, steps = seeds.tobytes(), step.tobytes()
+    for ends in (np.minimum(here + 1, len(pos)), np.where(long == here + 1, len(pos), long)):
+        inside = np.flatnonzero((ends > here) & (ends < len(pos)))
+        to = ends[inside]
+        picked = (stretch[inside] == stretch[to]) & (apart[inside] != apart[to])
+        inside, to = inside[picked], to[picked]
+        far = pos[to] - pos[inside]
+        for i, j, at, by in zip(inside.tolist(), to.tolist(), pos[inside].tolist(), far.tolist(), strict=True):
+            key = xxhash.xxh3_64_intdigest(raw[8 * i : 8 * (j + 1)] + steps[8 * i : 8 * j])
+            yield key - 2**64 if key >> 63 else key, at, by
 
 
 class WindowMax:
@@ -137,17 +186,30 @@ class WindowMax:
         return found
 
 
-def chains(left: np.ndarray, right: np.ndarray, size: int = SEED, least: int = LEAST) -> list[np.ndarray]:
-    """Ordered lists of matches that rise in both texts, best first, none in two lists.
-
-    A match is worth its length, and a gap costs ``GAP_COST`` per word skipped in
-    either text.  That cost splits into a part of each match, so the best
-    predecessor is a maximum over the right positions in reach, kept in a segment
-    tree that matches out of reach on the left have been dropped from: a good chain
-    that ended too far away hides nothing.  Matches must be sorted by the left position.
-    """
+def _best_few(left: np.ndarray, right: np.ndarray, size: int, reach: int) -> tuple[list[float], list[int]]:
+    """The best score and predecessor of each match, by trying all in reach."""
+    at, to = left.tolist(), right.tolist()
+    score, back, value = [float(size)] * len(at), [-1] * len(at), []
+    low = same = 0
+    for j, (x, y) in enumerate(zip(at, to, strict=True)):
+        if x != at[same]:
+            same = j  # matches at one place must not follow each other
+        while at[low] < x - reach:
+            low += 1
+        best, owner, least = -np.inf, -1, y - reach
+        for k in range(low, same):
+            if least <= to[k] < y and value[k] >= best:
+                best, owner = value[k], k
+        gained = best - GAP_COST * (x + y)
+        if gained > 0:
+            score[j], back[j] = size + gained, owner
+        value.append(score[j] + GAP_COST * (x + y))
+    return score, back
+
+
+def _best_many(left: np.ndarray, right: np.ndarray, size: int, reach: int) -> tuple[list[float], list[int]]:
+    """The same by a segment tree, for many matches in reach of each other."""
     n = len(left)
-    reach = MAX_GAP + size
     distinct, ranks = np.unique(right, return_inverse=True)
     lows, ranks = np.searchsorted(distinct, right - reach).tolist(), ranks.tolist()
     tree = WindowMax(len(distinct))
@@ -166,6 +228,22 @@ def chains(left: np.ndarray, right: np.ndarray, size: int = SEED, least: int = L
         for k in range(i, j):
             tree.add(ranks[k], at[k], score[k] + GAP_COST * (at[k] + to[k]), k)
         i = j
+    return score, back
+
+
+def chains(left: np.ndarray, right: np.ndarray, size: int = SEED, least: int = LEAST) -> list[np.ndarray]:
+    """Ordered lists of matches that rise in both texts, best first, none in two lists.
+
+    A match is worth its length, and a gap costs ``GAP_COST`` per word skipped in
+    either text.  That cost splits into a part of each match, so the best
+    predecessor is a maximum over the right positions in reach, found by trying all or, if
+    they are many, kept in a segment tree that matches out of reach on the left have been dropped from: a good chain
+    that ended too far away hides nothing.  Matches must be sorted by the left position.
+    """
+    n = len(left)
+    reach = MAX_GAP + size
+    near = np.arange(n) - np.searchsorted(left, left - reach)
+    score, back = (_best_few if n and near.max() <= FEW else _best_many)(left, right, size, reach)
     used, found = [False] * n, []
     for end in sorted(range(n), key=lambda k: (-score[k], k)):
         way, k = [], end
@@ -179,6 +257,12 @@ def chains(left: np.ndarray, right: np.ndarray, size: int = SEED, least: int = L
 
 
 def _edit_distance(a: np.ndarray, b: np.ndarray) -> int:
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == 1:
+        return len(b) - int(a[0] in b)
     row = np.arange(len(b) + 1)
     for i, x in enumerate(a.tolist(), 1):
         new = np.minimum(row[1:] + 1, row[:-1] + (b != x))
@@ -190,16 +274,16 @@ def _edit_distance(a: np.ndarray, b: np.ndarray) -> int:
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """How far both begin alike, over single differing words: length and differences."""
     n = min(len(a), len(b))
-    if not n:
-        return 0, 0
-    same = a[:n] == b[:n]
-    score = np.cumsum(np.where(same, 1, -4))
-    worst = np.maximum.accumulate(np.maximum(score, 0)) - score > 8
-    stop = int(worst.argmax()) if worst.any() else n
-    if not stop or score[:stop].max() <= 0:
-        return 0, 0
-    length = int(score[:stop].argmax()) + 1
-    return length, int(length - same[:length].sum())
+    same = (a[:n] == b[:n]).tobytes()
+    at = score = best = length = wrong = missed = 0
+    while True:  # from each differing word to the next
+        stop = same.find(0, at)
+        score += (stop if stop >= 0 else n) - at
+        if score > best:
+            best, length, wrong = score, stop if stop >= 0 else n, missed
+        score, missed, at = score - 4, missed + 1, stop + 1
+        if stop < 0 or best - score > 8:
+            return length, wrong
 
 
 def _walk(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> tuple[list[int], list[int], list[int]] | None:
@@ -209,15 +293,14 @@ def _walk(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, siz
     """
     edits, x, y = 0, int(left[0]), int(right[0])
     xs, ys, costs = [], [], []
+    wide, raw_a, raw_b = a.itemsize, a.tobytes(), b.tobytes()
     for p, q in zip(left.tolist(), right.tolist(), strict=True):
-        if p + size > len(a) or q + size > len(b) or not np.array_equal(a[p : p + size], b[q : q + size]):
+        if p + size > len(a) or q + size > len(b) or raw_a[wide * p : wide * (p + size)] != raw_b[wide * q : wide * (q + size)]:
             return None
         skip = max(x - p, y - q, 0)  # overlaps the match before it
         p, q = p + skip, q + skip
-        if p > x or q > y:
-            gap_a, gap_b = a[x:p], b[y:q]
-            if not np.array_equal(gap_a, gap_b):
-                edits += _edit_distance(gap_a, gap_b)
+        if (p > x or q > y) and raw_a[wide * x : wide * p] != raw_b[wide * y : wide * q]:
+            edits += _edit_distance(a[x:p], b[y:q])
         x, y = max(x, p + size - skip), max(y, q + size - skip)
         xs.append(x)
         ys.append(y)
@@ -232,8 +315,10 @@ def align(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, siz
     without gaps.  None if a match is not one (positions of another text).
     """
     walked = _walk(a, b, left, right, size)
-    if walked is None:
-        return None
+    return None if walked is None else _whole(a, b, left, right, walked)
+
+
+def _whole(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, walked: tuple[list[int], list[int], list[int]]) -> tuple[int, int, int, int, int]:
     x, y, edits = (v[-1] for v in walked)
     more, wrong = _extend(a[x:], b[y:])
     x, y, edits = x + more, y + more, edits + wrong
@@ -242,16 +327,17 @@ def align(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, siz
     return first - more, x, other - more, y, edits + wrong
 
 
-def _long_runs(starts: np.ndarray, ends: np.ndarray, costs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _long_runs(starts: Sequence[int], ends: Sequence[int], costs: Sequence[int], percent: int) -> list[tuple[int, int]]:
     """From each match of a chain to the farthest one that leaves few enough edits per word in between, none inside another."""
     # edits above the limit up to the end and up to the start of each match, so a run is good if they do not rise over it
-    over_end = 100 * costs - (100 - percent) * ends
-    over_start = 100 * costs - (100 - percent) * starts
-    least = np.minimum.accumulate(over_end[::-1])[::-1]  # the smallest that still follows
+    least = [100 * c - (100 - percent) * e for c, e in zip(costs, ends, strict=True)]
+    over_start = [100 * c - (100 - percent) * e for c, e in zip(costs, starts, strict=True)]
+    for i in range(len(least) - 2, -1, -1):  # the smallest that still follows
+        least[i] = min(least[i], least[i + 1])
     found, last = [], -1
-    for i in range(len(starts)):
+    for i, over in enumerate(over_start):
         # least rises, so this is the last match at or below the value
-        j = int(np.searchsorted(least, over_start[i], side="right")) - 1
+        j = bisect_right(least, over) - 1
         if j > last and j >= i:
             found.append((i, j))
             last = j
@@ -267,16 +353,18 @@ def good_parts(
         longer = max(spans[1] - spans[0], spans[3] - spans[2])
         return longer >= min_piece and 100 * spans[4] <= (100 - percent) * longer
 
-    whole = align(a, b, left, right, size)
-    if whole is None:
+    walked = _walk(a, b, left, right, size)
+    if walked is None:
         return []
+    whole = _whole(a, b, left, right, walked)
     if good(whole):
         return [whole]
-    xs, ys, costs = map(np.array, _walk(a, b, left, right, size))
+    xs, ys, costs = walked
+    left, right = left.tolist(), right.tolist()
     runs = {r for starts, ends in ((left, xs), (right, ys)) for r in _long_runs(starts, ends, costs, percent)}
     found = []
     for i, j in sorted(runs):
-        bare = (int(left[i]), int(xs[j]), int(right[i]), int(ys[j]), int(costs[j] - costs[i]))
+        bare = (left[i], xs[j], right[i], ys[j], costs[j] - costs[i])
         # no farther than the next match, so that many parts of a chain stay cheap
         after = len(a) if j == len(xs) - 1 else MAX_GAP + size
         before = len(a) if not i else MAX_GAP + size
@@ -287,34 +375,35 @@ def good_parts(
     return found
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, pa.Array]]:
-    """The rows of each key, from batches that are sorted by the keys."""
-    held: list[pa.Table] = []
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each key with at least ``least`` of them, from batches that are sorted by the keys."""
+    held: list[dict[str, np.ndarray]] = []
     last = None
 
-    def whole() -> dict[str, pa.Array]:
-        table = pa.concat_tables(held).combine_chunks()
-        return {c: table[c].combine_chunks() if table[c].num_chunks != 1 else table[c].chunk(0) for c in table.column_names}
+    def whole() -> Iterator[dict[str, np.ndarray]]:
+        if held and sum(len(h[keys[0]]) for h in held) >= least:
+            yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        columns = {c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names}
         new = np.zeros(batch.num_rows, bool)
-        for v in values:
+        for v in (columns[k] for k in keys):
             new[1:] |= v[1:] != v[:-1]
-        new[0] = last is not None and any(v[0] != old for v, old in zip(values, last, strict=True))
-        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        table = pa.Table.from_batches([batch])
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if held and (i or new[0]):
-                yield whole()
-                held = []
-            if b > a:
-                held.append(table.slice(a, b - a))
-        last = [v[-1] for v in values]
-    if held:
-        yield whole()
+        new[0] = last is None or any(columns[k][0] != old for k, old in zip(keys, last, strict=True))
+        last = [columns[k][-1] for k in keys]
+        starts = np.flatnonzero(new)
+        if not len(starts) or starts[0]:
+            held.append({c: v[: starts[0] if len(starts) else None] for c, v in columns.items()})
+        if not len(starts):
+            continue
+        yield from whole()
+        enough = np.diff(starts) >= least
+        for a, b in zip(starts[:-1][enough].tolist(), starts[1:][enough].tolist(), strict=True):
+            yield {c: v[a:b] for c, v in columns.items()}
+        held = [{c: v[starts[-1] :] for c, v in columns.items()}]
+    yield from whole()
 
 
 def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], most: int = 5000) -> Iterator[pa.RecordBatch]:
@@ -364,21 +453,16 @@ def repeated_passages(
     rows = spread(texts(docs, id_col, text_col).where("doc_id is not null"))
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            found = [minimizers(words.of(t.as_py())) for t in batch["text"]]
-            ids = batch["doc_id"].to_numpy()
-            n = [len(p) for _, p in found]
-            if sum(n):
-                # tells the texts of rows with equal ids apart
-                parts = [zlib.crc32(t.as_py().encode()) & 0x7FFFFFFF for t in batch["text"]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, n)), pa.array(np.repeat(np.array(parts, np.int32), n)), pa.array(np.concatenate([s for s, _ in found]).view(np.int64)),
-                     pa.array(np.concatenate([p for _, p in found]).astype(np.int32))],
-                    names=["doc_id", "part", "seed", "pos"],
-                )
-
-    seeds = freeze(rows.mapInArrow(sow, "doc_id long, part int, seed long, pos int"), "seeds")
+        # tells the texts of rows with equal ids apart
+        row = TaskContext.get().partitionId() << 40
+        for batch in (some for whole in batches for some in _portions(whole)):
+            of, found, pos = all_minimizers(*word_hashes(batch["text"]))
+            if len(of):
+                columns = [batch["doc_id"].to_numpy()[of], row + of, found.view(np.int64), pos.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "part", "seed", "pos"])
+            row += batch.num_rows
+
+    seeds = freeze(rows.mapInArrow(sow, "doc_id long, part long, seed long, pos int"), "seeds", compression="zstd")
 
     def firsts(keys: DataFrame, key: str) -> DataFrame:
         """Of each key that several documents have, the first place."""
@@ -387,14 +471,14 @@ def repeated_passages(
 
     # both sides come from tables, so a popular seed's partition can be split
     shared = freeze(firsts(seeds, "seed"), "shared-seeds")
-    held = freeze(seeds.join(shared, "seed"), "held-seeds")
+    held = freeze(seeds.join(shared, "seed"), "held-seeds", compression="zstd")
     discard(seeds, shared)
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for group in _groups(batches, ["doc_id", "part"]):
-                doc_id = group["doc_id"][0].as_py()
-                values = (group[c].to_numpy() for c in ("seed", "pos", "ref_id", "ref_pos"))
+                doc_id = int(group["doc_id"][0])
+                values = (group[c] for c in ("seed", "pos", "ref_id", "ref_pos"))
                 for key, pos, far in scattered_runs(*values, min_piece):
                     yield doc_id, key, pos, far
 
@@ -413,10 +497,8 @@ def repeated_passages(
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            for group in _groups(batches, ["doc_id", "ref_id"]):
-                if len(group["pos"]) < LEAST:
-                    continue
-                left, right = group["pos"].to_numpy(), group["ref_pos"].to_numpy()
+            for group in _groups(batches, ["doc_id", "ref_id"], LEAST):
+                left, right = group["pos"], group["ref_pos"]
                 new = np.ones(len(left), bool)  # runs give the matches of their seeds again
                 new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
                 left, right = left[new], right[new]
@@ -424,7 +506,7 @@ def repeated_passages(
                     a, b = left[way], right[way]
                     ends = (int(a[0]), int(a[-1]), int(b[0]), int(b[-1]))
                     windows = [x for lo, hi in (ends[:2], ends[2:]) for x in (max(0, lo // MARGIN - 1), (hi + SEED) // MARGIN + 2)]
-                    yield group["doc_id"][0].as_py(), group["ref_id"][0].as_py(), *windows, a.tolist(), b.tolist()
+                    yield int(group["doc_id"][0]), int(group["ref_id"][0]), *windows, a.tolist(), b.tolist()
 
         names = ["doc_id", "ref_id", "d_from", "d_to", "r_from", "r_to", "left", "right"]
         return _batches(found(), names, [_INT] * 6 + [_LIST] * 2)
@@ -437,15 +519,19 @@ def repeated_passages(
     sides = linked.select("doc_id", F.col("d_from").alias("lo"), F.col("d_to").alias("hi")).unionByName(
         linked.select(F.col("ref_id").alias("doc_id"), F.col("r_from").alias("lo"), F.col("r_to").alias("hi"))
     )
-    asked = freeze(sides.distinct().withColumn("lot", F.pmod(F.xxhash64("lo", "hi"), F.lit(64))).groupBy("doc_id", "lot")
-                   .agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")), "asked-windows")
+    # lots of windows that lie together, so that a text is seldom copied and no list is long
+    lot = [F.floor(F.col(c) / MARGIN).alias(f"{c}_lot") for c in ("lo", "hi")]
+    asked = sides.distinct().groupBy("doc_id", *lot).agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
+    asked = freeze(asked.select("doc_id", "cuts"), "asked-windows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            words = Words()
-            for batch in batches:
-                for doc_id, text, cuts in zip(batch["doc_id"].to_pylist(), batch["text"], batch["cuts"].to_pylist(), strict=True):
-                    own = words.of(text.as_py()).astype(np.uint32)
+            for batch in (some for whole in batches for some in _portions(whole)):
+                words, starts = word_hashes(batch["text"])
+                words = words.astype(np.uint32)
+                starts = zip(starts.tolist(), starts[1:].tolist(), strict=False)
+                for doc_id, (a, b), cuts in zip(batch["doc_id"].to_pylist(), starts, batch["cuts"].to_pylist(), strict=True):
+                    own = words[a:b]
                     for c in cuts:
                         yield doc_id, c["lo"], c["hi"], own[c["lo"] * MARGIN : c["hi"] * MARGIN].tobytes()
 
@@ -461,12 +547,15 @@ def repeated_passages(
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for batch in batches:
-                for r in batch.to_pylist():
-                    d, e = r["d_from"] * MARGIN, r["r_from"] * MARGIN
-                    a, b = np.frombuffer(r["d_words"], np.uint32), np.frombuffer(r["r_words"], np.uint32)
-                    parts = good_parts(a, b, np.array(r["left"]) - d, np.array(r["right"]) - e, min_piece, percent)
-                    for x, x_end, y, _, edits in parts:
-                        yield r["doc_id"], x + d, x_end + d, r["ref_id"], y + e, edits
+                places = batch["left"].offsets.to_numpy()
+                left, right = (batch[c].flatten().to_numpy() for c in ("left", "right"))
+                each = zip(*(batch[c].to_pylist() for c in ("doc_id", "d_from", "d_words", "ref_id", "r_from", "r_words")), strict=True)
+                places = (places - places[0]).tolist()
+                for (doc_id, d, d_words, ref_id, e, r_words), i, j in zip(each, places, places[1:], strict=False):
+                    d, e = d * MARGIN, e * MARGIN
+                    a, b = np.frombuffer(d_words, np.uint32), np.frombuffer(r_words, np.uint32)
+                    for x, x_end, y, _, edits in good_parts(a, b, left[i:j] - d, right[i:j] - e, min_piece, percent):
+                        yield doc_id, x + d, x_end + d, ref_id, y + e, edits
 
         return _batches(found(), ["doc_id", "start", "stop", "ref_id", "ref_start", "edits"], [_INT] * 6)
 
@@ -478,8 +567,8 @@ def repeated_passages(
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for group in _groups(batches, ["doc_id"]):
-                doc_id, run = group["doc_id"][0].as_py(), []
-                rows = list(zip(*[group[c].to_pylist() for c in ("start", "stop", "ref_id", "ref_start", "edits")], strict=True))
+                doc_id, run = int(group["doc_id"][0]), []
+                rows = list(zip(*[group[c].tolist() for c in ("start", "stop", "ref_id", "ref_start", "edits")], strict=True))
                 for row in [*rows, None]:
                     if run and (row is None or row[0] > stop + 2):
                         if stop - run[0][0] >= min_words:
