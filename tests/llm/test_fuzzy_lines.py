@@ -6,6 +6,7 @@ from itertools import combinations
 
 import pytest
 
+from tidemark.llm import fuzzy_lines as module
 from tidemark.llm.fuzzy_lines import block_simhash, drop_lines, fuzzy_lines, line_keys
 
 
@@ -137,3 +138,20 @@ def test_dropped_lines_and_documents(spark):
 def test_equal_lines_given_twice(spark):
     frame = spark.createDataFrame([(1, "one two\nthree"), (1, "one two\nthree")], "doc_id bigint, text string")
     assert sorted(map(tuple, fuzzy_lines(frame).distinct().collect())) == [(1, 0, 1, 0, True), (1, 1, 1, 1, True)]
+
+
+def test_keys_and_documents_are_shuffled_once(spark, monkeypatch):
+    """Buckets were joined with their keys again, and documents first with ids and then line by line."""
+    joins, whole = {}, module.freeze
+
+    def freeze(df, label, **more):
+        joins[label] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return whole(df, label, **more)
+
+    monkeypatch.setattr(module, "freeze", freeze)
+    rng = random.Random(3)
+    lines = near_lines(rng, 60)
+    data = [(i, "\n".join(lines[10 * i : 10 * i + 10])) for i in range(6)]
+    want, links = expected(spark, data, 80)
+    assert {tuple(r) for r in fuzzy_lines(spark.createDataFrame(data, "doc_id bigint, text string")).collect()} == want
+    assert links and joins["block-members"] == 0 and joins["candidate-texts"] == 1

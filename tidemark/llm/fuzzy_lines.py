@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.tables import small_enough, texts
+from tidemark.llm.tables import texts
 from tidemark.sources.scratch import discard, freeze, freeze_alone, spread
 
 # Lines of (from how many distinct words, blocks, blocks in a key, least words in a key).
@@ -27,7 +27,7 @@ def _raw_lines(docs: DataFrame) -> DataFrame:
 
 
 def _normal(line: str) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.expr(line)), r"[^\p{L}\p{N}]+", " "))
 
 
 def _keyed(norm: DataFrame) -> DataFrame:
@@ -131,20 +131,17 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", t
     places = freeze(lines.select("doc_id", "line_no", "h", "g"), "line-places")
     discard(lines)
 
-    blocks = kinds.select("id", "chars", F.explode("keys").alias("key"))
-    # keys hardly repeat, so rows are dealt out by key before anything is combined
-    crowded = blocks.repartition("key").groupBy("key").agg(
-        F.min_by(F.struct("id", "chars"), "id").alias("a"), F.max_by(F.struct("id", "chars"), "id").alias("b"), F.count(F.lit(1)).alias("n")
+    # rows are dealt out by key once, and each bucket of several lines is written with its first member
+    bucket = Window.partitionBy("key")
+    blocks = kinds.select(F.explode("keys").alias("key"), "id", "chars").withColumns(
+        {"pivot": F.min(F.struct("id", "chars")).over(bucket), "n": F.count(F.lit(1)).over(bucket)}
     )
-    crowded = freeze(crowded.where("a.id < b.id"), "crowded-blocks")
+    crowded = blocks.where("n > 1").select("key", "id", "chars", F.col("pivot.id").alias("pivot"), F.col("pivot.chars").alias("pivot_chars"), "n")
+    crowded = freeze(crowded, "crowded-blocks")
+    met = crowded.where("id > pivot").where(_near_length("struct(pivot_chars as chars)", "struct(chars)", percent))
+    first = freeze(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
     # two lines alone in a bucket are a pair by themselves
-    alone = crowded.where("n = 2").where(_near_length("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    full = crowded.where("n > 2").select("key", F.col("a.id").alias("pivot"), F.col("a.chars").alias("pivot_chars"))
-    hint = F.broadcast if small_enough(full) else (lambda df: df)
-    members = freeze(blocks.join(hint(full), "key"), "block-members")
-    met = members.where("id > pivot").where(_near_length("struct(pivot_chars as chars)", "struct(chars)", percent))
-    met = met.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    first = freeze(alone.unionByName(met).distinct(), "line-pairs")
+    members = freeze(crowded.where("n > 2").drop("n"), "block-members")
     discard(crowded)
     # one member of a crowded bucket may meet any other later on
     named = first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
@@ -187,14 +184,14 @@ def _near_length(a: str, b: str, percent: int) -> Column:
 
 
 def _texts(rows: DataFrame, involved: DataFrame) -> DataFrame:
-    """``id, norm`` of the candidate lines, from one more pass over their documents."""
-    wanted = involved.select("id", "first.doc_id", "first.line_no", "h", "g")
-    hint = F.broadcast if small_enough(wanted) else (lambda df: df)
-    of = hint(wanted.select("doc_id").distinct())
-    some = rows.join(of, rows["doc_id"].eqNullSafe(of["doc_id"]), "left_semi")
-    at = [F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("s.line_no") == F.col("w.line_no")]
-    some = _raw_lines(some).alias("s").join(hint(wanted).alias("w"), at)
-    some = some.select("w.id", F.col("w.h").alias("wh"), F.col("w.g").alias("wg"), _normal("s.line").alias("norm"))
+    """``id, norm`` of the candidate lines, from one more pass over their documents.
+
+    The documents are shuffled once, by their id and at any size of the table, and only the lines asked for leave the join.
+    """
+    wanted = involved.select("id", F.col("first.doc_id").alias("of"), F.col("first.line_no").alias("at"), F.col("h").alias("wh"), F.col("g").alias("wg"))
+    cut = rows.select("doc_id", F.split("text", "\n").alias("lines"))
+    some = cut.join(wanted.hint("merge"), cut["doc_id"].eqNullSafe(wanted["of"])).where("at < size(lines)")
+    some = some.select("id", "wh", "wg", _normal("lines[at]").alias("norm"))
     # rows with equal ids have several lines at one place
     read = _keyed(some).where("h = wh and g = wg").select("id", "norm").distinct()
     return freeze(read, "candidate-texts", compression="zstd")
