@@ -210,3 +210,41 @@ def test_texts_are_copied_once_for_windows_that_lie_together(spark, monkeypatch)
     assert {r.doc_id for r in found} == {99}
     asked = [r for r in kept["asked-windows"].collect() if r.doc_id == 99]
     assert len(asked) == 1 < len(asked[0].cuts)
+
+
+def test_documents_are_shuffled_at_any_size(spark, monkeypatch):
+    """Small tables had the windows broadcast, so that a larger table's shuffle grew faster than its rows."""
+    joins, whole = {}, passages.freeze
+
+    def freeze(df, label, **more):
+        joins[label] = df._jdf.queryExecution().executedPlan().toString().replace("\n", " ")
+        return whole(df, label, **more)
+
+    monkeypatch.setattr(passages, "freeze", freeze)
+    shared = " ".join(f"s{i}" for i in range(80))
+    found = repeated_passages(spark.createDataFrame([(1, shared), (2, f"own {shared}")], "doc_id bigint, text string")).collect()
+    assert [(r.doc_id, r.start_word, r.n_words, r.ref_doc_id) for r in found] == [(2, 1, 80, 1)]
+    assert "SortMergeJoin" in joins["windows"] and "BroadcastHashJoin" not in joins["windows"]
+
+
+def test_edit_distance_equals_the_table():
+    rng = np.random.default_rng(14)
+    for _ in range(400):
+        a, b = (rng.integers(0, rng.integers(1, 9), rng.integers(0, 80)).astype(np.uint32) for _ in "ab")
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a.tolist(), 1):
+            new = [i]
+            for j, y in enumerate(b.tolist(), 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert passages._edit_distance(a, b) == row[-1]
+
+
+def test_chains_on_one_diagonal_walk_alike():
+    """Chains equal from end to end are not walked match by match; seeds out of place still are none."""
+    words = np.arange(60, dtype=np.uint32)
+    left = np.array([2, 5, 20, 41])
+    assert passages._walk(words, words[1:], left, left - 1, SEED) == ([7, 10, 25, 46], [6, 9, 24, 45], [0] * 4)
+    assert passages._walk(words, words[1:], left, left, SEED) is None
+    assert passages._walk(words, words, np.array([2, 58]), np.array([2, 58]), SEED) is None
+    assert good_parts(words, words, left, left, 20, 80) == [(0, 60, 0, 60, 0)]

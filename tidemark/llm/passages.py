@@ -35,16 +35,25 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = cut.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
-    known = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    words, ends = _bytes(coded.dictionary)
+    cuts = ends.tolist()
+    known = np.array([xxhash.xxh3_64_intdigest(words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], np.uint64)
     at = coded.indices.to_numpy()
     # white space around a text leaves empty words
-    real = np.array([w != b"" for w in words], bool)[at]
+    real = (np.diff(ends) > 0)[at]
     before = np.concatenate([[0], np.cumsum(real)])
     offsets = cut.offsets.to_numpy()
     return known[at[real]], before[offsets - offsets[0]]
 
 
+def _bytes(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of strings one after the other, and where each begins and the last one ends."""
+    values = values.cast(pa.large_binary())
+    _, ends, held = values.buffers()
+    ends = np.frombuffer(ends, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return memoryview(held) if held else memoryview(b""), ends
+
+
 def _portions(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Rows of a batch together up to so many bytes of text (one text may be longer)."""
     size = np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64)) // most
@@ -257,23 +266,37 @@ def chains(left: np.ndarray, right: np.ndarray, size: int = SEED, least: int = L
 
 
 def _edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    if not len(a) or not len(b):
+    """By Myers' bits: a column of differences in two integers, a bit for each word of ``a``."""
+    a, b = a.tolist(), b.tolist()
+    low, m, n = 0, len(a), len(b)
+    while low < m and low < n and a[low] == b[low]:
+        low += 1
+    while m > low and n > low and a[m - 1] == b[n - 1]:
+        m, n = m - 1, n - 1
+    a, b = a[low:m], b[low:n]
+    if not a or not b:
         return len(a) + len(b)
-    if len(a) > len(b):
-        a, b = b, a
-    if len(a) == 1:
-        return len(b) - int(a[0] in b)
-    row = np.arange(len(b) + 1)
-    for i, x in enumerate(a.tolist(), 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (b != x))
-        new = np.concatenate([[i], new])
-        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-    return int(row[-1])
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    distance, last = len(a), 1 << len(a) - 1
+    every = 2 * last - 1
+    up, down = every, 0
+    for y in b:
+        same = places.get(y, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | every & ~(across | up), up & across
+        distance += bool(more & last) - bool(less & last)
+        more, same = more << 1 | 1, same | down
+        up, down = every & (less << 1 | ~(same | more)), more & same
+    return distance
 
 
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """How far both begin alike, over single differing words: length and differences."""
     n = min(len(a), len(b))
+    if not n:
+        return 0, 0
     same = (a[:n] == b[:n]).tobytes()
     at = score = best = length = wrong = missed = 0
     while True:  # from each differing word to the next
@@ -294,6 +317,11 @@ def _walk(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, siz
     edits, x, y = 0, int(left[0]), int(right[0])
     xs, ys, costs = [], [], []
     wide, raw_a, raw_b = a.itemsize, a.tobytes(), b.tobytes()
+    x_end, y_end = int(left[-1]) + size, int(right[-1]) + size
+    # most are equal from end to end
+    if x_end - x == y_end - y and x_end <= len(a) and y_end <= len(b) and raw_a[wide * x : wide * x_end] == raw_b[wide * y : wide * y_end]:
+        if (left - right == x - y).all():
+            return (left + size).tolist(), (right + size).tolist(), [0] * len(left)
     for p, q in zip(left.tolist(), right.tolist(), strict=True):
         if p + size > len(a) or q + size > len(b) or raw_a[wide * p : wide * (p + size)] != raw_b[wide * q : wide * (q + size)]:
             return None
@@ -360,13 +388,19 @@ def good_parts(
     if good(whole):
         return [whole]
     xs, ys, costs = walked
-    left, right = left.tolist(), right.tolist()
+    left, right, end = left.tolist(), right.tolist(), len(xs) - 1
+    if not costs[end]:  # the chain is the only run
+        bare = (left[0], xs[end], right[0], ys[end], 0)
+        return [bare] if good(bare) else []
     runs = {r for starts, ends in ((left, xs), (right, ys)) for r in _long_runs(starts, ends, costs, percent)}
     found = []
     for i, j in sorted(runs):
         bare = (left[i], xs[j], right[i], ys[j], costs[j] - costs[i])
+        if (i, j) == (0, end):  # extended, it is the whole
+            found += [bare] if good(bare) else []
+            continue
         # no farther than the next match, so that many parts of a chain stay cheap
-        after = len(a) if j == len(xs) - 1 else MAX_GAP + size
+        after = len(a) if j == end else MAX_GAP + size
         before = len(a) if not i else MAX_GAP + size
         more, wrong = _extend(a[bare[1] :][:after], b[bare[3] :][:after])
         less, amiss = _extend(a[: bare[0]][::-1][:before], b[: bare[2]][::-1][:before])
@@ -406,6 +440,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1)
     yield from whole()
 
 
+def _words(values: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes in each of some binary values."""
+    held, ends = _bytes(values)
+    for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        yield np.frombuffer(held[a:b], np.uint32)
+
+
 def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], most: int = 5000) -> Iterator[pa.RecordBatch]:
     held = []
     for row in rows:
@@ -502,11 +543,12 @@ def repeated_passages(
                 new = np.ones(len(left), bool)  # runs give the matches of their seeds again
                 new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
                 left, right = left[new], right[new]
+                ids, at, to = (int(group["doc_id"][0]), int(group["ref_id"][0])), left.tolist(), right.tolist()
                 for way in chains(left, right):
-                    a, b = left[way], right[way]
-                    ends = (int(a[0]), int(a[-1]), int(b[0]), int(b[-1]))
-                    windows = [x for lo, hi in (ends[:2], ends[2:]) for x in (max(0, lo // MARGIN - 1), (hi + SEED) // MARGIN + 2)]
-                    yield int(group["doc_id"][0]), int(group["ref_id"][0]), *windows, a.tolist(), b.tolist()
+                    way = way.tolist()
+                    a, b = [at[k] for k in way], [to[k] for k in way]
+                    windows = [x for c in (a, b) for x in (max(0, c[0] // MARGIN - 1), (c[-1] + SEED) // MARGIN + 2)]
+                    yield *ids, *windows, a, b
 
         names = ["doc_id", "ref_id", "d_from", "d_to", "r_from", "r_to", "left", "right"]
         return _batches(found(), names, [_INT] * 6 + [_LIST] * 2)
@@ -537,7 +579,8 @@ def repeated_passages(
 
         return _batches(found(), ["doc_id", "lo", "hi", "words"], [_INT] * 3 + [pa.binary()], 500)
 
-    pieces = rows.join(asked, "doc_id").mapInArrow(cut, "doc_id long, lo long, hi long, words binary")
+    # documents are shuffled at any size of the table, so that disk grows no faster than it
+    pieces = rows.join(asked.hint("merge"), "doc_id").mapInArrow(cut, "doc_id long, lo long, hi long, words binary")
     pieces = freeze(pieces, "windows", compression="zstd")
     discard(asked)
     of_doc = pieces.select("doc_id", F.col("lo").alias("d_from"), F.col("hi").alias("d_to"), F.col("words").alias("d_words"))
@@ -549,11 +592,11 @@ def repeated_passages(
             for batch in batches:
                 places = batch["left"].offsets.to_numpy()
                 left, right = (batch[c].flatten().to_numpy() for c in ("left", "right"))
-                each = zip(*(batch[c].to_pylist() for c in ("doc_id", "d_from", "d_words", "ref_id", "r_from", "r_words")), strict=True)
+                each = zip(*(batch[c].to_numpy().tolist() for c in ("doc_id", "d_from", "ref_id", "r_from")), strict=True)
                 places = (places - places[0]).tolist()
-                for (doc_id, d, d_words, ref_id, e, r_words), i, j in zip(each, places, places[1:], strict=False):
+                spans = zip(places, places[1:], strict=False)
+                for (doc_id, d, ref_id, e), (i, j), a, b in zip(each, spans, _words(batch["d_words"]), _words(batch["r_words"]), strict=True):
                     d, e = d * MARGIN, e * MARGIN
-                    a, b = np.frombuffer(d_words, np.uint32), np.frombuffer(r_words, np.uint32)
                     for x, x_end, y, _, edits in good_parts(a, b, left[i:j] - d, right[i:j] - e, min_piece, percent):
                         yield doc_id, x + d, x_end + d, ref_id, y + e, edits
 
