@@ -155,3 +155,20 @@ def test_keys_and_documents_are_shuffled_once(spark, monkeypatch):
     want, links = expected(spark, data, 80)
     assert {tuple(r) for r in fuzzy_lines(spark.createDataFrame(data, "doc_id bigint, text string")).collect()} == want
     assert links and joins["block-members"] == 0 and joins["candidate-texts"] == 1
+
+
+def test_lines_of_a_pair_are_cut_into_words_once(spark):
+    """The filter stood below the columns of words, so that lines were cut again wherever words were named."""
+    rng = random.Random(4)
+    kinds = sorted({normal(line) for line in near_lines(rng, 60)} - {""})
+    texts = spark.createDataFrame(list(enumerate(kinds)), "id bigint, norm string")
+    both = [(i, j) for i, j in combinations(range(len(kinds)), 2)]
+    found = module._similar(texts, spark.createDataFrame(both, "a bigint, b bigint"), 80)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
+
+    def linked(x, y):
+        v, w = set(x.split(" ")), set(y.split(" "))
+        return similar(x, y, 80) and 3 * len(v & w) >= max(len(v), len(w))
+
+    assert {tuple(r) for r in found.collect()} == {(i, j) for i, j in both if linked(kinds[i], kinds[j])}

@@ -197,20 +197,20 @@ def _texts(rows: DataFrame, involved: DataFrame) -> DataFrame:
     return freeze(read, "candidate-texts", compression="zstd")
 
 
-def aligned_cost() -> Column:
-    """An upper bound of the edit distance of two lines, from their words ``xs`` and ``ys``.
+def aligned_cost(xs: str, ys: str) -> str:
+    """SQL: an upper bound of the edit distance of two lines, from their words.
 
     Words are laid side by side from the front up to some place and from the back
     behind it, whichever place is best; unequal ones count as replaced whole, and the
     words that one line has more as the longest of its words.
     """
-    n = "least(size(xs), size(ys))"
-    cost = "zip_with(slice(xs, {0}, {1}), slice(ys, {2}, {1}), (v, w) -> if(v = w, 0, greatest(length(v), length(w))))"
-    front, back = cost.format(1, n, 1), cost.format(f"size(xs) - {n} + 1", n, f"size(ys) - {n} + 1")
+    n = f"least(size({xs}), size({ys}))"
+    cost = f"zip_with(slice({xs}, {{0}}, {{1}}), slice({ys}, {{2}}, {{1}}), (v, w) -> if(v = w, 0, greatest(length(v), length(w))))"
+    front, back = cost.format(1, n, 1), cost.format(f"size({xs}) - {n} + 1", n, f"size({ys}) - {n} + 1")
     switch = "(s, c) -> struct(s.f + c.f as f, least(s.f, s.b) + c.b as b)"
     best = f"aggregate(zip_with({front}, {back}, (f, b) -> struct(f, b)), struct(0 as f, 0 as b), {switch}, s -> least(s.f, s.b))"
-    more = "abs(size(xs) - size(ys)) * (1 + coalesce(array_max(transform(if(size(xs) > size(ys), xs, ys), w -> length(w))), 0))"
-    return F.expr(f"{best} + {more}")
+    more = f"abs(size({xs}) - size({ys})) * (1 + coalesce(array_max(transform(if(size({xs}) > size({ys}), {xs}, {ys}), w -> length(w))), 0))"
+    return f"{best} + {more}"
 
 
 def _similar(line_texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -220,13 +220,15 @@ def _similar(line_texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame
     """
     both = pairs.join(line_texts.toDF("a", "x"), "a").join(line_texts.toDF("b", "y"), "b")
     both = both.withColumn("most", F.expr(f"cast(floor(greatest(length(x), length(y)) * {100 - percent} / 100) as int)"))
-    both = both.where("abs(length(x) - length(y)) <= most").withColumns({"xs": F.split("x", " "), "ys": F.split("y", " ")})
-    alike = F.expr("size(array_intersect(xs, ys)) * 3 >= greatest(size(array_distinct(xs)), size(array_distinct(ys)))")
-    near = aligned_cost() <= F.col("most")
+    both = both.where("abs(length(x) - length(y)) <= most")
+    alike = "size(array_intersect(p.xs, p.ys)) * 3 >= greatest(size(array_distinct(p.xs)), size(array_distinct(p.ys)))"
+    near = f"{aligned_cost('p.xs', 'p.ys')} <= most"
     for band in (32, 128):
-        near = near | (F.col("most") > band // 4) & F.expr(f"levenshtein(x, y, least(most, {band})) >= 0")
-    near = near | F.expr("most <= 8 or most > 128") & F.expr("levenshtein(x, y, most) >= 0")
-    return both.where(alike).where(near).select("a", "b")
+        near += f" or (most > {band // 4} and levenshtein(x, y, least(most, {band})) >= 0)"
+    near += " or ((most <= 8 or most > 128) and levenshtein(x, y, most) >= 0)"
+    # a lambda over the one element array, so that lines are cut into words once and not wherever words are named
+    words = "array(struct(split(x, ' ') as xs, split(y, ' ') as ys))"
+    return both.where(f"exists({words}, p -> {alike} and ({near}))").select("a", "b")
 
 
 def drop_lines(docs: DataFrame, decisions: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
