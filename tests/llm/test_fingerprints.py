@@ -6,7 +6,8 @@ from itertools import combinations
 import pytest
 import xxhash
 
-from tidemark.llm.fingerprints import fingerprint, near_fingerprints, segments
+from tidemark.llm.fingerprints import _by_midpoints, fingerprint, near_fingerprints, segments
+from tidemark.sources.scratch import freeze
 
 
 def plain_fingerprint(text, size=4):
@@ -70,6 +71,34 @@ def test_components_equal_all_pairs(spark, distance, crowd):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_midpoints_are_not_broadcast_nor_made_in_one_task(spark):
+    """A small table of fingerprints names 2,081 points each, which the planner does not know of."""
+    rng = random.Random(11)
+    bases = [rng.getrandbits(64) for _ in range(6)]
+    fps = {b ^ sum(1 << bit for bit in rng.sample(range(64), rng.choice([0, 1, 2, 3, 6]))) for b in bases for _ in range(200)}
+    signed = [(fp - (1 << 64) if fp >> 63 else fp,) for fp in sorted(fps)]
+    links = _by_midpoints(freeze(spark.createDataFrame(signed, "fp bigint").coalesce(1), "crowded"), 4)
+    found = {(r.a % 2**64, r.b % 2**64) for r in links.collect()}
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+
+    def groups_of(pairs):
+        parent = {fp: fp for fp in fps}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[find(a)] = find(b)
+        return sorted(sorted(x for x in fps if find(x) == root) for root in {find(x) for x in fps})
+
+    assert groups_of(found) == groups_of((a, b) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= 4)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert len(fps) > 900 and "REPARTITION_BY_NUM" in plan
+
+
 def test_fingerprints_are_as_defined():
     for text in ("", " \x0b", "one", "One two THREE", "a b c d", "a b c d e f g ä Ä", "x\x85y \x1c z"):
         assert fingerprint(text.encode(), 4) % 2**64 == plain_fingerprint(text)

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -20,6 +20,7 @@ from tidemark.sources.scratch import discard, freeze, spread
 CROWD = 512
 _VOTES = 65_536
 _CELLS = 4_000_000
+_POINTS = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
@@ -118,18 +119,18 @@ def _by_midpoints(fps: DataFrame, distance: int) -> DataFrame:
     Two fingerprints differ in at most ``distance`` bits if and only if some
     point lies within half the distance (rounded down) of one and the other half
     of the other.  Every fingerprint names the points around it; those at one
-    point are linked with the smallest that is within the lower half.
+    point are linked with the smallest that is within the lower half.  ``fps`` is
+    distinct, so no more of them name a point than the points one of them names.
     """
     inner, outer = distance // 2, distance - distance // 2
     masks = [_signed(sum(1 << b for b in bits)) for r in range(outer + 1) for bits in combinations(range(64), r)]
     flips = F.from_json(F.lit(str(masks)), "array<bigint>")
-    points = fps.select("fp", F.explode(flips).alias("flip"))
-    points = points.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), (F.bit_count("flip") <= inner).alias("inner"))
-    # a center that many share is one row per task before it is shuffled
-    centers = points.groupBy("point").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("a"), F.count(F.lit(1)).alias("n"))
-    centers = freeze(centers.where("a is not null and n > 1"), "midpoints")
-    linked = attach_groups(points.select("fp", "point"), centers, "point", "n")
-    return linked.select("a", F.col("fp").alias("b")).where("a <> b").distinct()
+    # the planner takes the points for as few as the fingerprints: it must neither broadcast them in a join nor make them in one task
+    tasks = fps.count() * len(masks) // _POINTS + 1
+    points = fps.repartition(tasks, "fp").select("fp", F.explode(flips).alias("flip"))
+    points = points.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    center = F.min(F.when(_apart("fp", "point") <= inner, F.col("fp"))).over(Window.partitionBy("point"))
+    return points.select(center.alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
 
 
 def _links(fps: DataFrame, distance: int, crowd: int) -> DataFrame:
